@@ -258,7 +258,7 @@ def map_exposure_comparison(t):
     return rounded(A.group_comparison(scored(t), "good_school_within_1km").drop("near_good_school_share"), _MONEY)
 
 
-@query("exposure_gap", f"""WITH s AS (SELECT * FROM {_SCORED} q), m AS (SELECT town, avg(p) AS a FROM s WHERE town IN ('NATION_12','NATION_6','NATION_18') GROUP BY town)
+@query("exposure_gap", f"""WITH s AS (SELECT * FROM {_SCORED} q), m AS (SELECT town, avg(p) AS a FROM s WHERE strpos('HOW DO NATION_12, NATION_6X AND NATION_18! COMPARE?', town) > 0 GROUP BY town)
  SELECT round(avg(p) FILTER (WHERE g = 1), 4) AS mean_near, round(avg(p) FILTER (WHERE g = 0), 4) AS mean_far,
  round(avg(p) FILTER (WHERE g = 1) - avg(p) FILTER (WHERE g = 0), 4) AS gap, (SELECT town FROM m ORDER BY a DESC, town LIMIT 1) AS top_town,
  round((SELECT max(a) FROM m), 4) AS top_town_mean FROM s""")

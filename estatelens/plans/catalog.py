@@ -1,4 +1,4 @@
 """All registered queries; importing the modules fills the registry."""
 
-from . import aggregate_queries, filter_queries, join_queries, scalar_queries  # noqa: F401
+from . import aggregate_queries, filter_queries, join_queries, scalar_queries, spatial_queries  # noqa: F401
 from .registry import CHECKS, QUERIES  # noqa: F401
