@@ -13,10 +13,13 @@ TRUE_WORDS_WIDE = ("1", "true", "yes", "y", "good")
 
 
 def to_number(c: Column) -> Column:
-    """Text or number to double; anything unreadable becomes null."""
+    """Text or number to double; anything unreadable becomes null.
+
+    The type test is folded away by the optimizer, so numbers are not read as text.
+    """
     text = c.cast("string")
-    value = F.when(text.rlike(NUMBER_PATTERN), text.try_cast("double"))
-    return value
+    parsed = F.when(text.rlike(NUMBER_PATTERN), text.try_cast("double"))
+    return F.when(F.typeof(c) == "string", parsed).otherwise(c.try_cast("double"))
 
 
 def parse_month(c: Column) -> Column:

@@ -144,7 +144,7 @@ def gram(df: DataFrame, design: Design, y: str, weight: str | None = None, by: l
         packed = rows.mapInPandas(over_batches, "i int, values array<double>")
     else:
         schema = T.StructType([f for f in rows.schema if f.name in by])
-        schema = schema.add("i", "int").add("values", "array<double>")
+        schema = schema.add("i", T.IntegerType()).add("values", T.ArrayType(T.DoubleType()))
 
         def per_chunk(frame: pd.DataFrame) -> pd.DataFrame:
             out = _packed(_partial(design, y, weight, frame), len(frame))
@@ -241,7 +241,7 @@ def score_sums(df: DataFrame, design: Design, y: str, weight: str, by: list[str]
         "__chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__chunks") - 1))
     ).drop("__chunks")
     schema = T.StructType([f for f in rows.schema if f.name in by])
-    schema = schema.add("specification", "string").add("k", "int").add("s", "double")
+    schema = schema.add("specification", T.StringType()).add("k", T.IntegerType()).add("s", T.DoubleType())
 
     def per_chunk(frame: pd.DataFrame, fits: pd.DataFrame) -> pd.DataFrame:
         out = []

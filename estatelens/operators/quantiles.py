@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..scratch import localize
 
 # Buckets per doubling of the value, and a shift past the smallest exponent.
-BUCKETS_PER_OCTAVE = 4096
-_SHIFT = 5_000_000
+BUCKETS_PER_OCTAVE = 1024
+_SHIFT = 2_000_000
 
 
 def value_bucket(x: Column) -> Column:

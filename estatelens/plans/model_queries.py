@@ -6,6 +6,7 @@ from ..functions import scalar as S
 from ..operators import models as M, rdd as R, spatial as G
 from ..operators.filters import contains_ci
 from ..operators.gram import collect_sums, gram
+from ..scratch import materialize
 from .aggregate_queries import rounded
 from .filter_queries import RESULTS, result_rows
 from .registry import query, r6
@@ -16,7 +17,8 @@ KEY = ["txn_id"]
 
 
 def features(t):
-    return M.engineer_features(t.f_feature, keep=KEY)
+    """The model table, written once: the fits below pass over it several times."""
+    return materialize(M.engineer_features(t.f_feature, keep=KEY))
 
 
 def split(t):

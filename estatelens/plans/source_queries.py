@@ -108,7 +108,7 @@ def html_label_value(t):
     return html.ballot_cards(cards, "school_id", "html")
 
 
-@query("html_page_fields", r"""SELECT page_id, regexp_replace(regexp_extract(html, '(?s)<h1[ >].*?</h1>', 0), '<[^>]*>', '', 'g') AS heading,
+@query("html_page_fields", r"""SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?s)<h1[ >].*?</h1>', 0), '<[^>]*>', '', 'g')) AS heading,
  CAST(len(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS INTEGER) AS n_links, CAST(len(regexp_extract_all(html, '(?s)<p[ >].*?</p>', 0)) AS INTEGER) AS n_paragraphs FROM pages""")
 def html_page_fields(t):
     c = F.col("html")

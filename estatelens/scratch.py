@@ -37,8 +37,7 @@ def localize(df: DataFrame, limit: int = LOCAL_ROW_LIMIT) -> DataFrame:
     At most `limit + 1` rows reach the driver. Spark then broadcasts the relation
     by its own size threshold; the larger form keeps every row and joins by shuffle.
     """
-    table = materialize(df)
-    rows = table.limit(limit + 1).collect()
-    if len(rows) > limit:
-        return table
-    return df.sparkSession.createDataFrame(rows, schema=df.schema)
+    table = df.limit(limit + 1).toArrow()
+    if table.num_rows > limit:
+        return materialize(df)
+    return df.sparkSession.createDataFrame(table, schema=df.schema)

@@ -26,7 +26,7 @@ def write_json_records(df: DataFrame, path: str) -> None:
 
 
 # Coordinates keep their text form until the geometry type is known.
-_FEATURE = "struct<type: string, properties: {p}, geometry: struct<type: string, coordinates: string>>"
+_FEATURE = "type string, properties {p}, geometry struct<type: string, coordinates: string>"
 
 
 def read_geojson(
@@ -39,9 +39,9 @@ def read_geojson(
     """
     feature = _FEATURE.format(p=properties)
     if one_per_line:
-        rows = spark.read.schema(feature[len("struct<"):-1]).json(path)
+        rows = spark.read.schema(feature).json(path)
     else:
-        rows = spark.read.schema(f"type: string, features: array<{feature}>").option("multiLine", True).json(path).select(
+        rows = spark.read.schema(f"type string, features array<struct<{feature}>>").option("multiLine", True).json(path).select(
             F.explode("features").alias("f")
         ).select("f.*")
     shape = {
