@@ -107,8 +107,12 @@ def _packed(sums: np.ndarray, n: int) -> pd.DataFrame:
 
 def chunk_sizes(df: DataFrame, by: list[str], rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
     """How many chunks the rows of each group are dealt over: (by, __chunks)."""
-    sizes = df.groupBy(*by).agg(F.count("*").alias("__n"))
-    return localize(sizes.select(*by, F.ceil(F.col("__n") / rows_per_chunk).alias("__chunks")))
+    return localize(as_chunks(df.groupBy(*by).agg(F.count("*").alias("n")), by, "n", rows_per_chunk))
+
+
+def as_chunks(counts: DataFrame, by: list[str], n: str, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+    """The same from a table of group sizes that is already at hand."""
+    return counts.select(*by, F.ceil(F.col(n) / rows_per_chunk).alias("__chunks"))
 
 
 def chunked(df: DataFrame, by: list[str], sizes: DataFrame) -> DataFrame:
@@ -120,10 +124,14 @@ def chunked(df: DataFrame, by: list[str], sizes: DataFrame) -> DataFrame:
     )
 
 
-def gram(df: DataFrame, design: Design, y: str, weight: str | None = None, by: list[str] = ()) -> DataFrame:
+def gram(
+    df: DataFrame, design: Design, y: str, weight: str | None = None, by: list[str] = (),
+    sizes: DataFrame | None = None,
+) -> DataFrame:
     """Sums of w·a·b over all pairs of [terms, y] per group: rows (by, i, j, s), i <= j.
 
-    The number of rows of the group is stored at i = -1.
+    The number of rows of the group is stored at i = -1. `sizes` saves a count where
+    the group sizes are known (see `as_chunks`).
     """
     by = list(by)
     if len(design.terms) > MAX_TERMS:
@@ -152,7 +160,7 @@ def gram(df: DataFrame, design: Design, y: str, weight: str | None = None, by: l
                 out.insert(k, c, [frame[c].iloc[0]] * len(out))
             return out
 
-        packed = chunked(rows, by, chunk_sizes(rows, by)).groupBy(*by, "__chunk").applyInPandas(per_chunk, schema)
+        packed = chunked(rows, by, sizes or chunk_sizes(rows, by)).groupBy(*by, "__chunk").applyInPandas(per_chunk, schema)
 
     cells = packed.select(*by, "i", F.posexplode("values").alias("k", "v"))
     j = F.when(F.col("i") >= 0, F.col("i") + F.col("k")).otherwise(0)
@@ -228,7 +236,10 @@ def total_sum(sums: Sums) -> float:
     return float(sums.yy - sums.xy[0] ** 2 / sums.xx[0, 0])
 
 
-def score_sums(df: DataFrame, design: Design, y: str, weight: str, by: list[str], solutions: DataFrame) -> DataFrame:
+def score_sums(
+    df: DataFrame, design: Design, y: str, weight: str, by: list[str], solutions: DataFrame,
+    sizes: DataFrame | None = None,
+) -> DataFrame:
     """Second pass for robust errors: rows (by, specification, k, s).
 
     For each solution (by, specification, beta, picked, centre, level) of a group, s is
@@ -236,7 +247,7 @@ def score_sums(df: DataFrame, design: Design, y: str, weight: str, by: list[str]
     the k-th picked row of the inverse.
     """
     rows = df.select(*dict.fromkeys([*by, *design.columns, y, weight]))
-    sizes = chunk_sizes(rows, by)
+    sizes = sizes or chunk_sizes(rows, by)
     spread = solutions.join(sizes, by).withColumn(
         "__chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__chunks") - 1))
     ).drop("__chunks")

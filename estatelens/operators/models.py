@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import scalar as S
 from ..functions.tails import student_quantile_975, student_two_sided
+from ..scratch import localize
+from .aggregates import treated_share
 from .filters import route_by_threshold
 from .gram import (
     Design, Sums, collect_sums, gram, levels_of, make_design, residual_sum, solve, total_sum,
@@ -425,10 +427,7 @@ def town_premiums(df: DataFrame, min_rows: int = 1500, min_share: float = 0.05)
     count = "good_school_count_1km"
     named = df.where(F.col("town").isNotNull())
     prices = summarize(named, ["town"], "resale_price", {"median": 0.5})
-    groups = named.groupBy("town").agg(
-        F.count("*").alias("rows"),
-        F.avg(F.coalesce((F.col(count) > 0).cast("int"), F.lit(0))).alias("treated_share"),
-    )
+    groups = localize(treated_share(named, "town", count))
     fit, skipped = route_by_threshold(
         groups, (F.col("rows") >= min_rows) & (F.col("treated_share") >= min_share), "below_threshold"
     )
@@ -550,7 +549,7 @@ def cross_validate(folds: dict[int, Sums], index: list[int], alphas: list[float]
     whole = parts[0]
     for s in parts[1:]:
         whole = whole + s
-    penalties = [(float(a), float(r)) for r in ratios for a in alphas]
+    penalties = [(float(a), float(r)) for r in ratios for a in sorted(alphas, reverse=True)]
     trains = [(whole - held).take([0, *index]) for held in parts]
     coefs = elastic_nets([t.centred() for t in trains], penalties)
     errors = np.zeros(len(penalties))

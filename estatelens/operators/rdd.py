@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import scalar as S
 from ..functions.tails import normal_two_sided
-from ..scratch import materialize
+from ..scratch import localize, materialize
 from .filters import explode_bandwidths, route_by_threshold
-from .gram import Sums, gram, make_design, residual_sum, score_sums, solve, total_sum
+from .gram import Sums, as_chunks, chunk_sizes, gram, make_design, residual_sum, score_sums, solve, total_sum
 from .models import STRUCTURE, TARGET
 from .quantiles import summarize
 
@@ -112,12 +112,13 @@ def rdd_sweep(
     """
     keys = [*SCHOOL, "bandwidth_m"]
     local = materialize(local_rows(df, bandwidths))
-    groups = boundary_groups(df, local, bandwidths)
+    groups = localize(boundary_groups(df, local, bandwidths))
     enough = (
         (F.col("sample_size") >= min_total) & (F.col("inside_n") >= min_side) & (F.col("outside_n") >= min_side)
     )
     fit, skipped = route_by_threshold(groups, enough, "insufficient_boundary_sample")
     rows = local.join(fit.select(*keys), keys, "left_semi")
+    sizes = as_chunks(fit, keys, "sample_size")
     design = _design(rows, JUMP)
     parts = {"uncontrolled": list(range(1 + len(JUMP))), "controlled": list(range(len(design.terms)))}
 
@@ -136,11 +137,11 @@ def rdd_sweep(
 
     schema = "boundary_school_name string, is_good_school boolean, bandwidth_m double, " + _SOLVED_SCHEMA
     fits = materialize(
-        gram(rows, design, TARGET, "kernel_weight", by=keys).groupBy(*keys).applyInPandas(solved, schema)
+        gram(rows, design, TARGET, "kernel_weight", keys, sizes).groupBy(*keys).applyInPandas(solved, schema)
     )
     scores = score_sums(
         rows, design, TARGET, "kernel_weight", keys,
-        fits.select(*keys, "specification", "beta", "picked", "centre", "level"),
+        fits.select(*keys, "specification", "beta", "picked", "centre", "level"), sizes,
     )
     prices = summarize(rows, keys, "resale_price", {"median": 0.5}).select(
         *keys, F.col("mean").alias("local_mean_resale_price"), F.col("median").alias("local_median_resale_price")
@@ -185,12 +186,13 @@ def rdd_interaction(df: DataFrame, bandwidths=BANDWIDTHS) -> DataFrame:
     """
     keys = ["bandwidth_m", "boundary_school_name"]
     rows = materialize(local_rows(df, bandwidths))
+    sizes = chunk_sizes(rows, keys)
     design = _design(rows, (*JUMP, *GOOD_JUMP))
     p = len(design.terms)
     jump = list(range(1 + len(JUMP) + len(GOOD_JUMP)))
     parts = {"uncontrolled": jump, "controlled": list(range(p))}
     picked = [1, 1 + len(JUMP)]
-    cells = materialize(gram(rows, design, TARGET, "kernel_weight", by=keys))
+    cells = materialize(gram(rows, design, TARGET, "kernel_weight", keys, sizes))
 
     def within(frame: pd.DataFrame) -> pd.DataFrame:
         """A school's sums about its own means (i, j >= 1), its raw y sums, and a count of schools."""
@@ -250,7 +252,7 @@ def rdd_interaction(df: DataFrame, bandwidths=BANDWIDTHS) -> DataFrame:
         *keys, "specification", "beta", "picked", F.slice("m", 1, p).alias("centre"),
         (F.get("m", F.lit(p)) - fitted).alias("level"),
     )
-    scores = score_sums(rows, design, TARGET, "kernel_weight", keys, solutions).groupBy(
+    scores = score_sums(rows, design, TARGET, "kernel_weight", keys, solutions, sizes).groupBy(
         "bandwidth_m", "specification"
     ).agg(F.sum(F.when(F.col("k") == 0, F.col("s"))).alias("s0"), F.sum(F.when(F.col("k") == 1, F.col("s"))).alias("s1"))
     good = F.col("is_good_school").cast("long")
