@@ -64,7 +64,8 @@ class Grid:
     def gaps(self, level: int, metric: Metric) -> tuple[Column, Column]:
         """Least and largest distance between points of cells (ox, oy) and (tx, ty)."""
         s = self.size / 2**level
-        dx, dy = F.abs(F.col("ox") - F.col("tx")), F.abs(F.col("oy") - F.col("ty"))
+        dx = F.abs(F.col("ox") - F.col("tx")).cast("double")
+        dy = F.abs(F.col("oy") - F.col("ty")).cast("double")
 
         def length(a, b, stretch):
             return F.sqrt(a * a * stretch * stretch + b * b) * (s * metric.unit)
@@ -86,10 +87,11 @@ def _grid_over(origins: DataFrame, targets: DataFrame) -> Grid | None:
 
 def _tree_depth(targets: DataFrame, grid: Grid) -> int:
     """Smallest even depth at which no cell of any kind holds more than LEAF_POINTS places."""
+    spots = materialize(targets.select("kind", "x", "y").distinct())
     depth = _STEP
     while depth < MAX_DEPTH:
         fullest = (
-            targets.groupBy("kind", grid.cell(F.col("x"), grid.x0, depth), grid.cell(F.col("y"), grid.y0, depth))
+            spots.groupBy("kind", grid.cell(F.col("x"), grid.x0, depth), grid.cell(F.col("y"), grid.y0, depth))
             .agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
         )
         if fullest is None or fullest <= LEAF_POINTS:
@@ -220,7 +222,7 @@ def count_within(origins: DataFrame, targets: DataFrame, radius: float, metric:
     whole: list[tuple[int, DataFrame]] = []
 
     def prune(pairs: DataFrame, level: int) -> DataFrame:
-        pairs = pairs.where(F.col("near") <= radius)
+        pairs = materialize(pairs.where(F.col("near") <= radius))
         inside = F.col("far") <= radius
         whole.append((level, pairs.where(inside).groupBy("ox", "oy", "kind").agg(F.sum("w").alias("n"))))
         return pairs.where(~inside).select("kind", "ox", "oy", "tx", "ty", "w")
@@ -492,6 +494,7 @@ def polygons_within(left: DataFrame, right: DataFrame, reach: float) -> DataFram
 
     Stands for the intersection of `left` with `right` buffered by `reach`.
     """
+    left, right = (materialize(df.select("poly_id", *EDGE)) for df in (left, right))
     size = float(reach) or 1.0
 
     def cells(df, tag, pad):
