@@ -170,9 +170,9 @@ def nearest_k(
         place = Window.partitionBy("kind", "x", "y").orderBy("target_id")
         places = targets.withColumn("__r", F.row_number().over(place)).where(F.col("__r") <= k).drop("__r")
     places = materialize(places)
-    spots = origins.select("x", "y").distinct()
+    tagged = materialize(origins.select("origin_id", "x", "y"))
+    spots = tagged.select("x", "y")
     grid = _grid_over(spots, places)
-    tagged = origins.select("origin_id", "x", "y")
     if grid is None:
         grid = Grid(0.0, 0.0, 1.0)
     depth = _tree_depth(places, grid)
@@ -217,6 +217,7 @@ def count_within(origins: DataFrame, targets: DataFrame, radius: float, metric:
     places = materialize(
         targets.groupBy("kind", "x", "y").agg(F.count("*").alias("w"))
     )
+    origins = materialize(origins.select("origin_id", "x", "y"))
     grid = _grid_over(origins, places) or Grid(0.0, 0.0, 1.0)
     depth = _tree_depth(places, grid)
     whole: list[tuple[int, DataFrame]] = []
