@@ -11,11 +11,11 @@ from .registry import query, r6
 from .scalar_queries import priced
 
 PRICE = "resale_price"
-_FIVE = """count(resale_price) AS count, round(avg(resale_price), 4) AS mean, round(quantile_cont(resale_price, 0.5), 4) AS median,
+_FIVE = """count(resale_price) AS count, round(avg(resale_price), 6) AS mean, round(quantile_cont(resale_price, 0.5), 6) AS median,
  min(resale_price) AS min, max(resale_price) AS max"""
 
 
-def rounded(df, columns, digits=4):
+def rounded(df, columns, digits=6):
     """The frame with the given columns rounded and the others as they are."""
     return df.select(*[r6(c, c, digits) if c in columns else c for c in df.columns])
 
@@ -41,7 +41,7 @@ def address_rollup(t):
 
 
 @query("polygon_rollup", f"""SELECT town AS poly_id, count(*) AS matched_point_count, CAST(sum(txn_count) AS BIGINT) AS matched_txn_count,
- round(avg(avg_resale_price), 4) AS mean_avg_resale_price FROM {_ROLL} t WHERE block <> '7' GROUP BY 1""")
+ round(avg(avg_resale_price), 6) AS mean_avg_resale_price FROM {_ROLL} t WHERE block <> '7' GROUP BY 1""")
 def polygon_rollup(t):
     points = A.address_rollup(t.f_txn).withColumn("poly_id", F.when(F.col("block") != "7", F.col("town")))
     return rounded(A.polygon_rollup(points, "poly_id"), {"mean_avg_resale_price"})
@@ -65,7 +65,7 @@ def value_counts_pct(t):
 
 
 @query("distribution_with_price", """SELECT town, count(*) AS count, round(count(*) / (SELECT count(resale_price) FROM {f_txn} q), 6) AS pct,
- round(avg(resale_price), 4) AS mean_price, round(quantile_cont(resale_price, 0.5), 4) AS median_price FROM {f_txn} t WHERE resale_price IS NOT NULL GROUP BY town""")
+ round(avg(resale_price), 6) AS mean_price, round(quantile_cont(resale_price, 0.5), 6) AS median_price FROM {f_txn} t WHERE resale_price IS NOT NULL GROUP BY town""")
 def distribution_with_price(t):
     out = A.distribution_with_price(t.f_txn, "town")
     return rounded(rounded(out, {"pct"}, 6), {"mean_price", "median_price"})
@@ -77,20 +77,20 @@ _FACTORS = ("school_count_1km", "good_school_count_1km", "school_count_2km", "go
 @query("factor_distributions", """WITH l AS (SELECT factor, CAST(value AS DOUBLE) AS value, resale_price FROM (""" + " UNION ALL ".join(
     f"SELECT '{c}' AS factor, {c} AS value, resale_price FROM {{f_feature}} f{i}" for i, c in enumerate(_FACTORS)
 ) + """) u WHERE resale_price IS NOT NULL AND value IS NOT NULL), n AS (SELECT factor, count(*) AS total FROM l GROUP BY factor)
- SELECT l.factor, l.value, count(*) AS count, round(count(*) / any_value(n.total), 6) AS pct, round(avg(resale_price), 4) AS mean_price,
- round(quantile_cont(resale_price, 0.5), 4) AS median_price FROM l JOIN n ON l.factor = n.factor GROUP BY 1, 2""")
+ SELECT l.factor, l.value, count(*) AS count, round(count(*) / any_value(n.total), 6) AS pct, round(avg(resale_price), 6) AS mean_price,
+ round(quantile_cont(resale_price, 0.5), 6) AS median_price FROM l JOIN n ON l.factor = n.factor GROUP BY 1, 2""")
 def factor_distributions(t):
     out = A.factor_distributions(t.f_feature, list(_FACTORS))
     return rounded(rounded(out, {"pct"}, 6), {"mean_price", "median_price"})
 
 
 def _quantiles(column, probs):
-    return ", ".join(f"round(quantile_cont({column}, {p}), 4) AS {n}" for n, p in probs.items())
+    return ", ".join(f"round(quantile_cont({column}, {p}), 6) AS {n}" for n, p in probs.items())
 
 
 _P7 = {"median": 0.5, "p10": 0.1, "p25": 0.25, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}
 _P5 = {k: _P7[k] for k in ("median", "p10", "p25", "p75", "p90")}
-_BASE = "count({c}) AS count, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, min({c}) AS min, max({c}) AS max"
+_BASE = "count({c}) AS count, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, min({c}) AS min, max({c}) AS max"
 
 
 @query("price_stats", f"SELECT {_BASE.format(c=PRICE)}, {_quantiles(PRICE, _P7)} FROM {{f_txn}} t")
@@ -125,8 +125,8 @@ def correlation_matrix(t):
     return rounded(A.correlation_matrix(t.f_feature, list(_CORR)), {"corr"}, 6)
 
 
-@query("monthly_trend", """SELECT month, count(resale_price) AS count, round(avg(resale_price), 4) AS mean_price,
- round(quantile_cont(resale_price, 0.5), 4) AS median_price FROM {f_txn} t WHERE resale_price IS NOT NULL GROUP BY month""")
+@query("monthly_trend", """SELECT month, count(resale_price) AS count, round(avg(resale_price), 6) AS mean_price,
+ round(quantile_cont(resale_price, 0.5), 6) AS median_price FROM {f_txn} t WHERE resale_price IS NOT NULL GROUP BY month""")
 def monthly_trend(t):
     return rounded(A.monthly_trend(t.f_txn), {"mean_price", "median_price"})
 
@@ -237,14 +237,14 @@ def scored(t):
 _SCORED = """(SELECT *, floor_area_sqm * 5000 AS p, resale_price - floor_area_sqm * 5000 AS e, CAST(good_school_count_1km > 0 AS INTEGER) AS g FROM {f_txn} s)"""
 
 
-@query("map_summary", f"""SELECT count(*) AS rows, count(DISTINCT town) AS town_count, round(avg(resale_price), 4) AS avg_actual, round(avg(e), 4) AS mean_error,
- round(avg(abs(e)), 4) AS mean_abs_error, round(avg(g), 6) AS good_school_share, round(avg(p), 4) AS avg_predicted, round(quantile_cont(p, 0.5), 4) AS median_predicted FROM {_SCORED} t""")
+@query("map_summary", f"""SELECT count(*) AS rows, count(DISTINCT town) AS town_count, round(avg(resale_price), 6) AS avg_actual, round(avg(e), 6) AS mean_error,
+ round(avg(abs(e)), 6) AS mean_abs_error, round(avg(g), 6) AS good_school_share, round(avg(p), 6) AS avg_predicted, round(quantile_cont(p, 0.5), 6) AS median_predicted FROM {_SCORED} t""")
 def map_summary(t):
     out = A.map_summary(scored(t))
     return rounded(rounded(out, {"good_school_share"}, 6), {"avg_actual", "mean_error", "mean_abs_error", "avg_predicted", "median_predicted"})
 
 
-_CMP = "count(*) AS listings, round(avg(p), 4) AS avg_predicted, round(avg(resale_price), 4) AS avg_actual, round(avg(e), 4) AS avg_error, round(avg(g), 6) AS near_good_school_share"
+_CMP = "count(*) AS listings, round(avg(p), 6) AS avg_predicted, round(avg(resale_price), 6) AS avg_actual, round(avg(e), 6) AS avg_error, round(avg(g), 6) AS near_good_school_share"
 _MONEY = {"avg_predicted", "avg_actual", "avg_error"}
 
 
@@ -259,9 +259,9 @@ def map_exposure_comparison(t):
 
 
 @query("exposure_gap", f"""WITH s AS (SELECT * FROM {_SCORED} q), m AS (SELECT town, avg(p) AS a FROM s WHERE strpos('HOW DO NATION_12, NATION_6X AND NATION_18! COMPARE?', town) > 0 GROUP BY town)
- SELECT round(avg(p) FILTER (WHERE g = 1), 4) AS mean_near, round(avg(p) FILTER (WHERE g = 0), 4) AS mean_far,
- round(avg(p) FILTER (WHERE g = 1) - avg(p) FILTER (WHERE g = 0), 4) AS gap, (SELECT town FROM m ORDER BY a DESC, town LIMIT 1) AS top_town,
- round((SELECT max(a) FROM m), 4) AS top_town_mean FROM s""")
+ SELECT round(avg(p) FILTER (WHERE g = 1), 6) AS mean_near, round(avg(p) FILTER (WHERE g = 0), 6) AS mean_far,
+ round(avg(p) FILTER (WHERE g = 1) - avg(p) FILTER (WHERE g = 0), 6) AS gap, (SELECT town FROM m ORDER BY a DESC, town LIMIT 1) AS top_town,
+ round((SELECT max(a) FROM m), 6) AS top_town_mean FROM s""")
 def exposure_gap(t):
     out = A.exposure_gap(scored(t), towns_in_text="how do nation_12, Nation_6x and Nation_18! compare?")
     return rounded(out, {"mean_near", "mean_far", "gap", "top_town_mean"})
@@ -274,14 +274,14 @@ def extent(t):
 
 @query("histogram_bins", """WITH v AS (SELECT resale_price AS x FROM {f_txn} q WHERE resale_price IS NOT NULL), e AS (SELECT min(x) AS lo, (max(x) - min(x)) / 80 AS w FROM v),
  b AS (SELECT CAST(unnest(range(80)) AS INTEGER) AS bin), c AS (SELECT least(79, CAST(floor((x - lo) / w) AS INTEGER)) AS bin, count(*) AS n FROM v, e GROUP BY 1)
- SELECT b.bin, round(lo + b.bin * w, 4) AS bin_low, round(lo + (b.bin + 1) * w, 4) AS bin_high, coalesce(n, 0) AS count FROM b CROSS JOIN e LEFT JOIN c ON b.bin = c.bin""")
+ SELECT b.bin, round(lo + b.bin * w, 6) AS bin_low, round(lo + (b.bin + 1) * w, 6) AS bin_high, coalesce(n, 0) AS count FROM b CROSS JOIN e LEFT JOIN c ON b.bin = c.bin""")
 def histogram_bins(t):
     return rounded(A.histogram(t.f_txn, PRICE, 80), {"bin_low", "bin_high"})
 
 
 @query("box_stats", """WITH v AS (SELECT flat_type, resale_price AS x FROM {f_txn} q WHERE resale_price IS NOT NULL),
  b AS (SELECT flat_type, count(*) AS n, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS q2, quantile_cont(x, 0.75) AS q3 FROM v GROUP BY 1)
- SELECT b.flat_type, any_value(n) AS count, round(any_value(q1), 4) AS q1, round(any_value(q2), 4) AS median, round(any_value(q3), 4) AS q3,
+ SELECT b.flat_type, any_value(n) AS count, round(any_value(q1), 6) AS q1, round(any_value(q2), 6) AS median, round(any_value(q3), 6) AS q3,
  min(x) FILTER (WHERE x >= q1 - 1.5 * (q3 - q1)) AS whisker_low, max(x) FILTER (WHERE x <= q3 + 1.5 * (q3 - q1)) AS whisker_high
  FROM b JOIN v ON b.flat_type = v.flat_type GROUP BY b.flat_type""")
 def box_stats(t):

@@ -145,15 +145,15 @@ def priced(t):
     return t.f_txn.withColumn("predicted_resale_price", F.col("floor_area_sqm") * 5000)
 
 
-@query("price_gap", """SELECT txn_id, round(resale_price - p, 4) AS prediction_error, round((resale_price - p) / p, 6) AS price_gap_pct,
+@query("price_gap", """SELECT txn_id, resale_price - p AS prediction_error, (resale_price - p) / p AS price_gap_pct,
  coalesce(resale_price, p) AS display_price, CASE WHEN resale_price IS NULL THEN 'Predicted price' ELSE 'Price' END AS display_price_type
  FROM (SELECT *, floor_area_sqm * 5000 AS p FROM {f_txn} x) t""")
 def price_gap(t):
     p, a = F.col("predicted_resale_price"), F.col("resale_price")
     return priced(t).select(
         "txn_id",
-        r6(a - p, "prediction_error", 4),
-        r6(F.try_divide(a - p, p), "price_gap_pct"),
+        (a - p).alias("prediction_error"),
+        F.try_divide(a - p, p).alias("price_gap_pct"),
         F.coalesce(a, p).alias("display_price"),
         F.when(a.isNull(), "Predicted price").otherwise("Price").alias("display_price_type"),
     )
