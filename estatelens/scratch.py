@@ -1,4 +1,4 @@
-"""Small helpers for materialised intermediates and bounded driver-side results."""
+"""Intermediate tables in the folder that driver and executors share."""
 
 from __future__ import annotations
 
@@ -12,25 +12,44 @@ LOCAL_ROW_LIMIT = 100_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A fresh folder under the shared checkpoint directory of the session."""
+    """A fresh folder under the shared checkpoint directory of the session.
+
+    Without a configured `spark.checkpoint.dir` only a local master may run: a machine-local
+    folder would leave each executor of a cluster with files that the others cannot see.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         base = tempfile.mkdtemp(prefix="estatelens-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/estatelens/{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, compression: str | None = None) -> DataFrame:
     """Write `df` to the shared folder and read it back.
 
     Cuts the lineage, survives the loss of an executor, and gives the optimizer
     a real size to choose join strategies by.
     """
     path = scratch_dir(df.sparkSession)
-    df.write.parquet(path)
+    writer = df.write.option("compression", compression) if compression else df.write
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that no later step reads; only files under the scratch folder go."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if "/estatelens/" in folder:
+                path = jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(conf).delete(path, True)
+
+
 def localize(df: DataFrame, limit: int = LOCAL_ROW_LIMIT) -> DataFrame:
     """Turn a small result into a local relation of known size, else materialise it.
 
