@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import repetition
+from . import minhash, repetition
 from .common import table
 
 
@@ -13,5 +13,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality,)}
-CHECKS = {"op3_quality": repetition.SQL}
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of near-duplicates of every document."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_quality, op5_near_duplicates)}
+CHECKS = {"op3_quality": repetition.SQL, "op5_near_duplicates": minhash.SQL}
