@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, repetition
+from . import minhash, repetition, templates
 from .common import table
 
 
@@ -18,5 +18,10 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality, op5_near_duplicates)}
-CHECKS = {"op3_quality": repetition.SQL, "op5_near_duplicates": minhash.SQL}
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines whose template recurs across documents."""
+    return templates.dedup_lines(table(spark, sf_dir, "documents"), counts=True)
+
+
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_quality, op5_near_duplicates)}
+CHECKS = {"op2_line_dedup": templates.SQL, "op3_quality": repetition.SQL, "op5_near_duplicates": minhash.SQL}

@@ -39,3 +39,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + limit, "right")) - 1)
             yield batch.slice(start, end - start)
             start = end
+
+
+# Stands for a null doc_id in joins.
+NO_ID = -(1 << 63)
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """`name`, with underscores before it until no column of `taken` is called so."""
+    while name.lower() in {c.lower() for c in taken}:
+        name = "_" + name
+    return name

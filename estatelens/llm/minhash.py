@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..scratch import discard, materialize
-from .common import slices, text_bytes
+from .common import NO_ID, slices, text_bytes
 from .components import components
 from .textgrams import BASE_INVERSE, Texts, U, powers, scramble
 
@@ -31,8 +31,6 @@ HASHES = 2 * GROUPS * WIDTH
 # Most differing bits of two one-bit sketches; at similarity 0.75 the mean is HASHES / 8, this is six deviations more.
 MAX_BITS = int(HASHES / 8 + 6 * (HASHES * 7 / 64) ** 0.5) + 1
 WORDS = (HASHES + 63) // 64
-# Stands for a null doc_id in joins.
-NO_ID = -(1 << 63)
 
 _random = np.random.default_rng(77)
 FACTORS = _random.integers(1, 1 << 31, (HASHES, 2), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
