@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, repetition, templates
+from . import minhash, mixing, repetition, templates
 from .common import table
 
 
@@ -13,6 +13,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition(table(spark, sf_dir, "documents"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slot of every document in the mix of all sources."""
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of near-duplicates of every document."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -23,5 +28,5 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.dedup_lines(table(spark, sf_dir, "documents"), counts=True)
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_quality, op5_near_duplicates)}
-CHECKS = {"op2_line_dedup": templates.SQL, "op3_quality": repetition.SQL, "op5_near_duplicates": minhash.SQL}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_quality, op4_mixing, op5_near_duplicates)}
+CHECKS = {"op2_line_dedup": templates.SQL, "op3_quality": repetition.SQL, "op4_mixing": mixing.SQL, "op5_near_duplicates": minhash.SQL}
