@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, mixing, packing, repetition, templates
+from . import minhash, mixing, packing, repetition, templates, tokenfile
 from .common import table
 
 
@@ -28,10 +28,15 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.dedup_lines(table(spark, sf_dir, "documents"), counts=True)
 
 
+def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checksums of every document, read back from the token file of all documents."""
+    return tokenfile.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every piece of every document in packed sequences."""
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_quality, op4_mixing, op5_near_duplicates, op9_packing)}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_quality, op4_mixing, op5_near_duplicates, op6_token_file, op9_packing)}
 CHECKS = {"op2_line_dedup": templates.SQL, "op3_quality": repetition.SQL, "op4_mixing": mixing.SQL, "op5_near_duplicates": minhash.SQL}
