@@ -122,7 +122,8 @@ def dedup_lines(docs: DataFrame, counts: bool = False, emptied: bool = True) ->
     schema = docs.schema
     if counts:
         schema = T.StructType([schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("n_lines", "n_dropped")), schema["text"]])
-    drops = dropped_lines(docs).select(F.col("doc_id").alias(key), F.col("lost").alias(lost))
+    # The lost lines grow with the documents, so they are merged and never broadcast.
+    drops = dropped_lines(docs).select(F.col("doc_id").alias(key), F.col("lost").alias(lost)).hint("merge")
     joined = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).join(drops, key, "left").drop(key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
