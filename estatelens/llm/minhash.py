@@ -31,6 +31,9 @@ HASHES = 2 * GROUPS * WIDTH
 # Most differing bits of two one-bit sketches; at similarity 0.75 the mean is HASHES / 8, this is six deviations more.
 MAX_BITS = int(HASHES / 8 + 6 * (HASHES * 7 / 64) ** 0.5) + 1
 WORDS = (HASHES + 63) // 64
+# Bits of an odd sketch: bit k is the parity of the set's shingles whose code ends in k. Two sketches differ in no more
+# bits than the sets in shingles, which similar sets bound by (1 - s) / (1 + s) of their sizes; so it loses no pair.
+ODD_BITS = 2048
 
 _random = np.random.default_rng(77)
 FACTORS = _random.integers(1, 1 << 31, (HASHES, 2), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -89,6 +92,19 @@ def sketches(keys: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.ascontiguousarray(codes[:, :GROUPS]), np.ascontiguousarray(codes[:, GROUPS:]), packed
 
 
+def odd_sketches(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Odd sketches (sets x ODD_BITS / 64, int64) of sets of `counts` keys each."""
+    out = np.empty((len(counts), ODD_BITS // 64), np.int64)
+    ends = np.cumsum(counts)
+    for low in range(0, len(counts), 512):
+        part = counts[low:low + 512]
+        own = keys[ends[low] - counts[low]:ends[low + len(part) - 1]]
+        place = np.repeat(np.arange(len(part)) * ODD_BITS, part) + (own & U(ODD_BITS - 1)).astype(np.int64)
+        parity = (np.bincount(place, minlength=len(part) * ODD_BITS) & 1).astype(np.uint8)
+        out[low:low + 512] = np.packbits(parity).view(np.int64).reshape(len(part), -1)
+    return out
+
+
 def lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     """One list of `values` a row; rows of size 0 are null."""
     offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), mask=np.append(sizes == 0, False))
@@ -96,7 +112,7 @@ def lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
 
 
 def sketch_table(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), node (code of the set, null if empty), bits, u, v of every row."""
+    """doc_id, n (set size), node (code of the set, null if empty), bits, odd, u, v of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             keys, n = shingle_sets(*text_bytes(part.column("text")))
@@ -107,12 +123,12 @@ def sketch_table(docs: DataFrame) -> DataFrame:
             if len(heads):
                 node[real] = class_codes(keys, heads)
             columns = {"doc_id": part.column("doc_id").cast(pa.int64()), "n": pa.array(n), "node": pa.array(node, mask=~real)}
-            for name, values in (("bits", bits), ("u", u), ("v", v)):
+            for name, values in (("bits", bits), ("odd", odd_sketches(keys, n[real])), ("u", u), ("v", v)):
                 columns[name] = lists(values, real * values.shape[1])
             yield pa.RecordBatch.from_pydict(columns)
 
     return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, n long, node long, bits array<long>, u array<long>, v array<long>")
+        run, "doc_id long, n long, node long, bits array<long>, odd array<long>, u array<long>, v array<long>")
 
 
 def set_table(docs: DataFrame) -> DataFrame:
@@ -129,10 +145,13 @@ def set_table(docs: DataFrame) -> DataFrame:
 
 
 def close_enough(a: str, b: str) -> Column:
-    """Whether sizes and one-bit sketches allow the pair to be similar; a and b prefix n and bits."""
-    differing = sum(F.bit_count(F.col(f"{a}bits")[k].bitwiseXOR(F.col(f"{b}bits")[k])) for k in range(WORDS))
+    """Whether sizes and both sketches allow the pair to be similar; a and b prefix n, bits and odd."""
+    def differing(name: str, words: int) -> Column:
+        return sum(F.bit_count(F.col(f"{a}{name}")[k].bitwiseXOR(F.col(f"{b}{name}")[k])) for k in range(words))
+
     small, large = F.least(f"{a}n", f"{b}n"), F.greatest(f"{a}n", f"{b}n")
-    return (WHOLE * small >= SIMILAR * large) & (differing <= MAX_BITS)
+    apart = (WHOLE + SIMILAR) * differing("odd", ODD_BITS // 64) <= (WHOLE - SIMILAR) * (small + large)
+    return (WHOLE * small >= SIMILAR * large) & (differing("bits", WORDS) <= MAX_BITS) & apart
 
 
 def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -166,8 +185,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     sketch = materialize(sketch_table(docs))
     classes = materialize(sketch.filter("n > 0").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "bits", "u", "v"))))
-    facts = classes.select("node", "n", "bits")
+        F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "bits", "odd", "u", "v"))))
+    facts = classes.select("node", "n", "bits", "odd")
 
     groups = classes.select("node", F.posexplode(F.concat("u", "v")).alias("at", "code"))
     shared = groups.groupBy("code").agg(F.count("*").alias("times")).filter("times > 1")
@@ -182,7 +201,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pivots = keys.groupBy("key").agg(F.max_by("node", "meets").alias("pivot"), F.count("*").alias("size")).filter("size > 1")
     met = keys.join(pivots.select("key", "pivot"), "key").filter("node <> pivot").select(
         F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    left, right = (facts.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("bits").alias(f"{c}_bits")) for c in "ab")
+    left, right = (facts.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("bits").alias(f"{c}_bits"), F.col("odd").alias(f"{c}_odd")) for c in "ab")
     pairs = materialize(met.join(left, "a").join(right, "b").filter(close_enough("a_", "b_")).select("a", "b"))
     edges = confirmed(docs, classes, pairs)
     labels = components(edges)
@@ -192,9 +211,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     keys = table_keys(state)
     mixed = keys.groupBy("key").agg(F.max_by("comp", "meets").alias("main"), F.min("comp").alias("low"), F.max("comp").alias("high"))
     mixed = mixed.filter("low <> high").select("key", "main")
-    rest = materialize(keys.join(mixed, "key").join(facts, "node").select("key", "node", "comp", "n", "bits", F.expr("comp <> main").alias("away")))
-    a = rest.filter("away").select("key", *(F.col(c).alias(f"a_{c}") for c in ("node", "comp", "n", "bits")))
-    b = rest.select("key", "away", *(F.col(c).alias(f"b_{c}") for c in ("node", "comp", "n", "bits")))
+    rest = materialize(keys.join(mixed, "key").join(facts, "node").select("key", "node", "comp", "n", "bits", "odd", F.expr("comp <> main").alias("away")))
+    a = rest.filter("away").select("key", *(F.col(c).alias(f"a_{c}") for c in ("node", "comp", "n", "bits", "odd")))
+    b = rest.select("key", "away", *(F.col(c).alias(f"b_{c}") for c in ("node", "comp", "n", "bits", "odd")))
     # Of two members away from the main component, each pair is met once.
     further = a.join(b, "key").filter(
         "a_comp <> b_comp and (not away or a_node < b_node)").filter(close_enough("a_", "b_")).select(
