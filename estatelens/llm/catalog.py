@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, mixing, packing, repetition, templates, tokenfile
+from . import minhash, mixing, packing, repetition, templates, tokenfile, warc
 from .common import table
 
 
@@ -38,5 +38,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_quality, op4_mixing, op5_near_duplicates, op6_token_file, op9_packing)}
-CHECKS = {"op2_line_dedup": templates.SQL, "op3_quality": repetition.SQL, "op4_mixing": mixing.SQL, "op5_near_duplicates": minhash.SQL}
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Record of every page, read back from the archives of all pages."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_quality, op4_mixing, op5_near_duplicates, op6_token_file, op9_packing, op10_warc)}
+CHECKS = {"op2_line_dedup": templates.SQL, "op3_quality": repetition.SQL, "op4_mixing": mixing.SQL, "op5_near_duplicates": minhash.SQL, "op10_warc": warc.SQL}
