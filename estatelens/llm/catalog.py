@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, mixing, packing, repetition, templates, tokenfile, warc
+from . import minhash, mixing, packing, repetition, secret_spans, templates, tokenfile, warc
 from .common import table
 
 
@@ -23,6 +23,11 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every document."""
+    return secret_spans.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines whose template recurs across documents."""
     return templates.dedup_lines(table(spark, sf_dir, "documents"), counts=True)
@@ -43,5 +48,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_quality, op4_mixing, op5_near_duplicates, op6_token_file, op9_packing, op10_warc)}
-CHECKS = {"op2_line_dedup": templates.SQL, "op3_quality": repetition.SQL, "op4_mixing": mixing.SQL, "op5_near_duplicates": minhash.SQL, "op10_warc": warc.SQL}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_line_dedup, op3_quality, op4_mixing, op5_near_duplicates, op6_token_file, op9_packing, op10_warc)}
+CHECKS = {"op1_secrets": secret_spans.SQL, "op2_line_dedup": templates.SQL, "op3_quality": repetition.SQL, "op4_mixing": mixing.SQL, "op5_near_duplicates": minhash.SQL, "op10_warc": warc.SQL}
