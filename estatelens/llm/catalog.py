@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, minhash, mixing, packing, repetition, secret_spans, templates, tokenfile, warc
+from . import language, minhash, mixing, neighbours, packing, repetition, secret_spans, templates, tokenfile, warc
 from .common import table
 
 
@@ -38,6 +38,11 @@ def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest vectors of every twentieth vector."""
+    return neighbours.search(table(spark, sf_dir, "embeddings"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document."""
     return language.predict(table(spark, sf_dir, "documents"))
@@ -53,5 +58,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_line_dedup, op3_quality, op4_mixing, op5_near_duplicates, op6_token_file, op8_language, op9_packing, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_line_dedup, op3_quality, op4_mixing, op5_near_duplicates, op6_token_file, op7_neighbours, op8_language, op9_packing, op10_warc)}
 CHECKS = {"op1_secrets": secret_spans.SQL, "op2_line_dedup": templates.SQL, "op3_quality": repetition.SQL, "op4_mixing": mixing.SQL, "op5_near_duplicates": minhash.SQL, "op10_warc": warc.SQL}
