@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from estatelens.llm import repetition
-from estatelens.llm.common import table
+from estatelens.llm import minhash, mixing, packing, repetition, templates
+from estatelens.llm.common import fresh, table
 from estatelens.scratch import materialize
 
 
@@ -14,9 +14,40 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return repetition.good_documents(docs)
 
 
-STAGES = [("quality rules", quality)]
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without recurring lines; n_chars follows. Those of which nothing is left go."""
+    lean = templates.dedup_lines(docs, emptied=False)
+    return lean.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else lean
 
-# The packing stage tokenises, and near-duplicate groups need shingle sets: tests compare with brute force instead.
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each group of near-duplicates."""
+    # Copies grow with the documents, so they are merged and never broadcast.
+    copies = minhash.near_duplicates(docs).filter("not kept").select("doc_id").distinct().hint("merge")
+    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, and documents of small sources again, as often as the mix of sources places them."""
+    clash = {c: fresh(c, docs.columns + list(mixing.PLACING)) for c in docs.columns if c.lower() in mixing.PLACING}
+    mixed = mixing.mix(docs.withColumnsRenamed(clash)).drop(*mixing.PLACING)
+    return mixed.withColumnsRenamed({v: k for k, v in clash.items()}).select(*docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Place of every piece of every document in sequences of at most 2,048 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("line dedup", line_dedup),
+    ("MinHash near-dedup", near_dedup),
+    ("mixing sources to target weights", mixing_sources),
+    ("best-fit packing", best_fit_packing),
+]
+
+# The packing stage needs a tokenizer, which SQL has not; tests compare the stages with brute force instead.
 ORACLE_SQL = None
 
 

@@ -23,6 +23,8 @@ TEMPERATURE = 0.9
 MAX_EPOCHS = 4
 SEED = "mix-1"
 BUCKET_DIGITS = 3
+# Columns that tell where a row is placed.
+PLACING = ("slot", "block", "epoch", "release", "deadline")
 
 
 def source_key(source: Column) -> Column:
@@ -75,8 +77,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     later epochs, up to MAX_EPOCHS. A null source is a source of its own; null ids and repeated rows are placed like
     any other. Columns of `docs` that are called like the new ones are replaced. An empty table gives no rows.
     """
-    extra = ["slot", "block", "epoch", "release", "deadline"]
-    docs = docs.drop(*extra)
+    docs = docs.drop(*PLACING)
     names = {n: fresh(n, docs.columns) for n in ("key", "code", "rank", "blocks", "share", "period", "times", "length")}
     key, code, rank = (names[n] for n in ("key", "code", "rank"))
     rows = docs.withColumn(key, source_key(F.col("source"))).withColumn(
@@ -94,7 +95,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     return placed.withColumns({
         "block": F.expr(f"{rank} div {BLOCK_DOCS}"), "release": F.expr(f"({turn} * {period}) div {share}"),
         "deadline": F.expr(f"(({turn} + 1) * {period} + {share} - 1) div {share}"),
-    }).select(*docs.columns, *extra)
+    }).select(*docs.columns, *PLACING)
 
 
 SQL = f"""
