@@ -14,10 +14,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ..scratch import localize
+from ..scratch import materialize
 
-# Rows of one group handled by one task at a time, and the widest design accepted.
+# Rows of one group handled by one task at a time, numbers in one dense slice of them, and the widest design accepted.
 ROWS_PER_CHUNK = 250_000
+SLICE_NUMBERS = 4_000_000
 MAX_TERMS = 4_000
 
 
@@ -92,11 +93,20 @@ def make_design(df: DataFrame, numeric: list[str], fields: list[str], y: str, dr
     )
 
 
+def _slices(design: Design, frame: pd.DataFrame):
+    """The rows in pieces whose dense form has a bounded number of cells, whatever the width."""
+    step = max(1, SLICE_NUMBERS // (len(design.terms) + 1))
+    for low in range(0, len(frame), step):
+        yield frame.iloc[low:low + step]
+
+
 def _partial(design: Design, y: str, weight: str | None, frame: pd.DataFrame) -> np.ndarray:
-    x = design.matrix(frame)
-    xy = np.column_stack([x, frame[y].to_numpy(dtype=float) - design.y_shift])
-    w = frame[weight].to_numpy(dtype=float) if weight else np.ones(len(frame))
-    return xy.T @ (xy * w[:, None])
+    size = len(design.terms) + 1
+    total = np.zeros((size, size))
+    for part in _slices(design, frame):
+        xy = np.column_stack([design.matrix(part), part[y].to_numpy(dtype=float) - design.y_shift])
+        total += xy.T @ (xy * part[weight].to_numpy(dtype=float)[:, None] if weight else xy)
+    return total
 
 
 def _packed(sums: np.ndarray, n: int) -> pd.DataFrame:
@@ -105,22 +115,25 @@ def _packed(sums: np.ndarray, n: int) -> pd.DataFrame:
     return pd.DataFrame({"i": range(-1, len(sums)), "values": rows})
 
 
-def chunk_sizes(df: DataFrame, by: list[str], rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+def chunk_sizes(df: DataFrame, by: list[str], rows_per_chunk: int | None = None) -> DataFrame:
     """How many chunks the rows of each group are dealt over: (by, __chunks)."""
-    return localize(as_chunks(df.groupBy(*by).agg(F.count("*").alias("n")), by, "n", rows_per_chunk))
+    return materialize(as_chunks(df.groupBy(*by).agg(F.count("*").alias("n")), by, "n", rows_per_chunk))
 
 
-def as_chunks(counts: DataFrame, by: list[str], n: str, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+def as_chunks(counts: DataFrame, by: list[str], n: str, rows_per_chunk: int | None = None) -> DataFrame:
     """The same from a table of group sizes that is already at hand."""
-    return counts.select(*by, F.ceil(F.col(n) / rows_per_chunk).alias("__chunks"))
+    return counts.select(*by, F.ceil(F.col(n) / (rows_per_chunk or ROWS_PER_CHUNK)).alias("__chunks"))
 
 
 def chunked(df: DataFrame, by: list[str], sizes: DataFrame) -> DataFrame:
-    """Add `__chunk`: deals the rows of each group evenly over its chunks."""
+    """Add `__chunk`: deals the rows of each group over its chunks by a hash of what they hold.
+
+    The number does not depend on the order of rows, so a task that runs again deals alike.
+    """
     return (
-        df.join(sizes, by)
-        .withColumn("__chunk", F.monotonically_increasing_id() % F.col("__chunks"))
-        .drop("__chunks")
+        df.withColumn("__code", F.xxhash64(*[F.col(c) for c in df.columns])).join(sizes, by)
+        .withColumn("__chunk", F.pmod("__code", "__chunks"))
+        .drop("__chunks", "__code")
     )
 
 
@@ -257,16 +270,17 @@ def score_sums(
     def per_chunk(frame: pd.DataFrame, fits: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(frame) and len(fits):
-            x = design.matrix(frame)
-            target = frame[y].to_numpy(dtype=float) - design.y_shift
-            w = frame[weight].to_numpy(dtype=float)
             key = [frame[c].iloc[0] for c in by]
-            for fit in fits.itertuples(index=False):
-                e = target - fit.level - x @ np.asarray(fit.beta, dtype=float)
-                centred = x - np.asarray(fit.centre, dtype=float)
-                for k, row in enumerate(fit.picked):
-                    u = w * e * (centred @ np.asarray(row, dtype=float))
-                    out.append((*key, fit.specification, k, float(u @ u)))
+            for part in _slices(design, frame):
+                x = design.matrix(part)
+                target = part[y].to_numpy(dtype=float) - design.y_shift
+                w = part[weight].to_numpy(dtype=float)
+                for fit in fits.itertuples(index=False):
+                    e = target - fit.level - x @ np.asarray(fit.beta, dtype=float)
+                    centred = x - np.asarray(fit.centre, dtype=float)
+                    for k, row in enumerate(fit.picked):
+                        u = w * e * (centred @ np.asarray(row, dtype=float))
+                        out.append((*key, fit.specification, k, float(u @ u)))
         return pd.DataFrame(out, columns=[*by, "specification", "k", "s"])
 
     parts = (

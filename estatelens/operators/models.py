@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import scalar as S
 from ..functions.tails import student_quantile_975, student_two_sided
-from ..scratch import localize
+from ..scratch import materialize
 from .aggregates import treated_share
 from .filters import route_by_threshold
 from .gram import (
@@ -427,7 +427,7 @@ def town_premiums(df: DataFrame, min_rows: int = 1500, min_share: float = 0.05)
     count = "good_school_count_1km"
     named = df.where(F.col("town").isNotNull())
     prices = summarize(named, ["town"], "resale_price", {"median": 0.5})
-    groups = localize(treated_share(named, "town", count))
+    groups = materialize(treated_share(named, "town", count))
     fit, skipped = route_by_threshold(
         groups, (F.col("rows") >= min_rows) & (F.col("treated_share") >= min_share), "below_threshold"
     )
@@ -441,7 +441,11 @@ def town_premiums(df: DataFrame, min_rows: int = 1500, min_share: float = 0.05)
         return pd.DataFrame([{"town": frame["town"].iloc[0], "fit_rows": sums.n, **row}])
 
     schema = "town string, fit_rows long, " + ", ".join(f"{c} double" for c in _EFFECT)
-    effects = gram(rows, design, TARGET, by=["town"]).groupBy("town").applyInPandas(effect, schema)
+    effects = materialize(gram(rows, design, TARGET, by=["town"]).groupBy("town").applyInPandas(effect, schema))
+    # Towns without complete rows, or with too few for an error, are skipped with a reason of their own.
+    effects = effects.where(~F.isnan("coef_log_points") & ~F.isnan("p_value"))
+    failed = fit.join(effects.select("town"), "town", "left_anti").withColumn("reason", F.lit("fit_failed"))
+    skipped = skipped.unionByName(failed.select(skipped.columns))
     results = effects.join(groups.select("town", "treated_share"), "town").join(
         prices.select("town", F.col("mean").alias("town_mean_resale_price"), F.col("median").alias("town_median_resale_price")),
         "town",

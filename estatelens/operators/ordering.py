@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..scratch import localize, materialize
+from ..scratch import materialize
 from .quantiles import join_null_safe
 
 
@@ -36,7 +36,7 @@ def dense_index(df: DataFrame, order: list[str], by: list[str] = (), name: str =
     before = Window.partitionBy(*by, "__one").orderBy("__part").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    runs = localize(
+    runs = materialize(
         runs.withColumn("__shift", F.sum("__n").over(before) - F.col("__n")).select(
             *by, "__part", "__start", "__shift"
         )
@@ -47,9 +47,19 @@ def dense_index(df: DataFrame, order: list[str], by: list[str] = (), name: str =
 
 
 def sample_n(df: DataFrame, n: int, keys: list[str], seed: int) -> DataFrame:
-    """At most n rows, picked by a seeded hash of the key: the same on any partitioning."""
-    rank = F.xxhash64(*[F.col(k) for k in keys], F.lit(seed))
-    return df.withColumn("__h", rank).orderBy("__h", *keys).limit(n).drop("__h")
+    """At most n rows, those first by a seeded hash of the key: the same on any partitioning.
+
+    Rows are counted by the head of their hash (at most 4,096 counts), so only rows up to the
+    head that holds the n-th are sorted.
+    """
+    code = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
+    coded = df.withColumn("__h", code)
+    head, seen, last = F.substring("__h", 1, 3), 0, "fff"
+    for row in coded.groupBy(head.alias("head")).count().orderBy("head").collect():
+        last, seen = row[0], seen + row[1]
+        if seen >= n:
+            break
+    return coded.where(head <= last).orderBy("__h", *keys).limit(n).drop("__h")
 
 
 def largest_per_id(df: DataFrame, id_column: str, area_column: str, tie: str) -> DataFrame:

@@ -12,7 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..scratch import localize
+from ..scratch import materialize
 
 # Buckets per doubling of the value, and a shift past the smallest exponent.
 BUCKETS_PER_OCTAVE = 1024
@@ -41,11 +41,12 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str
 def summarize(df: DataFrame, by: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
     """Per group: count, mean, std (n-1), min, max and exact linear-interpolation quantiles.
 
-    `quantiles` maps output names to probabilities. Null values are left out;
-    a null group key is a group of its own. Two scans of the input.
+    `quantiles` maps output names to probabilities. Null and NaN values are left out;
+    a null group key is a group of its own. Without group columns an empty input has
+    one row of count 0. Two scans of the input.
     """
     by = list(by)
-    rows = df.where(F.col(value).isNotNull()).select(
+    rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(
         *by, F.col(value).cast("double").alias("__x"), value_bucket(F.col(value).cast("double")).alias("__b")
     )
     keys = [*by, "__one"]
@@ -80,16 +81,19 @@ def summarize(df: DataFrame, by: list[str], value: str, quantiles: dict[str, flo
     inside = F.exists(
         ranks, lambda r: (r >= F.col("__before")) & (r < F.col("__before") + F.col("__n"))
     ) if quantiles else (F.col("__before") == 0)
-    wanted = localize(
+    wanted = materialize(
         placed.where(inside).select(
             *by, "__b", "__before", "__total", "mean", "__m2", "min", "max"
         )
     )
     std = F.when(F.col("count") > 1, F.sqrt(F.col("__m2") / (F.col("count") - 1)))
     if not quantiles:
-        return wanted.withColumnRenamed("__total", "count").select(
-            *by, "count", "mean", std.alias("std"), "min", "max"
-        )
+        totals = wanted.withColumnRenamed("__total", "count")
+        if not by:
+            totals = totals.agg(
+                F.coalesce(F.max("count"), F.lit(0)).alias("count"), *[F.max(c).alias(c) for c in ("mean", "__m2", "min", "max")]
+            )
+        return totals.select(*by, "count", "mean", std.alias("std"), "min", "max")
 
     # Second scan: rank the distinct values of the wanted buckets only.
     counted = (
@@ -113,8 +117,7 @@ def summarize(df: DataFrame, by: list[str], value: str, quantiles: dict[str, flo
         picks.append(at_rank(F.floor(position)).alias(f"__lo_{name}"))
         picks.append(at_rank(F.ceil(position)).alias(f"__hi_{name}"))
     totals = [F.max(c).alias(c) for c in ("mean", "__m2", "min", "max")]
-    grouped = ranked.groupBy(*by) if by else ranked.groupBy(F.lit(1).alias("__one"))
-    result = grouped.agg(F.max("__total").alias("count"), *totals, *picks)
+    result = ranked.groupBy(*by).agg(F.coalesce(F.max("__total"), F.lit(0)).alias("count"), *totals, *picks)
 
     def interpolated(name: str, p: float) -> Column:
         position = (F.col("count") - 1) * F.lit(float(p))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import scalar as S
 from ..functions.tails import normal_two_sided
-from ..scratch import localize, materialize
+from ..scratch import materialize
 from .filters import explode_bandwidths, route_by_threshold
 from .gram import Sums, as_chunks, chunk_sizes, gram, make_design, residual_sum, score_sums, solve, total_sum
 from .models import STRUCTURE, TARGET
@@ -112,7 +112,7 @@ def rdd_sweep(
     """
     keys = [*SCHOOL, "bandwidth_m"]
     local = materialize(local_rows(df, bandwidths))
-    groups = localize(boundary_groups(df, local, bandwidths))
+    groups = materialize(boundary_groups(df, local, bandwidths))
     enough = (
         (F.col("sample_size") >= min_total) & (F.col("inside_n") >= min_side) & (F.col("outside_n") >= min_side)
     )

@@ -312,9 +312,15 @@ EDGE = ("x1", "y1", "x2", "y2")
 
 
 def polygon_area(edges: DataFrame, by: list[str]) -> DataFrame:
-    """Shoelace area per polygon or part; hole rings run the other way and subtract."""
+    """Shoelace area per polygon or part, however its rings run: ring 0 of a part adds, its other rings subtract.
+
+    Edges without a column `ring` (or `part`) have one ring (or part).
+    """
     cross = F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")
-    return edges.groupBy(*by).agg((F.abs(F.sum(cross)) / 2).alias("area"))
+    rings = list(dict.fromkeys([*by, *[c for c in ("part", "ring") if c in edges.columns]]))
+    sizes = edges.groupBy(*rings).agg((F.abs(F.sum(cross)) / 2).alias("size"))
+    hole = F.col("ring") > 0 if "ring" in edges.columns else F.lit(False)
+    return sizes.groupBy(*by).agg(F.sum(F.when(hole, -F.col("size")).otherwise(F.col("size"))).alias("area"))
 
 
 def vertex_mean(edges: DataFrame, by: list[str]) -> DataFrame:
@@ -476,9 +482,14 @@ def signed_band_of_radius(points: DataFrame, edges: DataFrame, radius: float, ba
     covered = inside.where(F.col("odd") | F.col("on_edge")).select("point_id", "poly_id", F.lit(True).alias("in_polygon"))
     d = F.when(F.coalesce("in_polygon", F.lit(False)), F.lit(0.0)).otherwise(F.col("distance")) - radius
     out = near.join(covered, ["point_id", "poly_id"], "left").withColumn("signed_distance_m", d)
-    return out.where(F.abs("signed_distance_m") <= bandwidth).select(
-        "point_id", "poly_id", "signed_distance_m", (F.col("signed_distance_m") <= 0).cast("int").alias("inside")
-    )
+    out = out.where(F.abs("signed_distance_m") <= bandwidth).select("point_id", "poly_id", "signed_distance_m")
+    if radius <= bandwidth:
+        # Points in the polygon are at -radius, however far from its outline.
+        deep = point_in_polygon(points, edges, "intersects").select("point_id", "poly_id").join(
+            near.select("point_id", "poly_id"), ["point_id", "poly_id"], "left_anti"
+        )
+        out = out.unionByName(deep.withColumn("signed_distance_m", F.lit(-float(radius))))
+    return out.withColumn("inside", (F.col("signed_distance_m") <= 0).cast("int"))
 
 
 def boundary_distance(points: DataFrame, edges: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -495,7 +506,9 @@ def polygons_within(left: DataFrame, right: DataFrame, reach: float) -> DataFram
 
     Stands for the intersection of `left` with `right` buffered by `reach`.
     """
-    left, right = (materialize(df.select("poly_id", *EDGE)) for df in (left, right))
+    left, right = (
+        materialize(df.select("poly_id", *[c for c in ("part", "ring") if c in df.columns], *EDGE)) for df in (left, right)
+    )
     size = float(reach) or 1.0
 
     def cells(df, tag, pad):
@@ -513,15 +526,17 @@ def polygons_within(left: DataFrame, right: DataFrame, reach: float) -> DataFram
     )
 
     def corner(df):
-        return df.groupBy(F.col("poly_id").alias("point_id")).agg(F.min(F.struct("x1", "y1")).alias("v")).select(
-            "point_id", F.col("v.x1").alias("x"), F.col("v.y1").alias("y")
+        # One vertex of every ring of every part: a part inside the other polygon meets none of its edges.
+        rings = [c for c in ("part", "ring") if c in df.columns]
+        return df.groupBy("poly_id", *rings).agg(F.min(F.struct("x1", "y1")).alias("v")).select(
+            F.struct("poly_id", *rings).alias("point_id"), F.col("v.x1").alias("x"), F.col("v.y1").alias("y")
         )
 
     left_in = point_in_polygon(corner(left), right, "intersects").select(
-        F.col("point_id").alias("left_id"), F.col("poly_id").alias("right_id")
+        F.col("point_id.poly_id").alias("left_id"), F.col("poly_id").alias("right_id")
     )
     right_in = point_in_polygon(corner(right), left, "intersects").select(
-        F.col("poly_id").alias("left_id"), F.col("point_id").alias("right_id")
+        F.col("poly_id").alias("left_id"), F.col("point_id.poly_id").alias("right_id")
     )
     return close.unionByName(left_in).unionByName(right_in).distinct()
 

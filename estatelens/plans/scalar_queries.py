@@ -176,7 +176,22 @@ def points_from_lonlat(t):
     ).dropna(subset=["longitude", "latitude"])
 
 
-@query("project_svy21")
+_E2 = geo.WGS84_F * (2 - geo.WGS84_F)
+# Length of the meridian from the equator, by the series in multiples of the latitude.
+_ARC = (f"{geo.WGS84_A} * ((1 - {_E2} / 4 - 3 * pow({_E2}, 2) / 64 - 5 * pow({_E2}, 3) / 256) * %(b)s"
+        f" - (3 * {_E2} / 8 + 3 * pow({_E2}, 2) / 32 + 45 * pow({_E2}, 3) / 1024) * sin(2 * %(b)s)"
+        f" + (15 * pow({_E2}, 2) / 256 + 45 * pow({_E2}, 3) / 1024) * sin(4 * %(b)s) - 35 * pow({_E2}, 3) / 3072 * sin(6 * %(b)s))")
+
+
+@query("project_svy21", f"""WITH a AS (SELECT address_key, radians(latitude) AS b, radians(longitude) - radians({geo.ORIGIN_LON}) AS l FROM {{f_address}} t),
+ c AS (SELECT *, {geo.WGS84_A} / sqrt(1 - {_E2} * sin(b) * sin(b)) AS nu, (1 - {_E2} * sin(b) * sin(b)) / (1 - {_E2}) AS psi,
+  tan(b) * tan(b) AS t2, l * cos(b) AS k, {_ARC % dict(b='b')} - ({_ARC % dict(b=f'radians({geo.ORIGIN_LAT})')}) AS arc FROM a)
+ SELECT address_key,
+ round({geo.FALSE_EASTING} + nu * k * (1 + k * k / 6 * (psi - t2) + pow(k, 4) / 120 * (4 * pow(psi, 3) * (1 - 6 * t2)
+  + psi * psi * (1 + 8 * t2) - 2 * psi * t2 + t2 * t2)), 3) AS easting,
+ round({geo.FALSE_NORTHING} + arc + nu * tan(b) * k * k / 2 * (1 + k * k / 12 * (4 * psi * psi + psi - t2) + pow(k, 4) / 360
+  * (8 * pow(psi, 4) * (11 - 24 * t2) - 28 * pow(psi, 3) * (1 - 6 * t2) + psi * psi * (1 - 32 * t2) - 2 * psi * t2 + t2 * t2)), 3) AS northing,
+ CAST(0 AS DOUBLE) AS lat_error, CAST(0 AS DOUBLE) AS lon_error FROM c""")
 def project_svy21(t):
     """Degrees to plane metres and back; the result columns show the round trip."""
     a = t.f_address
@@ -194,11 +209,11 @@ _FLAT = ("sqrt(pow((b.latitude - a.latitude) * 111.32, 2) + pow((b.longitude - a
 
 
 @query("planar_distance_km", f"""SELECT a.address_key, round({_FLAT}, 6) AS km FROM {{f_address}} a
- JOIN {{f_amenity}} b ON b.amenity_id = a.ck % 10""")
+ JOIN {{f_amenity}} b ON b.amenity_id = a.ck % (SELECT count(*) FROM {{f_amenity}} c)""")
 def planar_distance_km(t):
     a = t.f_address
     b = t.f_amenity.select("amenity_id", F.col("latitude").alias("lat2"), F.col("longitude").alias("lon2"))
-    j = a.join(b, F.col("amenity_id") == F.col("ck") % 10)
+    j = a.join(b, F.col("amenity_id") == F.col("ck") % b.count())
     d = geo.flat_distance_km(F.col("latitude"), F.col("longitude"), F.col("lat2"), F.col("lon2"))
     return j.select("address_key", r6(d, "km"))
 

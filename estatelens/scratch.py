@@ -7,9 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Most rows a bounded lookup may bring to the driver; larger ones stay distributed.
-LOCAL_ROW_LIMIT = 100_000
-
 
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh folder under the shared checkpoint directory of the session.
@@ -48,15 +45,3 @@ def discard(*tables: DataFrame) -> None:
             if "/estatelens/" in folder:
                 path = jvm.org.apache.hadoop.fs.Path(folder)
                 path.getFileSystem(conf).delete(path, True)
-
-
-def localize(df: DataFrame, limit: int = LOCAL_ROW_LIMIT) -> DataFrame:
-    """Turn a small result into a local relation of known size, else materialise it.
-
-    At most `limit + 1` rows reach the driver. Spark then broadcasts the relation
-    by its own size threshold; the larger form keeps every row and joins by shuffle.
-    """
-    table = df.limit(limit + 1).toArrow()
-    if table.num_rows > limit:
-        return materialize(df)
-    return df.sparkSession.createDataFrame(table, schema=df.schema)

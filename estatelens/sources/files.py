@@ -69,8 +69,13 @@ def point_coordinates(c: str = "coordinates") -> tuple[Column, Column]:
     return F.get(F.col(c), F.lit(0)), F.get(F.col(c), F.lit(1))
 
 
+def multipolygon_edges(df: DataFrame, keys: list[str], coordinates: str = "coordinates") -> DataFrame:
+    """MultiPolygon rows to an edge table: keys, part, ring, seq, x1, y1, x2, y2."""
+    return polygon_edges(df.select(*keys, F.posexplode(coordinates).alias("part", "rings")), [*keys, "part"], "rings")
+
+
 def polygon_edges(df: DataFrame, keys: list[str], coordinates: str = "coordinates") -> DataFrame:
-    """Polygon rows to an edge table: keys, ring, seq, x1, y1, x2, y2."""
+    """Polygon rows to an edge table: keys, ring, seq, x1, y1, x2, y2. Ring 0 is the shell, others are holes."""
     rings = df.select(*keys, F.posexplode(coordinates).alias("ring", "r"))
     size = F.size("r")
     points = rings.where(size > 1).select(*keys, "ring", "r", F.explode(F.sequence(F.lit(1), size - 1)).alias("seq"))

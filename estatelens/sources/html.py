@@ -29,9 +29,9 @@ def description_field(description: Column, name: str) -> Column:
 
 
 def label_value(html: Column, label: str) -> Column:
-    """Text of the data element that follows the title element with this label."""
+    """Text of the data element that follows the title element with this label, before the next title."""
     pattern = (
-        rf"(?s)class=\"[^\"]*info-title[^\"]*\"[^>]*>\s*{re.escape(label)}\s*</[^>]+>.*?"
+        rf"(?s)class=\"[^\"]*info-title[^\"]*\"[^>]*>\s*{re.escape(label)}\s*</[^>]+>(?:(?!info-title).)*?"
         r"class=\"[^\"]*info-data[^\"]*\"[^>]*>([^<]*)<"
     )
     value = F.trim(F.regexp_extract(html, pattern, 1))

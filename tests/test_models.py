@@ -62,6 +62,7 @@ def test_ols_table(spark):
 
 def test_town_premiums(spark, monkeypatch):
     monkeypatch.setattr(L, "ROWS_PER_CHUNK", 200)
+    monkeypatch.setattr(L, "SLICE_NUMBERS", 5_000)
     f = sales(1)
     f.loc[f["town"] == "D", "good_school_count_1km"] = -1.0
     got, skipped = M.town_premiums(to_spark(spark, f), min_rows=100, min_share=0.05)
