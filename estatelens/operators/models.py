@@ -53,7 +53,7 @@ REDUCED_NUMERIC = tuple(
 CATEGORIES = ("town", "flat_type", "flat_model")
 TARGET = "log_resale_price"
 
-# Defaults for prediction inputs whose column is absent or empty.
+# Defaults for prediction inputs whose column is absent or empty.
 FALLBACK_TEXT = {"month": "2025-01", "town": "TAMPINES", "flat_type": "4 ROOM", "flat_model": "Model A"}
 FALLBACK_NUMBER = {
     "floor_area_sqm": 90.0, "lease_commence_date": 1995.0, "remaining_lease_years": 70.0, "storey_mid": 8.0,

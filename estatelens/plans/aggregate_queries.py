@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as A, filters as P
-from ..operators.models import prediction_defaults
+from ..operators.models import FALLBACK_NUMBER, prediction_defaults
 from ..functions.scalar import parse_lines
 from .filter_queries import RESULTS, result_rows
 from .join_queries import _NEAR, near_schools
@@ -194,7 +194,22 @@ def profile_defaults(t):
     return rounded(A.profile(t.f_feature, list(_MEDIANS), list(_MODES)), {"median"}, 6)
 
 
-@query("prediction_defaults")
+_TEXTS = ("month", "town", "flat_type", "flat_model")
+_NUMBERS = [c for c in FALLBACK_NUMBER if c not in ("lease_commence_date", "remaining_lease_years", "storey_mid")]
+_LEASE = """CASE WHEN remaining_lease IS NOT NULL THEN coalesce(try_cast(regexp_extract(remaining_lease, '(\\d+)\\s+year', 1) AS INTEGER), 0)
+ + coalesce(try_cast(regexp_extract(remaining_lease, '(\\d+)\\s+month', 1) AS INTEGER), 0) / 12.0 END"""
+
+
+@query("prediction_defaults", f"""WITH f AS MATERIALIZED (SELECT *, {_LEASE} AS lease,
+  (CAST(substr(storey_range, 1, 2) AS DOUBLE) + CAST(substr(storey_range, 7, 2) AS DOUBLE)) / 2 AS storey FROM {{f_feature}} t),
+ m AS (SELECT greatest(CAST(round_even(quantile_cont(lease, 0.5), 0) AS INTEGER), 1) AS years,
+  greatest(CAST(floor(quantile_cont(storey, 0.5) - 1) AS INTEGER), 1) AS low, CAST(ceil(quantile_cont(storey, 0.5) + 1) AS INTEGER) AS high,
+  CAST(round_even(quantile_cont(lease_commence_date, 0.5), 0) AS INTEGER) AS built FROM f)
+ """ + " UNION ALL ".join(
+    [f"(SELECT '{c}' AS field, CAST({c} AS VARCHAR) AS value FROM f WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1)" for c in _TEXTS]
+    + [f"SELECT '{c}', CAST(CAST(quantile_cont({c}, 0.5) AS DOUBLE) AS VARCHAR) FROM f" for c in _NUMBERS]
+    + ["SELECT 'lease_commence_date', CAST(built AS VARCHAR) FROM m", "SELECT 'remaining_lease', years || ' years' FROM m",
+       "SELECT 'storey_range', lpad(CAST(low AS VARCHAR), 2, '0') || ' TO ' || lpad(CAST(greatest(high, low) AS VARCHAR), 2, '0') FROM m"]))
 def prediction_defaults_query(t):
     """The full set of prediction defaults as text, one row per input."""
     defaults = prediction_defaults(t.f_feature)

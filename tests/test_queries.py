@@ -10,7 +10,7 @@ CHECKS = entry.oracle_sql()
 QUERIES = entry.queries()
 # These share one boundary sweep with `local_linear_rdd` or are covered by tests of their own.
 SLOW = {"rdd_summary", "rdd_skipped", "rdd_metrics", "hc1_cov", "town_premium_skipped"}
-ROWS_ONLY = ["prediction_defaults", "score_with_defaults", "vif_prune", "nested_spec_trace"]
+ROWS_ONLY = ["score_with_defaults", "vif_prune", "nested_spec_trace"]
 
 
 @pytest.mark.parametrize("name", [n for n in CHECKS if n not in SLOW])
