@@ -14,8 +14,8 @@ from tokenizers import Tokenizer
 
 BYTES = "byte_bpe_50k.json"
 WORDS = "word_bpe_49k.json"
-# Chunks that one Python worker keeps; the cache starts anew beyond that.
-CACHE = 600_000
+# Chunks of one generation; a Python worker keeps this one and the one before.
+CACHE = 500_000
 
 _white = r"\t-\r \x85\xa0  -     　"
 # Runs of white space that more than one rule of the byte tokenizer touches.
@@ -25,16 +25,50 @@ _byte_chunks = re.compile(rf" ?[^{_white}]+|[{_white}]+(?![^{_white}])|[{_white}
 _odd = re.compile("[\x1c-\x1f\x85᠎​﻿]")
 
 
+# Punctuation that never joins the letters before it, in either tokenizer.
+_tail = frozenset(".,;:!?*#$%&|)")
+# Bytes as the characters that stand for them in byte-level vocabularies: printable ones as they are, others from 256 on.
+_plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_rest = [b for b in range(256) if b not in set(_plain)]
+BYTE_CHARS = {b: chr(b) for b in _plain} | {b: chr(256 + k) for k, b in enumerate(_rest)}
+
+
 class Chunks(dict):
-    """chunk -> its ids as little-endian 16-bit numbers; `lead` is put before a chunk to encode it."""
+    """chunk -> its ids as little-endian 16-bit numbers; `lead` is put before a chunk to encode it.
+
+    `tails` holds the encodings of punctuation that ends a word. Chunks of the generation before, in `old`, are
+    taken over when they are met again.
+    """
 
-    def __init__(self, tokenizer: Tokenizer, lead: str = ""):
+    def __init__(self, tokenizer: Tokenizer, lower: bool, lead: str = "", tails: Chunks | None = None):
         super().__init__()
-        self.tokenizer, self.lead = tokenizer, lead
+        self.tokenizer, self.model, self.lower, self.lead = tokenizer, tokenizer.model, lower, lead
+        self.tails = self if tails is None else tails
+        self.old: dict[str, bytes] = {}
+
+    def turn(self) -> None:
+        """Begin a new generation."""
+        self.old = dict(self)
+        self.clear()
+
+    def ids(self, chunk: str) -> list[int]:
+        """Ids from the library: for one plain word from its model, else from the whole tokenizer."""
+        if chunk.isalpha() and (not self.lower or max(chunk) < "\u0250" and "\u0130" not in chunk):
+            word = self.lead + (chunk.lower() if self.lower else chunk)
+            return [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(BYTE_CHARS))]
+        return self.tokenizer.encode(self.lead + chunk, add_special_tokens=False).ids
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = self.tokenizer.encode(self.lead + chunk, add_special_tokens=False).ids
-        self[chunk] = out = b"".join(i.to_bytes(2, "little") for i in ids)
+        out = self.old.get(chunk)
+        if out is None:
+            end = len(chunk)
+            while end and chunk[end - 1] in _tail:
+                end -= 1
+            if 0 < end < len(chunk) and chunk[end - 1].isalpha() and chunk[end - 1].lower().isalpha():
+                out = self[chunk[:end]] + self.tails[chunk[end:]]
+            else:
+                out = b"".join(i.to_bytes(2, "little") for i in self.ids(chunk))
+        self[chunk] = out
         return out
 
 
@@ -46,18 +80,20 @@ class Encoder:
         # Strings of special tokens in a text are ordinary text.
         tokenizer.encode_special_tokens = True
         self.by_bytes = name == BYTES
-        self.exact, self.spaced = Chunks(tokenizer), Chunks(tokenizer, " ")
+        self.exact = Chunks(tokenizer, not self.by_bytes)
+        self.spaced = Chunks(tokenizer, not self.by_bytes, " ", self.exact)
 
     def __call__(self, text: str) -> bytes:
         """Ids of `text` as little-endian 16-bit numbers."""
         if len(self.exact) + len(self.spaced) > CACHE:
-            self.exact.clear()
-            self.spaced.clear()
+            self.exact.turn()
+            self.spaced.turn()
         if not text:
             return b""
         if not self.by_bytes:
             if _odd.search(text):
-                return self.exact.__missing__(text)
+                ids = self.exact.tokenizer.encode(text, add_special_tokens=False).ids
+                return b"".join(i.to_bytes(2, "little") for i in ids)
             return b"".join(map(self.exact.__getitem__, text.split()))
         if _runs.search(text):
             return b"".join(map(self.exact.__getitem__, _byte_chunks.findall(text)))
