@@ -120,6 +120,9 @@ class Model:
         letters = np.concatenate([[0], np.cumsum(codes != SPACE)])[bounds]
         stay = codes != SPACE
         stay[1:] |= codes[:-1] != SPACE
+        # A text does not begin with a space, whatever text comes before it.
+        heads = bounds[:-1][np.diff(bounds) > 0]
+        stay[heads] = codes[heads] != SPACE
         return codes[stay].astype(np.int64), np.concatenate([[0], np.cumsum(stay)])[bounds], np.diff(letters) > 0
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

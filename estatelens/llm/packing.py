@@ -166,7 +166,10 @@ def plan_counts(counts: np.ndarray, size: int = SEQUENCE, unit: int = BIN) -> Pl
                 a[b, k] += 1
         fitted = np.floor(nnls(a, totals.astype(float)) + 1e-9).astype(np.int64)
         for k in np.argsort(-fitted, kind="stable"):
-            todo = [plan.opened(int(fitted[k]))] if fitted[k] else []
+            # Least squares may ask for more than there is: no sequence is opened that its pattern cannot fill.
+            enough = [left[(b - 1) * unit + 1:b * unit + 1].sum() // forms[k].count(b) for b in forms[k]]
+            times = int(min(fitted[k], *enough))
+            todo = [plan.opened(times)] if times else []
             for place, b in enumerate(forms[k]):
                 after = []
                 for group in todo:

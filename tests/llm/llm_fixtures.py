@@ -1,3 +1,5 @@
+"""Fixtures and helpers that the tests of the corpus operators import."""
+
 import duckdb
 import pytest
 

@@ -15,6 +15,7 @@ from tokenizers import Tokenizer
 from conftest import SF
 from estatelens.llm import language, neighbours, packing, tokenfile, tokens, warc
 from estatelens.scratch import scratch_dir
+from llm_fixtures import frame  # noqa: F401
 
 TEXTS = ["", " ", "a  b", "a \nb", "a\n \nb", " x\n\n  y \t z ", "foo\n bar", "\n\n", "a　 b", "A\x1cB  c", "don't  I'll", "<|endoftext|> x",
          "é é ﬁ Σας ΟΔΟΣ", "x" * 3000, "​﻿ \x85y", "日本 語", "\U0001d4b3 \U0001d4b3"]
@@ -125,7 +126,7 @@ def test_nnls_meets_its_conditions():
 def test_neighbours(spark):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((3000, 16)) * rng.uniform(0.5, 2, (3000, 1))
-    x[100:140] = x[100]
+    x[100:140] = 9 * x[100] / np.linalg.norm(x[100])
     rows = [(k, v.tolist()) for k, v in enumerate(x)]
     odd = [(5001, None), (5020, [0.0] * 16), (5040, [float("nan")] * 16), (5060, [None] + [1.0] * 15), (5080, [1.0]), (None, [1.0] * 16), (5100, [])]
     got = {}

@@ -6,6 +6,7 @@ import corpus_pipeline
 from conftest import SF
 from estatelens.llm import minhash, mixing, packing, repetition, templates
 from estatelens.scratch import materialize
+from llm_fixtures import duck_docs  # noqa: F401
 from test_models_and_files import check_packing
 
 

@@ -6,6 +6,7 @@ import string
 import pytest
 
 from estatelens.llm import minhash, mixing, repetition, secret_spans, templates
+from llm_fixtures import agrees, duck_docs, frame  # noqa: F401
 
 random.seed(5)
 WORDS = ["".join(random.choices(string.ascii_lowercase, k=random.randint(1, 7))) for _ in range(400)]
