@@ -34,7 +34,8 @@ def test_nearest_k(spark, k):
     m = brute(o, t).sort_values(["origin_id", "kind", "d", "target_id"])
     want = m.groupby(["origin_id", "kind"]).head(k)
     assert set(zip(got.origin_id, got.kind, got.target_id)) == set(zip(want.origin_id, want.kind, want.target_id))
-    assert (got["rank"] == got.groupby(["origin_id", "kind"])["distance"].rank(method="first")).sum() > 0
+    ranks = dict(zip(zip(want.origin_id, want.kind, want.target_id), want.groupby(["origin_id", "kind"]).cumcount() + 1))
+    assert {(a, b, c): r for a, b, c, r in zip(got.origin_id, got.kind, got.target_id, got["rank"])} == ranks
 
 
 @pytest.mark.parametrize("radius", [0.5, 120.0, 5000.0])
