@@ -34,6 +34,8 @@ WORDS = (HASHES + 63) // 64
 # Bits of an odd sketch: bit k is the parity of the set's shingles whose code ends in k. Two sketches differ in no more
 # bits than the sets in shingles, which similar sets bound by (1 - s) / (1 + s) of their sizes; so it loses no pair.
 ODD_BITS = 2048
+# The same with fewer bits, for many comparisons; a larger sketch folds into it.
+FOLD_BITS = 512
 
 _random = np.random.default_rng(77)
 FACTORS = _random.integers(1, 1 << 31, (HASHES, 2), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -105,6 +107,11 @@ def odd_sketches(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def folded(odd: np.ndarray) -> np.ndarray:
+    """Odd sketches of FOLD_BITS from larger ones."""
+    return np.bitwise_xor.reduce(odd.reshape(len(odd), ODD_BITS // FOLD_BITS, FOLD_BITS // 64), axis=1)
+
+
 def lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     """One list of `values` a row; rows of size 0 are null."""
     offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), mask=np.append(sizes == 0, False))
@@ -112,7 +119,7 @@ def lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
 
 
 def sketch_table(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), node (code of the set, null if empty), bits, odd, u, v of every row."""
+    """doc_id, n (set size), node (code of the set, null if empty), sketches, u, v of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             keys, n = shingle_sets(*text_bytes(part.column("text")))
@@ -123,12 +130,13 @@ def sketch_table(docs: DataFrame) -> DataFrame:
             if len(heads):
                 node[real] = class_codes(keys, heads)
             columns = {"doc_id": part.column("doc_id").cast(pa.int64()), "n": pa.array(n), "node": pa.array(node, mask=~real)}
-            for name, values in (("bits", bits), ("odd", odd_sketches(keys, n[real])), ("u", u), ("v", v)):
+            odd = odd_sketches(keys, n[real])
+            for name, values in (("bits", bits), ("odd", odd), ("fold", folded(odd)), ("u", u), ("v", v)):
                 columns[name] = lists(values, real * values.shape[1])
             yield pa.RecordBatch.from_pydict(columns)
 
     return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, n long, node long, bits array<long>, odd array<long>, u array<long>, v array<long>")
+        run, "doc_id long, n long, node long, bits array<long>, odd array<long>, fold array<long>, u array<long>, v array<long>")
 
 
 def set_table(docs: DataFrame) -> DataFrame:
@@ -144,13 +152,13 @@ def set_table(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node long, set array<long>")
 
 
-def close_enough(a: str, b: str) -> Column:
-    """Whether sizes and both sketches allow the pair to be similar; a and b prefix n, bits and odd."""
+def close_enough(a: str, b: str, odd: str = "odd", words: int = ODD_BITS // 64) -> Column:
+    """Whether sizes and both sketches allow the pair to be similar; a and b prefix n, bits and the odd sketch."""
     def differing(name: str, words: int) -> Column:
         return sum(F.bit_count(F.col(f"{a}{name}")[k].bitwiseXOR(F.col(f"{b}{name}")[k])) for k in range(words))
 
     small, large = F.least(f"{a}n", f"{b}n"), F.greatest(f"{a}n", f"{b}n")
-    apart = (WHOLE + SIMILAR) * differing("odd", ODD_BITS // 64) <= (WHOLE - SIMILAR) * (small + large)
+    apart = (WHOLE + SIMILAR) * differing(odd, words) <= (WHOLE - SIMILAR) * (small + large)
     return (WHOLE * small >= SIMILAR * large) & (differing("bits", WORDS) <= MAX_BITS) & apart
 
 
@@ -185,7 +193,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     sketch = materialize(sketch_table(docs))
     classes = materialize(sketch.filter("n > 0").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "bits", "odd", "u", "v"))))
+        F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "bits", "odd", "fold", "u", "v"))))
     facts = classes.select("node", "n", "bits", "odd")
 
     groups = classes.select("node", F.posexplode(F.concat("u", "v")).alias("at", "code"))
@@ -206,19 +214,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     edges = confirmed(docs, classes, pairs)
     labels = components(edges)
 
-    # Keys whose members are still in several components: members away from the pivot's component meet all others.
-    state = live.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    keys = table_keys(state)
-    mixed = keys.groupBy("key").agg(F.max_by("comp", "meets").alias("main"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    # Groups of the first collection whose members are still in several components: those away from the pivot's
+    # component meet all others. Similar sets share such a group whenever they share a table key.
+    state = live.join(labels, "node", "left").select(
+        "node", "meets", F.coalesce("comp", "node").alias("comp"), F.explode("lu").alias("key"))
+    mixed = state.groupBy("key").agg(F.max_by("comp", "meets").alias("main"), F.min("comp").alias("low"), F.max("comp").alias("high"))
     mixed = mixed.filter("low <> high").select("key", "main")
-    rest = materialize(keys.join(mixed, "key").join(facts, "node").select("key", "node", "comp", "n", "bits", "odd", F.expr("comp <> main").alias("away")))
-    a = rest.filter("away").select("key", *(F.col(c).alias(f"a_{c}") for c in ("node", "comp", "n", "bits", "odd")))
-    b = rest.select("key", "away", *(F.col(c).alias(f"b_{c}") for c in ("node", "comp", "n", "bits", "odd")))
+    small = classes.select("node", "n", "bits", "fold")
+    rest = materialize(state.join(mixed, "key").join(small, "node").select("key", "node", "comp", "n", "bits", "fold", F.expr("comp <> main").alias("away")))
+    a = rest.filter("away").select("key", *(F.col(c).alias(f"a_{c}") for c in ("node", "comp", "n", "bits", "fold")))
+    b = rest.select("key", "away", *(F.col(c).alias(f"b_{c}") for c in ("node", "comp", "n", "bits", "fold")))
     # Of two members away from the main component, each pair is met once.
-    further = a.join(b, "key").filter(
-        "a_comp <> b_comp and (not away or a_node < b_node)").filter(close_enough("a_", "b_")).select(
+    further = a.join(b, "key").filter("a_comp <> b_comp and (not away or a_node < b_node)").filter(
+        close_enough("a_", "b_", "fold", FOLD_BITS // 64)).select(
         F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
-    further = materialize(further.join(pairs, ["a", "b"], "left_anti"))
+    further = further.join(pairs, ["a", "b"], "left_anti")
+    further = materialize(further.join(left, "a").join(right, "b").filter(close_enough("a_", "b_")).select("a", "b"))
     discard(rest, live)
     if further.limit(1).count():
         edges = edges.union(confirmed(docs, classes, further))
