@@ -6,9 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from estatelens import scratch
-from estatelens.operators import gram as L, models as M, quantiles as Q, spatial as G
+from estatelens.operators import gram as L, quantiles as Q, spatial as G
 from estatelens.sources import files, html
-from test_models import sales, to_spark
 
 
 def square(poly, cx, cy, h, part=0, ring=0, reverse=False):
@@ -82,14 +81,6 @@ def test_chunks_do_not_depend_on_row_order(spark, monkeypatch):
     assert deals[0] == deals[1] and len(set(deals[0])) > 5
 
 
-def test_town_without_complete_rows_is_reported(spark):
-    f = sales(1)
-    f.loc[f["town"] == "B", "floor_area_sqm"] = None
-    got, skipped = M.town_premiums(to_spark(spark, f), min_rows=50, min_share=0.05)
-    assert {r.town: r.reason for r in skipped.collect()}.get("B") == "fit_failed"
-    assert "B" not in {r.town for r in got.collect()}
-
-
 def test_scratch_needs_a_shared_folder():
     class Session:
         class conf:

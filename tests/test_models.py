@@ -28,11 +28,10 @@ def sales(seed=0, n=1500):
 
 
 def to_spark(spark, f):
-    df = spark.createDataFrame(f)
-    for c, kind in f.dtypes.items():
-        if kind == float:
-            df = df.withColumn(c, F.when(~F.isnan(c), F.col(c)))
-    return df
+    """The rows with null for NaN, typed by the frame's columns."""
+    kinds = {"f": "double", "i": "long", "O": "string"}
+    schema = ", ".join(f"{c} {kinds[t.kind]}" for c, t in f.dtypes.items())
+    return spark.createDataFrame(f.astype(object).where(f.notna(), None).to_numpy().tolist(), schema)
 
 
 def dense(f, numeric, fields):
@@ -65,9 +64,10 @@ def test_town_premiums(spark, monkeypatch):
     monkeypatch.setattr(L, "SLICE_NUMBERS", 5_000)
     f = sales(1)
     f.loc[f["town"] == "D", "good_school_count_1km"] = -1.0
+    f.loc[f["town"] == "C", "floor_area_sqm"] = np.nan
     got, skipped = M.town_premiums(to_spark(spark, f), min_rows=100, min_share=0.05)
     got = got.toPandas().set_index("town")
-    assert [r.town for r in skipped.collect()] == ["D"] and set(got.index) == {"A", "B", "C"}
+    assert {r.town: r.reason for r in skipped.collect()} == {"C": "fit_failed", "D": "below_threshold"} and set(got.index) == {"A", "B"}
     numeric = ["good_school_count_1km", *M.STRUCTURE, *M.AMENITIES]
     for town, row in got.iterrows():
         g = f[f["town"] == town]
