@@ -12,7 +12,7 @@ control, data); shards and chunks are in the order of doc_id.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -77,9 +77,9 @@ def id_counts(ids: DataFrame) -> DataFrame:
     """How often each id occurs: id, n."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(VOCABULARY, np.int64)
-        for batch in batches:
-            for value in batch.column("ids").to_pylist():
-                total += np.bincount(np.frombuffer(value, "<u2"), minlength=VOCABULARY)
+        for batch in slices(batches, "ids"):
+            held = b"".join(batch.column("ids").to_pylist())
+            total += np.bincount(np.frombuffer(held, "<u2"), minlength=VOCABULARY)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"id": pa.array(at, pa.int64()), "n": pa.array(total[at])})
 
@@ -130,8 +130,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = WORDS) -> None:
     discard(ids)
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens (long) and ids (array of int) of every document in the file."""
+def decoded(spark: SparkSession, path: str, schema: str, columns: Callable[[np.ndarray, np.ndarray], dict]) -> DataFrame:
+    """doc_id, start, n_tokens and `columns` of every document: a function of ids of some documents and their bounds."""
     inverse = np.array([r[1] for r in sorted(spark.read.parquet(f"{path}/ranks").collect())], np.uint32)  # at most VOCABULARY rows
     chunks = spark.read.parquet(f"{path}/chunks")
     held = chunks.groupBy("shard").agg(F.sum(F.expr("aggregate(lengths, 0L, (a, b) -> a + b)")).alias("n")).collect()  # one row a shard
@@ -146,35 +146,34 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 chunk = {c: batch.column(c)[row].as_py() for c in batch.schema.names}
                 lengths = np.array(chunk["lengths"], np.int64)
                 ids = inverse[decode(chunk["control"], chunk["data"], int(lengths.sum()))]
-                ends = np.cumsum(lengths)
-                for low in range(0, len(lengths), 256):
-                    part = slice(low, low + 256)
-                    offsets = np.concatenate([[0], np.cumsum(lengths[part])]).astype(np.int32)
-                    own = ids[ends[low] - lengths[low]:][:offsets[-1]]
-                    yield pa.RecordBatch.from_pydict({
-                        "doc_id": pa.array(chunk["doc_ids"][part], pa.int64()),
-                        "start": pa.array(first[chunk["shard"]] + chunk["base"] + (ends - lengths)[part]),
-                        "n_tokens": pa.array(lengths[part]),
-                        "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(own.view(np.int32)))})
-
-    return chunks.mapInArrow(run, "doc_id long, start long, n_tokens long, ids array<int>")
-
-
-def checksums(tokens: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of decoded documents."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("ids")
-            offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
-            crc = [zlib.crc32(values[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_pydict(
-                {c: batch.column(c) for c in ("doc_id", "start", "n_tokens")} | {"ids_crc32": pa.array(crc, pa.int64())})
+                bounds = np.concatenate([[0], np.cumsum(lengths)])
+                yield pa.RecordBatch.from_pydict({
+                    "doc_id": pa.array(chunk["doc_ids"], pa.int64()),
+                    "start": pa.array(first[chunk["shard"]] + chunk["base"] + bounds[:-1]),
+                    "n_tokens": pa.array(lengths)} | columns(ids, bounds))
+
+    return chunks.mapInArrow(run, f"doc_id long, start long, n_tokens long, {schema}")
+
+
+def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, n_tokens (long) and ids (array of int) of every document in the file."""
+    def columns(ids: np.ndarray, bounds: np.ndarray) -> dict:
+        return {"ids": pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.view(np.int32)))}
+
+    return decoded(spark, path, "ids array<int>", columns)
+
+
+def checksums(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of every document in the file."""
+    def columns(ids: np.ndarray, bounds: np.ndarray) -> dict:
+        crc = [zlib.crc32(ids[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        return {"ids_crc32": pa.array(crc, pa.int64())}
 
-    return tokens.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return decoded(spark, path, "ids_crc32 long", columns)
 
 
 def round_trip(docs: DataFrame) -> DataFrame:
     """Write the token file of `docs` to the shared folder, read it back and return its checksums."""
     path = scratch_dir(docs.sparkSession)
     write_tokens(docs, path)
-    return checksums(read_tokens(docs.sparkSession, path))
+    return checksums(docs.sparkSession, path)

@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 BYTES = "byte_bpe_50k.json"
 WORDS = "word_bpe_49k.json"
 # Chunks of one generation; a Python worker keeps this one and the one before.
-CACHE = 500_000
+CACHE = 300_000
 
 _white = r"\t-\r \x85\xa0  -     　"
 # Runs of white space that more than one rule of the byte tokenizer touches.
