@@ -18,8 +18,8 @@ from .common import slices
 
 # The labelled sample: pieces of this many characters, and characters in all, dealt evenly to the languages.
 PIECE, SAMPLE = 800, 240_000
-# Different symbols that automata tell apart, beside the separator; rarer letters match nothing.
-SYMBOLS = 56
+# Alphabets of up to this many symbols have dense transitions, larger ones hashed; both tell all letters apart.
+DENSE = 64
 # Symbols after which a long text is cut; each block is parsed on its own.
 BLOCK = 512
 FOLDS, HELD_OUT = 4, 2
@@ -51,10 +51,8 @@ def labelled_sample(docs: DataFrame) -> dict[str, list[str]]:
     return {lang: pieces[:most] for lang, pieces in found.items()}
 
 
-def automaton(codes: np.ndarray, symbols: int) -> np.ndarray:
-    """Transitions (states x symbols, 0 for none; state 0 is the start) of the suffix automaton of `codes`."""
-    limit = 2 * len(codes) + 2
-    table = np.zeros((limit, symbols), np.int32)
+def transitions(codes: np.ndarray) -> list[dict[int, int]]:
+    """Symbol -> next state for each state of the suffix automaton of `codes`; state 0 is the start."""
     step: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in codes.tolist():
@@ -80,10 +78,67 @@ def automaton(codes: np.ndarray, symbols: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
+    return step
+
+
+def automaton(codes: np.ndarray, symbols: int) -> np.ndarray:
+    """Transitions (states x symbols, 0 for none; state 0 is the start) of the suffix automaton of `codes`."""
+    step = transitions(codes)
+    table = np.zeros((len(step), symbols), np.int32)
     for state, steps in enumerate(step):
         for c, to in steps.items():
             table[state, c] = to
-    return table[:len(step)].copy()
+    return table
+
+
+class Dense:
+    """Transitions of an automaton as one table."""
+
+    def __init__(self, codes: np.ndarray, symbols: int):
+        table = automaton(codes, symbols)
+        self.flat, self.root, self.symbols = table.ravel(), table[0], symbols
+
+    def after(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return self.flat[state * np.int64(self.symbols) + c]
+
+
+class Hashed:
+    """The same with memory for the transitions there are only: open addressing by state and symbol."""
+
+    def __init__(self, codes: np.ndarray, symbols: int):
+        step = transitions(codes)
+        sizes = [len(s) for s in step]
+        keys = np.repeat(np.arange(len(step), dtype=np.int64) * symbols, sizes) + np.array([c for s in step for c in s], np.int64)
+        ends = np.array([to for s in step for to in s.values()], np.int32)
+        self.symbols, self.bits = symbols, max(4, (4 * len(keys)).bit_length())
+        self.keys, self.ends = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
+        place, left = self.place(keys), np.arange(len(keys))
+        while len(left):
+            # Of all that want a free place the last gets it; the others go on to the next one.
+            free = left[self.keys[place[left]] < 0]
+            self.keys[place[free]] = keys[free]
+            left = left[self.keys[place[left]] != keys[left]]
+            place[left] = (place[left] + 1) & ((1 << self.bits) - 1)
+        self.ends[place] = ends
+        self.root = np.zeros(symbols, np.int32)
+        self.root[list(step[0])] = list(step[0].values())
+
+    def place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def after(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        keys = state * np.int64(self.symbols) + c
+        place = self.place(keys)
+        have = self.keys[place]
+        out = np.where(have == keys, self.ends[place], 0)
+        left = np.flatnonzero((have != keys) & (have >= 0))
+        while len(left):
+            place[left] = (place[left] + 1) & ((1 << self.bits) - 1)
+            have = self.keys[place[left]]
+            hit = have == keys[left]
+            out[left[hit]] = self.ends[place[left[hit]]]
+            left = left[~hit & (have >= 0)]
+        return out
 
 
 class Model:
@@ -93,18 +148,19 @@ class Model:
         self.languages = sorted(sample)
         clean = {lang: ["".join(ch if ch.isalpha() else " " for ch in p.lower()) for p in pieces] for lang, pieces in sample.items()}
         counts = Counter(ch for pieces in clean.values() for p in pieces for ch in p if ch != " ")
-        letters = [ch for ch, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:SYMBOLS - 2]]
-        self.code = np.full(0x110000, OTHER, np.uint8)
+        # Every letter of the sample has a code; only letters that it lacks match nothing.
+        letters = [ch for ch, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))]
+        self.code = np.full(0x110000, OTHER, np.int32)
         self.code[:0xD800][~_letter] = SPACE
         for k, ch in enumerate(letters):
             self.code[ord(ch)] = k + 2
         self.symbols = len(letters) + 3
         self.automata = []
         for lang in self.languages:
-            # Pieces are kept apart by a symbol that no text has, and so are letters outside the alphabet.
+            # Pieces are kept apart by a symbol that no text has.
             codes = [np.append(self.codes(p)[0], self.symbols - 1) for p in clean[lang]]
             codes = np.concatenate(codes) if codes else np.zeros(0, np.int64)
-            self.automata.append(automaton(np.where(codes == OTHER, self.symbols - 1, codes), self.symbols))
+            self.automata.append((Dense if self.symbols <= DENSE else Hashed)(codes, self.symbols))
 
     def codes(self, *texts: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Symbols of all texts, with runs of non-letters as one space; the texts' bounds; whether each has a letter."""
@@ -137,14 +193,14 @@ class Model:
         doc, starts, lengths = doc[order], starts[order], lengths[order]
         going = np.searchsorted(-lengths, -np.arange(1, BLOCK + 1), "right")
         out = np.zeros((len(texts), len(self.languages)), np.int64)
-        for k, table in enumerate(self.automata):
-            flat, root = table.ravel(), table[0]
+        for k, held in enumerate(self.automata):
+            root = held.root
             state, count = np.zeros(len(starts), np.int32), np.zeros(len(starts), np.int32)
             for t in range(int(lengths[0]) if len(lengths) else 0):
                 n = going[t]
                 c = codes[starts[:n] + t]
                 now = state[:n]
-                after = flat[now * np.int64(self.symbols) + c]
+                after = held.after(now, c)
                 over = after == 0
                 count[:n] += over | (now == 0)
                 state[:n] = np.where(over, root[c], after)

@@ -243,3 +243,24 @@ def test_reader_finds_damage():
     for bad in (good[:-1], good.replace(b"Content-Length: ", b"Content-Length: 1", 1), b"x" + good, warc.record(1, "u", b"p", digest, None)):
         with pytest.raises(ValueError):
             warc.parse(bad)
+
+
+@pytest.mark.parametrize("first", [0x4E00, 0x410])
+def test_every_letter_of_the_sample_counts(frame, first):
+    """Languages of one script, beside Latin ones: their letters are not among the most frequent of all."""
+    r = random.Random(7)
+    size = 1500 if first == 0x4E00 else 32
+    letters = [chr(first + k) for k in range(size)]
+    words = {lang: ["".join(r.choices(letters, k=r.randint(2, 5))) for _ in range(300)] for lang in ("x1", "x2", "x3")}
+    words |= {f"a{k}": ["".join(r.choices("abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïðñòóôõöøùúûü", k=r.randint(2, 8))) for _ in range(300)] for k in range(6)}
+    rows = [(k * 10 + n, " ".join(r.choices(words[lang], k=60)), lang, None) for n, lang in enumerate(words) for k in range(40)]
+    got = {x.doc_id: x for x in language.predict(frame(rows)).collect()}
+    held = [row for row in rows if got[row[0]].held_out]
+    assert {row[2] for row in held} == set(words) and all(got[row[0]].lang_pred == row[2] for row in held)
+
+
+def test_hashed_transitions_equal_dense_ones():
+    codes = np.random.default_rng(2).integers(1, 7, 400)
+    dense, hashed = language.Dense(codes, 8), language.Hashed(codes, 8)
+    state, c = (x.ravel() for x in np.indices((len(dense.flat) // 8, 8)))
+    assert (dense.after(state, c) == hashed.after(state, c)).all() and (dense.root == hashed.root).all()
