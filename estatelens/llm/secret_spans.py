@@ -2,9 +2,10 @@
 
 Candidates of the entropy scan are runs of token characters with a digit in them. A window of WINDOW characters moves
 along each; its character counts and their entropy term are updated by the character that enters and the one that
-leaves. A window is suspicious if it is hexadecimal, with digits and letters, or has digits, upper and lower case, and
-its entropy reaches the threshold of that class. Candidates that match the allow-list are left out, and so are
-spans inside a span of a fixed pattern.
+leaves. A window is suspicious if it has digits and letters, is hexadecimal in one case, of upper case and digits only, of
+lower case and digits only, or has both cases, and its entropy reaches the threshold of that class. Of a candidate the
+stretches of letters, digits and + that hold a match of the allow-list are left out, and so are spans inside a span of
+a fixed pattern.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 WINDOW = 20
 # Least entropy in bits of a window of each class.
 HEX_BITS, MIXED_BITS = 3.0, 3.75
+# Of the classes of upper case and digits, and lower case and digits, which words with numbers fall into, too.
+UPPER_BITS, LOWER_BITS = 3.5, 3.75
 SCALE = 1 << 16
 # count -> count * log2(count), in units of 1 / SCALE bits: whole numbers, so that adding and taking away is exact.
 # One more than a window holds, as a character enters before one leaves.
@@ -27,7 +30,7 @@ def _most(bits: float) -> int:
     return int(SCALE * WINDOW * (math.log2(WINDOW) - bits))
 
 
-HEX_MOST, MIXED_MOST = _most(HEX_BITS), _most(MIXED_BITS)
+HEX_MOST, MIXED_MOST, UPPER_MOST, LOWER_MOST = map(_most, (HEX_BITS, MIXED_BITS, UPPER_BITS, LOWER_BITS))
 
 ASSIGN = ("([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|"
           r"""[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -39,6 +42,8 @@ CANDIDATE = "[A-Za-z0-9+/_=-]{%d,}" % WINDOW
 # Well-known harmless shapes: UUIDs, placeholders, counting sequences, long runs of one character.
 ALLOW = ("[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}|[eE][xX][aA][mM][pP][lL][eE]|"
          "[pP][lL][aA][cC][eE][hH][oO][lL][dD][eE][rR]|[xX]{6}|0{8}|12345678|abcdefgh|ABCDEFGH")
+# What a match of the allow-list takes with it, at either end.
+JOINED = "^[A-Za-z0-9+]*"
 ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-"
 
 
@@ -79,26 +84,41 @@ def windows(run: str) -> str:
         term = f"element_at({terms}, {count(state, at)} + {1 + by}) - element_at({terms}, {count(state, at)} + 1)"
         return f"""struct(overlay({state}.counts placing chr({count(state, at)} + {65 + by}) from {at} for 1) as counts,
           {state}.sum + {term} as sum,
-          {state}.hex + if({at} <= 16, {by}, 0) as hex, {state}.digit + if({at} <= 10, {by}, 0) as digit,
+          {state}.hex + if({at} <= 16, {by}, 0) as hex,
+          {state}.capital + if({at} <= 10 or {at} between 37 and 42, {by}, 0) as capital, {state}.digit + if({at} <= 10, {by}, 0) as digit,
           {state}.lower + if({at} between 11 and 36, {by}, 0) as lower, {state}.upper + if({at} between 37 and 62, {by}, 0) as upper,
           {state}.spans as spans)"""
 
     entered = moved("s", f"locate({run}[i], {alphabet})", 1)
     left = f"transform(array({entered}), s -> if(i < {WINDOW}, s, {moved('s', f'locate({run}[i - {WINDOW}], {alphabet})', -1)}))[0]"
-    suspicious = f"""i >= {WINDOW - 1} and s.digit > 0 and s.lower > 0 and
-        ((s.hex = {WINDOW} and s.sum <= {HEX_MOST}) or (s.upper > 0 and s.sum <= {MIXED_MOST}))"""
+    suspicious = f"""i >= {WINDOW - 1} and s.digit > 0 and s.lower + s.upper > 0 and
+        (((s.hex = {WINDOW} or s.capital = {WINDOW}) and s.sum <= {HEX_MOST}) or (s.lower > 0 and s.upper > 0 and s.sum <= {MIXED_MOST})
+          or (s.digit + s.upper = {WINDOW} and s.sum <= {UPPER_MOST}) or (s.digit + s.lower = {WINDOW} and s.sum <= {LOWER_MOST}))"""
     spans = f"""if({suspicious},
         if(size(s.spans) > 0 and element_at(s.spans, -1).end >= i - {WINDOW - 1},
           concat(slice(s.spans, 1, size(s.spans) - 1), array(named_struct('start', element_at(s.spans, -1).start, 'end', i + 1))),
           concat(s.spans, array(named_struct('start', i - {WINDOW - 1}, 'end', i + 1)))), s.spans)"""
     return f"""aggregate(sequence(0, size({run}) - 1),
-      struct('{'A' * len(ALPHABET)}' as counts, 0 as sum, 0 as hex, 0 as digit, 0 as lower, 0 as upper,
+      struct('{'A' * len(ALPHABET)}' as counts, 0 as sum, 0 as hex, 0 as capital, 0 as digit, 0 as lower, 0 as upper,
         cast(array() as array<struct<start: int, end: int>>) as spans),
       (before, i) -> transform(transform(array(before), s -> {left}), s -> struct(s.counts as counts, s.sum as sum, s.hex as hex,
-        s.digit as digit, s.lower as lower, s.upper as upper, {spans} as spans))[0],
+        s.capital as capital, s.digit as digit, s.lower as lower, s.upper as upper, {spans} as spans))[0],
       s -> s.spans)"""
 
 
+def stretches(run: str) -> str:
+    """SQL for an array of (start, m): what the allow-list leaves of the candidate `run`, a struct of start and m."""
+    allow, joined = text_literal(ALLOW), text_literal(JOINED)
+    parts = f"""zip_with(split({run}.m, {allow}, -1), regexp_extract_all({run}.m, {allow}, 0), (gap, x) -> struct(gap, char_length(x) as n))"""
+    return f"""if(not {run}.m rlike {allow}, array(struct({run}.start as start, {run}.m as m)), aggregate({parts},
+        struct({run}.start as at, 0 as lead, cast(array() as array<struct<start: int, m: string>>) as out),
+        (s, x) -> struct(s.at + char_length(x.gap) + coalesce(x.n, 0) as at, 1 as lead,
+          transform(array(if(s.lead = 1, char_length(regexp_extract(x.gap, {joined}, 0)), 0)), lead -> concat(s.out, array(named_struct(
+            'start', s.at + lead, 'm', substring(x.gap, lead + 1, greatest(0, char_length(x.gap) - lead -
+              if(x.n is null, 0, char_length(regexp_extract(reverse(x.gap), {joined}, 0)))))))))[0] as out),
+        s -> s.out))"""
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, counts of the fixed patterns, base_sha256 and all spans of every whole text.
 
@@ -111,7 +131,7 @@ def scan(docs: DataFrame) -> DataFrame:
     for kind, (pattern, group, least) in BASE.items():
         rows = found(rows, kind, pattern, group, least)
     rows = found(rows, "runs", CANDIDATE, 0, WINDOW).withColumn("runs", F.expr(
-        f"""transform(filter(runs, x -> x.m rlike '[0-9]' and not x.m rlike {text_literal(ALLOW)}),
+        f"""transform(filter(flatten(transform(runs, r -> {stretches('r')})), x -> x.m rlike '[0-9]' and char_length(x.m) >= {WINDOW}),
           x -> struct(x.start as start, slice(split(x.m, '', -1), 1, char_length(x.m)) as chars))"""))
     rows = rows.withColumn("base", F.expr("concat(" + ", ".join(
         f"transform({kind}, x -> struct(x.start as start, {place} as place, x.end as end))" for place, kind in enumerate(kinds)) + ")"))

@@ -45,6 +45,19 @@ def test_entropy_and_allow_list(frame):
     assert found == {1: "entropy:4:25", 2: "", 3: "", 4: "assign:0:29"}
 
 
+def test_entropy_of_one_case(frame):
+    keys = ["9233A8EC41F07D5B6E80", "MZXW6YTBOI2DKNRXG4ZQ", "q7zk2m9xv4tjw8c3hp6n", "CHAPTERONE1CHAPTERON", "aaaabbbb1111aaaabbbb"]
+    got = [r.spans for r in secret_spans.scan(frame(list(enumerate(f"see {k} here" for k in keys)))).orderBy("doc_id").collect()]
+    assert got == ["entropy:4:24"] * 3 + [""] * 2
+
+
+def test_allow_list_takes_its_own_stretch_only(frame):
+    key, uuid = "Zx9Kq2LmP7vR4tYw8BcD1", "123e4567-e89b-12d3-a456-426614174000"
+    texts = [f"example/{key}", f"{key}=example", f"{uuid}_{key}", f"a {key}-EXAMPLE-{key} b", f"{key}EXAMPLE/x", f"{uuid}/{uuid}", f"{key}/{key}"]
+    got = [r.spans for r in secret_spans.scan(frame(list(enumerate(texts)))).orderBy("doc_id").collect()]
+    assert got == ["entropy:7:29", "entropy:0:22", "entropy:36:58", "entropy:2:24,entropy:31:53", "", "", "entropy:0:43"]
+
+
 def test_repetition(agrees):
     line = prose(30, 1)
     rows = [(1, prose(200, 2)), (2, "\n".join([line] * 4)), (3, prose(60, 3) + "\n" + line + "\n\n" + line + "  \n" + line),
