@@ -19,7 +19,8 @@ BLOCK_DOCS = 8
 SLOTS = 1000
 # Without explicit weights: shares of documents to this power, which lifts small sources.
 TEMPERATURE = 0.9
-# A source that runs out starts again, this often in all; after that its slots stay empty.
+# Without explicit weights a source that runs out starts again, this often in all, as the check in SQL has it; with
+# explicit weights until the end, so that the weights are met.
 MAX_EPOCHS = 4
 SEED = "mix-1"
 BUCKET_DIGITS = 3
@@ -74,7 +75,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """The rows of `docs` placed in the mix, with slot, block, epoch, release and deadline (long) of each placing.
 
     Every row is placed at least once; rows of sources that run out before the largest is through are placed again in
-    later epochs, up to MAX_EPOCHS. A null source is a source of its own; null ids and repeated rows are placed like
+    later epochs: with `weights` as often as it takes to fill their slots, else up to MAX_EPOCHS. A null source is a source of its own; null ids and repeated rows are placed like
     any other. Columns of `docs` that are called like the new ones are replaced. An empty table gives no rows.
     """
     docs = docs.drop(*PLACING)
@@ -86,7 +87,10 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     rows = ranked(rows, [key], F.substring(F.col(code), 1, BUCKET_DIGITS), order, rank)
     # One row a source, each with at most SLOTS numbers: small by configuration, whatever the number of documents.
     table = F.broadcast(plan(docs, weights).select(*(F.col(n).alias(names[n]) for n in ("key", "blocks", "share", "period", "times", "length"))))
-    placed = rows.join(table, key).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(MAX_EPOCHS - 1).cast("long"))))
+    # No turn is placed before its release, which bounds the turns of a source by its share of the length.
+    last = f"{MAX_EPOCHS - 1}L" if weights is None else f"(({names['length']} * {names['share']}) div {names['period']}) div {names['blocks']}"
+    placed = rows.join(table, key).withColumn("epoch", F.expr(
+        f"explode(sequence(0L, {last}))"))
     turn = f"(cast({rank} div {BLOCK_DOCS} as bigint) + epoch * {names['blocks']})"
     share, period = names["share"], names["period"]
     placed = placed.withColumn("slot", F.expr(

@@ -138,6 +138,14 @@ def test_mix_stays_near_its_weights(frame, weights):
     assert first.count() == sum(sizes.values()) == first.select("doc_id").distinct().count()
 
 
+def test_small_sources_fill_their_slots(frame):
+    """A source with a hundredth of the documents and half of the weight fills half of the mix."""
+    docs = frame([(k, None, None, "small" if k < 16 else "large") for k in range(1600)])
+    placed = mixing.mix(docs, {"small": 1, "large": 1}).select("source", "slot", "block", "epoch").distinct().collect()
+    slots = {s: {r.slot for r in placed if r.source == s} for s in ("small", "large")}
+    assert len(slots["small"] | slots["large"]) == 1 + max(r.slot for r in placed) and abs(len(slots["small"]) - len(slots["large"])) <= 1
+
+
 @pytest.mark.parametrize("operator", [
     secret_spans.scan, repetition.repetition, repetition.good_documents, minhash.near_duplicates, templates.dedup_lines, mixing.mix])
 def test_empty_table(frame, operator):
