@@ -4,7 +4,8 @@ A line is parsed down the tree: its number of tokens, then its first DEPTH token
 variable field `<*>`. The tokens behind them form up to FIELDS fields. In a leaf a field whose content occurs in
 MIN_DOCS documents or more is constant, any other is variable; if enough fields are constant, the line's template
 is the leaf with its constant fields, else the line itself. A template found in MIN_DOCS documents or more recurs:
-its lines stay in the document with the smallest doc_id and are dropped everywhere else.
+its lines stay in the document with the smallest doc_id and are dropped everywhere else. A line without inner white
+space is judged as it is, without masking, if it is long; short ones always stay.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from .common import NO_ID, fresh, slices
 DEPTH = 3
 FIELDS = 16
 MIN_TOKENS = 2
+# Bytes from which a line of a single token is judged: a sentence in a script without spaces, a URL, encoded data.
+LONE_BYTES = 24
 MIN_DOCS = 10
 # Least share (in percent) of a line's fields that must be constant for it to be generalised.
 CONSTANT = 60
@@ -31,23 +34,27 @@ _digit = re.compile(rb"[0-9]")
 
 
 def tokens_of(line: bytes) -> list[bytes]:
-    """Tokens between ASCII white space, with variable ones masked."""
+    """Tokens between ASCII white space, with variable ones masked; a single token stays as it is."""
     tokens = line.split()
-    if _digit.search(line):
+    if len(tokens) > 1 and _digit.search(line):
         tokens = [VARIABLE if _digit.search(t) else t for t in tokens]
     return tokens
 
 
+def judged(tokens: list[bytes]) -> bool:
+    return len(tokens) >= MIN_TOKENS or len(tokens) == 1 and len(tokens[0]) >= LONE_BYTES
+
+
 def line_code(tokens: list[bytes]) -> int:
     return xxhash.xxh64_intdigest(b" ".join(tokens), 1)
 
 
 def parse(text: str) -> dict[int, tuple[int, list[int]]]:
-    """line code -> (leaf code, field codes) of every different line that has tokens enough."""
+    """line code -> (leaf code, field codes) of every different line that is judged."""
     out = {}
     for line in text.encode().split(b"\n"):
         tokens = tokens_of(line)
-        if len(tokens) >= MIN_TOKENS and (code := line_code(tokens)) not in out:
+        if judged(tokens) and (code := line_code(tokens)) not in out:
             leaf = xxhash.xxh64_intdigest(b"%d %b" % (len(tokens), b" ".join(tokens[:DEPTH])))
             rest = tokens[DEPTH:]
             n, k = len(rest), min(FIELDS, len(rest))
@@ -104,7 +111,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
 def without(text: str, lost: set[int]) -> tuple[str, int]:
     """The text without the lost lines, and how many these were."""
     lines = text.encode().split(b"\n")
-    stay = [line for line in lines if len(t := tokens_of(line)) < MIN_TOKENS or line_code(t) not in lost]
+    stay = [line for line in lines if not judged(t := tokens_of(line)) or line_code(t) not in lost]
     return b"\n".join(stay).decode(), len(lines) - len(stay)
 
 
@@ -114,7 +121,7 @@ def dedup_lines(docs: DataFrame, counts: bool = False, emptied: bool = True) ->
     With `counts`, returns doc_id, n_lines, n_dropped (long) and text only. Without `emptied`, rows that lost lines
     and have no word left go. A null text stays null and an empty one empty. Rows that repeat a doc_id are one
     document: they keep or lose the same lines. Rows without doc_id are one document that never keeps a recurring
-    line. Single-token lines always stay. An empty table gives no rows.
+    line. Lines of a single token of less than LONE_BYTES always stay. An empty table gives no rows.
     """
     lost, key = fresh("lost", docs.columns), fresh("key", docs.columns)
     if counts:

@@ -108,6 +108,13 @@ def test_line_dedup_of_templates(frame):
     assert got[0] == rows[0][1] and all(got[k] == f"body{'abcdefghijkl'[k]} stays here" for k in range(1, 12))
 
 
+def test_line_dedup_of_single_tokens(frame):
+    lines = ["这是一个在许多文件里重复出现的句子。", "https://example.org/a/long/path?id=12345", "short7"]
+    rows = [(k, "\n".join([*lines, f"https://example.org/a/long/path?id={k}"])) for k in range(12)]
+    got = {r.doc_id: r.text for r in templates.dedup_lines(frame(rows)).collect()}
+    assert got[0] == rows[0][1] and all(got[k] == f"short7\nhttps://example.org/a/long/path?id={k}" for k in range(1, 12))
+
+
 def test_line_dedup_odd_columns(spark):
     df = spark.createDataFrame([(None, "a line here", 1), (2, "a line here", 2)] * 12, "doc_id long, text string, lost int")
     got = templates.dedup_lines(df, emptied=False)
