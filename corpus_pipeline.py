@@ -21,10 +21,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near-duplicates."""
-    # Copies grow with the documents, so they are merged and never broadcast.
-    copies = minhash.near_duplicates(docs).filter("not kept").select("doc_id").distinct().hint("merge")
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near-duplicates: that with the smallest doc_id."""
+    return minhash.one_of_each(docs)
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,10 +16,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..scratch import discard, materialize
-from .common import NO_ID, slices, text_bytes
+from .common import NO_ID, fresh, slices, text_bytes
 from .components import components
 from .textgrams import BASE_INVERSE, Texts, U, powers, scramble
 
@@ -184,13 +184,8 @@ def table_keys(live: DataFrame) -> DataFrame:
         "key", F.xxhash64("_u", "_v")).drop("lu", "lv", "_u", "_v")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept (whether doc_id is the component's smallest) of every row of `docs`.
-
-    Empty or null texts have no shingles and stand alone. Rows that repeat a text, or a doc_id, get the same
-    component. A row without doc_id takes part; it is kept only if its component has no doc_id at all. Other columns
-    are not read; an empty table gives no rows. Sets are told apart by 64-bit codes of 64-bit shingle hashes.
-    """
+def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sketches of every row, and comp and component_id (its smallest doc_id) of every set; both materialised."""
     sketch = materialize(sketch_table(docs))
     classes = materialize(sketch.filter("n > 0").groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "bits", "odd", "fold", "u", "v"))))
@@ -237,13 +232,56 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     nodes = classes.select("node", "doc_id").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     lowest = nodes.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    found = materialize(nodes.join(lowest, "comp").select("node", "component_id"))
+    found = materialize(nodes.join(lowest, "comp").select("node", "comp", "component_id"))
+    return sketch, found
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept (whether doc_id is the component's smallest) of every row of `docs`.
+
+    Empty or null texts have no shingles and stand alone. Rows that repeat a text, or a doc_id, get the same
+    component. A row without doc_id takes part; it is kept only if its component has no doc_id at all. Other columns
+    are not read; an empty table gives no rows. Sets are told apart by 64-bit codes of 64-bit shingle hashes.
+    """
+    sketch, found = grouped(docs)
     return sketch.select("doc_id", "n", "node").join(found, "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.when(F.col("node").isNull(), True).otherwise(F.expr("doc_id <=> component_id")).alias("kept"))
 
 
+def with_node(docs: DataFrame, name: str) -> DataFrame:
+    """`docs` with a column `name`: the code of the row's set, null if empty."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            keys, n = shingle_sets(*text_bytes(part.column("text")))
+            node = np.zeros(len(n), np.int64)
+            if len(keys):
+                node[n > 0] = class_codes(keys, (np.cumsum(n) - n)[n > 0])
+            yield part.append_column(name, pa.array(node, mask=n == 0))
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField(name, T.LongType())]))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """Exactly one row of `docs` for each component, and all rows whose text has no words.
+
+    It is the row with the smallest doc_id, one with an id before those without; among these with the smallest set code,
+    and of repeated rows the one with the smallest text.
+    """
+    sketch, found = grouped(docs)
+    node, key, other, id_, lone, first = (fresh(c, docs.columns) for c in ("node", "key", "other", "id", "lone", "first"))
+    best = sketch.join(found, "node").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("best"))
+    # The groups grow with the documents, so they are merged and never broadcast.
+    best = best.select(F.coalesce("best.doc_id", F.lit(NO_ID)).alias(id_), F.col("best.node").alias(other)).hint("merge")
+    rows = with_node(docs, node).withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    rows = rows.join(best, (F.col(key) == F.col(id_)) & (F.col(node) == F.col(other)), "left")
+    rows = rows.filter(F.col(node).isNull() | F.col(other).isNotNull()).withColumn(
+        lone, F.when(F.col(node).isNull(), F.monotonically_increasing_id()))
+    rows = rows.withColumn(first, F.row_number().over(Window.partitionBy(key, node, lone).orderBy("text")))
+    return rows.filter(F.col(first) == 1).select(*docs.columns)
+
+
 SQL = f"""
 WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
    '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),

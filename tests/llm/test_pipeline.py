@@ -71,3 +71,10 @@ def test_clashing_columns(spark):
         docs = materialize(stage(spark, docs, SF))
         assert docs.columns == want
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).columns[-1] == "offset"
+
+
+def test_near_dedup_of_odd_rows(spark):
+    text, solo, lost = ("%s one two three four five six seven eight nine" % w for w in ("copied", "only", "nameless"))
+    rows = [(None, text), (7, text), (7, text), (None, text), (9, text), (9, solo), (None, lost), (None, lost), (None, None), (None, ""), (8, "")]
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(7, text), (9, solo), (None, lost), (None, None), (None, ""), (8, "")], key=repr)
