@@ -26,9 +26,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, and documents of small sources again, as often as the mix of sources places them."""
+    """Every document, and documents of small sources again, as often as the mix of sources places them; in the order of slots."""
     clash = {c: fresh(c, docs.columns + list(mixing.PLACING)) for c in docs.columns if c.lower() in mixing.PLACING}
-    mixed = mixing.mix(docs.withColumnsRenamed(clash)).drop(*mixing.PLACING)
+    mixed = mixing.mix(docs.withColumnsRenamed(clash))
+    mixed = mixed.repartitionByRange("slot").sortWithinPartitions("slot", "doc_id").drop(*mixing.PLACING)
     return mixed.withColumnsRenamed({v: k for k, v in clash.items()}).select(*docs.columns)
 
 

@@ -78,3 +78,10 @@ def test_near_dedup_of_odd_rows(spark):
     rows = [(None, text), (7, text), (7, text), (None, text), (9, text), (9, solo), (None, lost), (None, lost), (None, None), (None, ""), (8, "")]
     got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
     assert sorted(map(tuple, got), key=repr) == sorted([(7, text), (9, solo), (None, lost), (None, None), (None, ""), (8, "")], key=repr)
+
+
+def test_mixing_writes_in_slot_order(spark):
+    docs = spark.createDataFrame([(k, "t", f"s{k % 3}") for k in range(3000)], "doc_id long, text string, source string")
+    slot = {r.doc_id: r.slot for r in mixing.mix(docs).filter("epoch = 0").collect()}
+    got = [slot[r.doc_id] for r in corpus_pipeline.mixing_sources(spark, docs, SF).collect()]
+    assert len(got) == 3000 and got == sorted(got)
