@@ -94,36 +94,39 @@ def search(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY) -> DataFram
     """query_id, rank (from 1), vec_id and score of up to k neighbours of each query.
 
     Queries are the rows whose vec_id is divisible by `every`; candidates all rows with another vec_id. Rows without
-    vec_id, vectors that are null, zero or hold null or non-finite components, and vectors of fewer dimensions than
-    the longest take no part. Rows that repeat a vec_id are candidates each, and queries each with the same result
+    vec_id, and vectors that are null, zero or hold null or non-finite components take no part. Vectors meet those of
+    their own dimension. Rows that repeat a vec_id are candidates each, and queries each with the same result
     once. Other columns are not read; an empty table gives no rows. Candidates are dealt to blocks of about BLOCK rows
-    and queries to blocks of about QUERIES; each pair of blocks is one task's work. Three numbers reach the driver.
+    and queries to blocks of about QUERIES; each pair of blocks is one task's work. Nothing reaches the driver.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
     rows = rows.filter(
         "vec_id is not null and size(vector) > 0 and forall(vector, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))"
         " and exists(vector, x -> x <> 0)")
     facts = rows.groupBy(F.size("vector").alias("d")).agg(
-        F.count("*").alias("n"), F.max(F.expr("aggregate(vector, 0D, (s, x) -> s + x * x)")).alias("largest")).orderBy(F.desc("d")).first()
-    d, n, largest = facts if facts else (0, 0, 0.0)
-    rows = rows.filter(F.size("vector") == d)
-    blocks, parts = max(1, -(-n // BLOCK)), max(1, -(-n // (every * QUERIES)))
+        F.count("*").alias("n"), F.max(F.expr("aggregate(vector, 0D, (s, x) -> s + x * x)")).alias("largest"))
+    facts = facts.select("d", "largest", F.ceil(F.col("n") / BLOCK).alias("blocks"), F.ceil(F.col("n") / (every * QUERIES)).alias("parts"))
+    # One row a dimension.
+    rows = rows.withColumn("d", F.size("vector")).join(F.broadcast(facts), "d")
     own = F.xxhash64("vec_id")
-    asked = rows.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).withColumn(
-        "part", F.pmod(own, F.lit(parts))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    held = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks))).withColumn(
-        "part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    asked = rows.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "d"]).withColumn(
+        "part", F.pmod(own, "parts")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    held = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), "blocks")).withColumn(
+        "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+
+    # The sides share a join, so their columns need identities of their own.
+    asked, held = (side.select(*(F.col(c).alias(c) for c in ("d", "block", "part", "vec_id", "vector", "largest"))) for side in (asked, held))
 
     def meet(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(queries) and len(candidates):
-            index = Index(candidates["vec_id"].to_numpy(), np.stack(candidates["vector"].to_numpy()), largest)
+            index = Index(candidates["vec_id"].to_numpy(), np.stack(candidates["vector"].to_numpy()), float(candidates["largest"].iloc[0]))
             for query, vector in zip(queries["vec_id"].to_numpy(), queries["vector"], strict=True):
                 ids, scores = index.search(query, vector, k)
                 out.append(pd.DataFrame({"query_id": query, "vec_id": ids, "score": scores}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
-    met = asked.groupBy("block", "part").cogroup(held.groupBy("block", "part")).applyInPandas(
+    met = asked.groupBy("d", "block", "part").cogroup(held.groupBy("d", "block", "part")).applyInPandas(
         meet, "query_id long, vec_id long, score double")
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return met.withColumn("rank", best).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

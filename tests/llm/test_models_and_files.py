@@ -151,6 +151,12 @@ def test_few_neighbours(spark):
     assert neighbours.search(df.filter("vec_id > 9")).count() == 0
 
 
+def test_neighbours_of_mixed_dimensions(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.2, 0.1]), (20, [1.0, 1.0, 1.0]), (21, [2.0, 0.0, 0.0]), (40, [1.0] * 9)]
+    got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect()
+    assert [tuple(r) for r in got] == [(0, 1, 1, 0.5), (0, 2, 2, 0.2), (20, 1, 21, 2.0)]
+
+
 def test_suffix_automaton_has_all_substrings():
     codes = np.random.default_rng(1).integers(1, 4, 60)
     table = language.automaton(codes, 4)
