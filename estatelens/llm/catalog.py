@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, minhash, mixing, neighbours, packing, repetition, secret_spans, templates, tokenfile, warc
+from . import language, minhash, mixing, neighbours, packing, periodic, permutations, repetition, secret_spans, spelling, templates, tokenfile, warc
 from .common import table
 
 
@@ -58,5 +58,20 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_line_dedup, op3_quality, op4_mixing, op5_near_duplicates, op6_token_file, op7_neighbours, op8_language, op9_packing, op10_warc)}
-CHECKS = {"op1_secrets": secret_spans.SQL, "op2_line_dedup": templates.SQL, "op3_quality": repetition.SQL, "op4_mixing": mixing.SQL, "op5_near_duplicates": minhash.SQL, "op10_warc": warc.SQL}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every document."""
+    return periodic.periodic_runs(table(spark, sf_dir, "documents"), rewrite=True)
+
+
+def op12_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of near-duplicates of every vector."""
+    return permutations.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near words, form and root of every word of the documents."""
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), deletions=True)
+
+
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_line_dedup, op3_quality, op4_mixing, op5_near_duplicates, op6_token_file, op7_neighbours, op8_language, op9_packing, op10_warc, op11_periodic_runs, op12_near_vectors, op13_spelling_variants)}
+CHECKS = {"op1_secrets": secret_spans.SQL, "op2_line_dedup": templates.SQL, "op3_quality": repetition.SQL, "op4_mixing": mixing.SQL, "op5_near_duplicates": minhash.SQL, "op10_warc": warc.SQL, "op12_near_vectors": permutations.SQL, "op13_spelling_variants": spelling.SQL}
