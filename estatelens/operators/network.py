@@ -1,51 +1,146 @@
-"""Shortest walking distances over an edge table, by rounds of joins."""
+"""Shortest walking distances over an edge table, by rounds of joins.
+
+Streets are mostly chains of nodes with two neighbours. Those chains are contracted first, by pointers that double
+their reach every round, so a chain of n nodes takes log(n) rounds and then is one edge. Distances spread over what is
+left: each round joins only the nodes that came nearer with the edges, which lie bucketed by their start, and the
+result with the state, which lies bucketed by label and node; neither is shuffled again. Improvements are appended and
+merged into the state now and then. Nodes inside chains take their distance from the two ends at last.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..scratch import materialize
+from ..scratch import bucketed, discard, discard_table, materialize
+
+# Rounds whose improvements are kept apart before they are merged into the state.
+MERGE_EVERY = 8
+
+
+def contract(edges: DataFrame, kept: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`edges` (src, dst, length) without the chain nodes, and (node, start, length) into every chain node.
 
-# Relaxations between two writes of the state.
-ROUNDS = 4
+    A chain node has exactly two neighbours, the same ones in both directions, and is not in `kept` (node). Roads run
+    between the other nodes; the entries of a chain node are its distances from the two ends of its chain. Closed
+    rings without any other node are left out: nothing leads there. Both tables are materialised.
+    """
+    arcs = materialize(edges.where("src <> dst").groupBy("src", "dst").agg(F.min("length").alias("length")))
+    out = arcs.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"), F.min("dst").alias("a"), F.max("dst").alias("b"))
+    into = arcs.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n"), F.min("src").alias("a"), F.max("src").alias("b"))
+    chain = materialize(
+        out.where("n = 2").join(into.where("n = 2"), ["node", "a", "b"]).select("node", "a", "b").join(kept.select("node").distinct(), "node", "left_anti")
+    )
+    # An arc out of a chain node follows the arc into that node from its other neighbour, `before` -> src.
+    other = F.when(F.col("dst") == F.col("a"), F.col("b")).otherwise(F.col("a"))
+    arcs_before = arcs.join(chain.withColumnRenamed("node", "src"), "src", "left").select(
+        "src", "dst", "length", F.col("src").alias("start"), F.when(F.col("a").isNotNull(), other).alias("before"), F.col("src").alias("via")
+    )
+    state, left = materialize(arcs_before), None
+    done = [state.where("before is null")]
+    open_, reach = state.where("before is not null"), state
+    tables = [state]
+    while True:
+        now = open_.count()
+        if not now or now == left:
+            break
+        left = now
+        ahead = reach.select(
+            F.col("src").alias("before"), F.col("dst").alias("via"), F.col("start").alias("far"), F.col("length").alias("more"),
+            F.col("before").alias("next"), F.col("via").alias("next_via"),
+        )
+        step = materialize(open_.join(ahead, ["before", "via"]).select(
+            "src", "dst", (F.col("length") + F.col("more")).alias("length"), F.col("far").alias("start"), F.col("next").alias("before"), F.col("next_via").alias("via")
+        ))
+        tables.append(step)
+        done.append(step.where("before is null"))
+        open_ = step.where("before is not null")
+        # Arcs that are through stay as they are; the others reach twice as far as before.
+        reach = step
+        for finished in done[:-1]:
+            reach = reach.unionByName(finished)
+    through = done[0]
+    for part in done[1:]:
+        through = through.unionByName(part)
+    ends = through.join(chain.select(F.col("node").alias("dst"), F.lit(True).alias("inner")), "dst", "left").select("start", "dst", "length", "inner")
+    ends = materialize(ends)
+    roads = ends.where("inner is null and start <> dst").groupBy(F.col("start").alias("src"), "dst").agg(F.min("length").alias("length"))
+    entries = materialize(ends.where("inner").select(F.col("dst").alias("node"), "start", "length"))
+    roads = materialize(roads)
+    discard(arcs, chain, ends, *tables)
+    return roads, entries
 
 
 def spread(edges: DataFrame, seeds: DataFrame, cutoff: float | None = None) -> DataFrame:
     """Least distance from the seeds of each label to every node reached.
 
-    `edges` has (src, dst, length), one row per direction; `seeds` has (label, node,
-    source_id). Returns label, node, dist and the source_id it is reached from, the
-    lowest on equal distance. Only nodes improved in a round are expanded in the next,
-    and nothing beyond `cutoff` is kept. The state is written every few rounds.
+    `edges` has (src, dst, length), one row per direction, lengths not negative; `seeds` has (label, node, source_id).
+    Returns label, node, dist and the source_id it is reached from, the lowest on equal distance. Nothing beyond
+    `cutoff` is kept.
     """
-    edges = materialize(edges.select("src", "dst", "length"))
-    state = materialize(
-        seeds.groupBy("label", "node").agg(F.min("source_id").alias("source_id"))
-        .select("label", "node", F.lit(0.0).alias("dist"), "source_id", F.lit(True).alias("fresh"))
+    seeds = materialize(seeds.groupBy("label", "node").agg(F.min("source_id").alias("source_id")))
+    roads, entries = contract(edges, seeds)
+    reached = _spread(roads, seeds, cutoff)
+    inner = reached.join(entries.select(F.col("node").alias("inner"), F.col("start").alias("node"), "length"), "node").select(
+        "label", F.col("inner").alias("node"), (F.col("dist") + F.col("length")).alias("dist"), "source_id"
     )
-    while True:
-        for _ in range(ROUNDS):
-            state = _relax(state, edges, cutoff)
-        state = materialize(state)
-        if state.where("fresh").isEmpty():
-            return state.drop("fresh")
+    if cutoff is not None:
+        inner = inner.where(F.col("dist") <= cutoff)
+    found = materialize(reached.unionByName(_nearest(inner)))
+    discard(seeds, roads, entries, reached)
+    return found
+
+
+def _nearest(steps: DataFrame) -> DataFrame:
+    best = steps.groupBy("label", "node").agg(F.min(F.struct("dist", "source_id")).alias("best"))
+    return best.select("label", "node", "best.dist", "best.source_id")
 
 
-def _relax(state: DataFrame, edges: DataFrame, cutoff: float | None) -> DataFrame:
-    steps = state.where("fresh").join(edges, F.col("node") == F.col("src")).select(
+def _spread(roads: DataFrame, seeds: DataFrame, cutoff: float | None) -> DataFrame:
+    """Rounds over contracted roads until nothing comes nearer; the result is materialised."""
+    start = seeds.select("label", "node", F.lit(0.0).alias("dist"), "source_id")
+    roads = bucketed(roads, ["src"])
+    state, changes = bucketed(start, ["label", "node"]), []
+    fresh = state
+    while True:
+        fresh = _relax(roads, state, changes, fresh, cutoff)
+        if fresh.isEmpty():
+            discard(fresh)
+            break
+        changes.append(fresh)
+        if len(changes) == MERGE_EVERY:
+            merged = bucketed(_merged(state, changes), ["label", "node"])
+            discard_table(state)
+            # The last round is still to be expanded.
+            discard(*changes[:-1])
+            state, changes = merged, changes[-1:]
+    found = materialize(_merged(state, changes))
+    discard(*changes)
+    discard_table(state)
+    discard_table(roads)
+    return found
+
+
+def _merged(state: DataFrame, changes: list[DataFrame]) -> DataFrame:
+    for part in changes:
+        state = state.unionByName(part)
+    return _nearest(state)
+
+
+def _relax(roads: DataFrame, state: DataFrame, changes: list[DataFrame], fresh: DataFrame, cutoff: float | None) -> DataFrame:
+    """What comes nearer by one more road from the nodes of `fresh`; materialised."""
+    steps = fresh.join(roads, F.col("node") == F.col("src")).select(
         "label", F.col("dst").alias("node"), (F.col("dist") + F.col("length")).alias("dist"), "source_id"
     )
     if cutoff is not None:
         steps = steps.where(F.col("dist") <= cutoff)
-    both = state.select("label", "node", "dist", "source_id", F.lit(True).alias("old")).unionByName(
-        steps.withColumn("old", F.lit(False))
-    )
-    value = F.struct("dist", "source_id")
-    merged = both.groupBy("label", "node").agg(
-        F.min(value).alias("best"), F.min(F.when(F.col("old"), value)).alias("before")
-    )
-    fresh = F.col("before").isNull() | (F.col("best") < F.col("before"))
-    return merged.select("label", "node", "best.dist", "best.source_id", fresh.alias("fresh"))
+    best = _nearest(steps)
+    known = [state] + ([_merged(changes[0], changes[1:])] if changes else [])
+    for part in known:
+        old = part.select("label", "node", F.struct("dist", "source_id").alias("old"))
+        best = best.join(old, ["label", "node"], "left").where(
+            F.col("old").isNull() | (F.struct("dist", "source_id") < F.col("old"))
+        ).drop("old")
+    return materialize(best)
 
 
 def nearest_source(edges: DataFrame, sources: DataFrame) -> DataFrame:

@@ -45,3 +45,22 @@ def discard(*tables: DataFrame) -> None:
             if "/estatelens/" in folder:
                 path = jvm.org.apache.hadoop.fs.Path(folder)
                 path.getFileSystem(conf).delete(path, True)
+
+
+def bucketed(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Write `df` to the shared folder in buckets of `keys`, so that joins on them do not shuffle it.
+
+    There are as many buckets as shuffle partitions. The table is in the session's catalog until `discard_table`.
+    """
+    spark = df.sparkSession
+    name = f"estatelens_{uuid.uuid4().hex}"
+    writer = df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortBy(*keys)
+    writer.option("path", f"{scratch_dir(spark)}").format("parquet").saveAsTable(name)
+    return spark.table(name).alias(name)
+
+
+def discard_table(df: DataFrame) -> None:
+    """Drop a table of `bucketed` and delete its files."""
+    name = df._jdf.queryExecution().analyzed().alias()
+    discard(df)
+    df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
