@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..scratch import materialize
 
-# Rows of one group handled by one task at a time, numbers in one dense slice of them, and the widest design accepted.
+# Rows of one group handled by one task at a time, numbers in one dense slice of them, and the widest design that is
+# solved with an indicator for every level; `absorb` takes wider categories out.
 ROWS_PER_CHUNK = 250_000
 SLICE_NUMBERS = 4_000_000
 MAX_TERMS = 4_000
@@ -62,15 +63,21 @@ class Design:
         return x
 
 
+def is_wide(df: DataFrame, fields: list[str]) -> bool:
+    """Whether the categories have more levels than a dense design holds."""
+    return bool(fields) and _levels(df, fields).limit(MAX_TERMS + 1).count() > MAX_TERMS
+
+
+def _levels(df: DataFrame, fields: list[str]) -> DataFrame:
+    narrow = df.select(*[F.col(c).cast("string").alias(c) for c in fields])
+    return narrow.unpivot([], list(fields), "field", "level").where(F.col("level").isNotNull()).distinct()
+
+
 def levels_of(df: DataFrame, fields: list[str]) -> dict[str, tuple[str, ...]]:
-    """Sorted category levels; refuses more than a design could hold."""
+    """Sorted category levels; more than a dense design holds are an error (see `is_wide`)."""
     if not fields:
         return {}
-    rows = (
-        df.select(*[F.col(c).cast("string").alias(c) for c in fields])
-        .unpivot([], fields, "field", "level").where(F.col("level").isNotNull())
-        .distinct().limit(MAX_TERMS + 1).collect()
-    )
+    rows = _levels(df, fields).limit(MAX_TERMS + 1).collect()
     if len(rows) > MAX_TERMS:
         raise ValueError(f"more than {MAX_TERMS} category levels in {fields}")
     return {c: tuple(sorted(r.level for r in rows if r.field == c)) for c in fields}
@@ -288,3 +295,56 @@ def score_sums(
         .cogroup(spread.groupBy(*by, "__chunk")).applyInPandas(per_chunk, schema)
     )
     return parts.groupBy(*by, "specification", "k").agg(F.sum("s").alias("s"))
+
+
+def meat(
+    df: DataFrame, design: Design, y: str, weight: str, by: list[str], solutions: DataFrame, sizes: DataFrame | None = None
+) -> DataFrame:
+    """Second pass for full robust covariances: rows (by, specification, i, j, s), i <= j.
+
+    For each solution (by, specification, terms, beta, centre, level) of a group they are the sums of u u' over its
+    rows, with e = y - level - x beta on the terms of the solution and u = w e (x - centre, 1); the last row and
+    column are those of the 1.
+    """
+    rows = df.select(*dict.fromkeys([*by, *design.columns, y, weight]))
+    sizes = sizes or chunk_sizes(rows, by)
+    spread = solutions.join(sizes, by).withColumn(
+        "__chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__chunks") - 1))
+    ).drop("__chunks")
+    schema = T.StructType([f for f in rows.schema if f.name in by])
+    schema = schema.add("specification", T.StringType()).add("i", T.IntegerType()).add("values", T.ArrayType(T.DoubleType()))
+
+    def per_chunk(frame: pd.DataFrame, fits: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(frame) and len(fits):
+            key = [frame[c].iloc[0] for c in by]
+            totals = [0.0] * len(fits)
+            for part in _slices(design, frame):
+                x = design.matrix(part)
+                target = part[y].to_numpy(dtype=float) - design.y_shift
+                w = part[weight].to_numpy(dtype=float)
+                for k, fit in enumerate(fits.itertuples(index=False)):
+                    own = x[:, np.asarray(fit.terms, dtype=int)]
+                    e = w * (target - fit.level - own @ np.asarray(fit.beta, dtype=float))
+                    u = np.column_stack([own - np.asarray(fit.centre, dtype=float), np.ones(len(e))]) * e[:, None]
+                    totals[k] = totals[k] + u.T @ u
+            for total, fit in zip(totals, fits.itertuples(index=False)):
+                out += [(*key, fit.specification, i, total[i, i:].tolist()) for i in range(len(total))]
+        return pd.DataFrame(out, columns=[*by, "specification", "i", "values"])
+
+    parts = (
+        chunked(rows, by, sizes).groupBy(*by, "__chunk")
+        .cogroup(spread.groupBy(*by, "__chunk")).applyInPandas(per_chunk, schema)
+    )
+    cells = parts.select(*by, "specification", "i", F.posexplode("values").alias("k", "v"))
+    return cells.groupBy(*by, "specification", "i", (F.col("i") + F.col("k")).alias("j")).agg(F.sum("v").alias("s"))
+
+
+def symmetric(frame: pd.DataFrame) -> np.ndarray:
+    """The full matrix of rows i, j, s with i <= j."""
+    size = int(frame["j"].max()) + 1
+    m = np.zeros((size, size))
+    i, j, s = (frame[c].to_numpy() for c in ("i", "j", "s"))
+    m[i, j] = s
+    m[j, i] = s
+    return m

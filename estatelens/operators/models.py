@@ -12,10 +12,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import scalar as S
 from ..functions.tails import student_quantile_975, student_two_sided
 from ..scratch import materialize
+from .absorb import WideModel, ols_absorbed, ridge_absorbed
 from .aggregates import treated_share
 from .filters import route_by_threshold
 from .gram import (
-    Design, Sums, collect_sums, gram, levels_of, make_design, residual_sum, solve, total_sum,
+    Design, Sums, collect_sums, gram, is_wide, levels_of, make_design, residual_sum, solve, total_sum,
 )
 from .ordering import dense_index
 from .quantiles import median_of, modes_of, summarize
@@ -208,8 +209,8 @@ class Preparation:
         )
 
 
-def prepare(train: DataFrame, numeric: list[str], fields: list[str]) -> Preparation:
-    """Fit the preparation on the training rows only."""
+def prepare(train: DataFrame, numeric: list[str], fields: list[str], levels: bool = True) -> Preparation:
+    """Fit the preparation on the training rows only; without `levels` the categories are only filled."""
     medians = {r["column"]: r["median"] for r in median_of(train, numeric).collect()}
     medians = {c: float(medians.get(c) or 0.0) for c in numeric}
     modes = {r["column"]: r["mode"] for r in modes_of(train, fields).collect()} if fields else {}
@@ -221,7 +222,7 @@ def prepare(train: DataFrame, numeric: list[str], fields: list[str]) -> Preparat
     ).first()
     means = {c: float(stats[f"m{i}"]) for i, c in enumerate(numeric)}
     scales = {c: float(stats[f"s{i}"]) or 1.0 for i, c in enumerate(numeric)}
-    return Preparation(list(numeric), medians, means, scales, modes, levels_of(train, list(fields)))
+    return Preparation(list(numeric), medians, means, scales, modes, levels_of(train, list(fields)) if levels else {})
 
 
 def one_hot(df: DataFrame, prep: Preparation) -> DataFrame:
@@ -289,8 +290,13 @@ def ridge_beta(centred: Sums, alpha: float) -> np.ndarray:
 def fit_ridge(
     train: DataFrame, numeric: list[str], fields: list[str] = CATEGORIES, alpha: float = 1.0,
     weight: str | None = None,
-) -> LinearModel:
-    """Ridge with unpenalised constant on prepared columns; optional row weights."""
+) -> LinearModel | WideModel:
+    """Ridge with unpenalised constant on prepared columns; optional row weights.
+
+    Categories with too many levels for a dense design are absorbed; the fit is the same.
+    """
+    if is_wide(train, list(fields)):
+        return ridge_absorbed(train, prepare(train, list(numeric), list(fields), levels=False), list(fields), TARGET, alpha, weight)
     prep = prepare(train, list(numeric), list(fields))
     design = prep.design(float(train.agg(F.avg(TARGET)).first()[0]))
     sums = collect_sums(gram(prep.filled(train), design, TARGET, weight))
@@ -328,7 +334,12 @@ def term_name(name: str, level: str | None) -> str:
 
 
 def ols_table(df: DataFrame, numeric: list[str], fields: list[str], y: str = TARGET) -> DataFrame:
-    """Coefficient table of a least-squares fit: coef, std_err, t, p_value, 95 % interval."""
+    """Coefficient table of a least-squares fit: coef, std_err, t, p_value, 95 % interval.
+
+    Categories with too many levels for a dense design are absorbed; the table then has the numeric columns only.
+    """
+    if is_wide(df, list(fields)):
+        return ols_absorbed(df, list(numeric), list(fields), y)[0]
     rows = df.dropna(subset=[*numeric, *fields, y])
     design = make_design(rows, list(numeric), list(fields), y, drop_first=True)
     sums = collect_sums(gram(rows, design, y))

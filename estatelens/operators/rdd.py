@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -12,7 +12,7 @@ from ..functions import scalar as S
 from ..functions.tails import normal_two_sided
 from ..scratch import materialize
 from .filters import explode_bandwidths, route_by_threshold
-from .gram import Sums, as_chunks, chunk_sizes, gram, make_design, residual_sum, score_sums, solve, total_sum
+from .gram import Design, Sums, as_chunks, chunk_sizes, gram, make_design, residual_sum, score_sums, solve, total_sum
 from .models import STRUCTURE, TARGET
 from .quantiles import summarize
 
@@ -102,14 +102,18 @@ def premium_columns(coef: Column, se: Column) -> dict[str, Column]:
     }
 
 
-def rdd_sweep(
-    df: DataFrame, bandwidths=BANDWIDTHS, min_total: int = 150, min_side: int = 40
-) -> tuple[DataFrame, DataFrame]:
-    """Fit every school at every bandwidth, with and without controls: (results, skipped).
+@dataclass
+class SweepRows:
+    """The local rows of all fits of a sweep with their group sizes and design, and the groups left out."""
 
-    Triangular weights, HC1 errors, normal p-values. All fits share two grouped
-    passes over the local rows: one for the sums, one for the robust errors.
-    """
+    rows: DataFrame
+    fit: DataFrame
+    skipped: DataFrame
+    sizes: DataFrame
+    design: Design
+
+
+def sweep_rows(df: DataFrame, bandwidths, min_total: int, min_side: int) -> SweepRows:
     keys = [*SCHOOL, "bandwidth_m"]
     local = materialize(local_rows(df, bandwidths))
     groups = materialize(boundary_groups(df, local, bandwidths))
@@ -118,8 +122,20 @@ def rdd_sweep(
     )
     fit, skipped = route_by_threshold(groups, enough, "insufficient_boundary_sample")
     rows = local.join(fit.select(*keys), keys, "left_semi")
-    sizes = as_chunks(fit, keys, "sample_size")
-    design = _design(rows, JUMP)
+    return SweepRows(rows, fit, skipped, as_chunks(fit, keys, "sample_size"), _design(rows, JUMP))
+
+
+def rdd_sweep(
+    df: DataFrame, bandwidths=BANDWIDTHS, min_total: int = 150, min_side: int = 40
+) -> tuple[DataFrame, DataFrame]:
+    """Fit every school at every bandwidth, with and without controls: (results, skipped).
+
+    Triangular weights, HC1 errors, normal p-values. All fits share two grouped
+    passes over the local rows: one for the sums, one for the robust errors.
+    """
+    keys = [*SCHOOL, "bandwidth_m"]
+    inputs = sweep_rows(df, bandwidths, min_total, min_side)
+    rows, fit, skipped, sizes, design = inputs.rows, inputs.fit, inputs.skipped, inputs.sizes, inputs.design
     parts = {"uncontrolled": list(range(1 + len(JUMP))), "controlled": list(range(len(design.terms)))}
 
     def solved(frame: pd.DataFrame) -> pd.DataFrame:
@@ -178,24 +194,14 @@ _SOLVED_SCHEMA = (
 )
 
 
-def rdd_interaction(df: DataFrame, bandwidths=BANDWIDTHS) -> DataFrame:
-    """Pooled fits per bandwidth: the jump at other schools and its difference at good schools.
+def within_schools(cells: DataFrame, p: int) -> DataFrame:
+    """Sums about each school's own means, added over the schools of a bandwidth: rows (bandwidth_m, i, j, s).
 
-    School effects are taken out within each school's sums, so their number never
-    enters the size of the solve.
+    `cells` are the sums of p terms by bandwidth and school. i, j count the terms after the constant, then y. Rows
+    with i = -1 hold the number of rows, -2 that of schools, -3 to -5 the raw sums of weights, y and y squared, and -6
+    the weight of each term j.
     """
-    keys = ["bandwidth_m", "boundary_school_name"]
-    rows = materialize(local_rows(df, bandwidths))
-    sizes = chunk_sizes(rows, keys)
-    design = _design(rows, (*JUMP, *GOOD_JUMP))
-    p = len(design.terms)
-    jump = list(range(1 + len(JUMP) + len(GOOD_JUMP)))
-    parts = {"uncontrolled": jump, "controlled": list(range(p))}
-    picked = [1, 1 + len(JUMP)]
-    cells = materialize(gram(rows, design, TARGET, "kernel_weight", keys, sizes))
-
     def within(frame: pd.DataFrame) -> pd.DataFrame:
-        """A school's sums about its own means (i, j >= 1), its raw y sums, and a count of schools."""
         sums = Sums.from_cells(frame)
         if sums.xx[0, 0] <= 0:
             c = Sums(sums.n, np.zeros((p - 1, p - 1)), np.zeros(p - 1), 0.0)
@@ -205,16 +211,47 @@ def rdd_interaction(df: DataFrame, bandwidths=BANDWIDTHS) -> DataFrame:
         m[:-1, :-1], m[:-1, -1], m[-1, -1] = c.xx, c.xy, c.yy
         i, j = np.triu_indices(p)
         extra = [(-1, 0, sums.n), (-2, 0, 1.0), (-3, 0, sums.xx[0, 0]), (-4, 0, sums.xy[0]), (-5, 0, sums.yy)]
+        extra += [(-6, k, w) for k, w in enumerate(np.diag(sums.xx))]
         out = pd.DataFrame({"i": i, "j": j, "s": m[i, j]})
         out = pd.concat([out, pd.DataFrame(extra, columns=["i", "j", "s"])], ignore_index=True)
         out.insert(0, "bandwidth_m", frame["bandwidth_m"].iloc[0])
         return out
 
-    pooled = (
-        cells.groupBy(*keys).applyInPandas(within, "bandwidth_m double, i int, j int, s double")
+    return (
+        cells.groupBy("bandwidth_m", "boundary_school_name").applyInPandas(within, "bandwidth_m double, i int, j int, s double")
         .groupBy("bandwidth_m", "i", "j").agg(F.sum("s").alias("s"))
     )
 
+
+def school_means(cells: DataFrame) -> DataFrame:
+    """(bandwidth_m, boundary_school_name, w, m): weight and weighted means of the terms, then y, of each school."""
+    by_school = cells.where(F.col("i") == 0).groupBy("bandwidth_m", "boundary_school_name").agg(
+        F.max(F.when(F.col("j") == 0, F.col("s"))).alias("w"),
+        F.array_sort(F.collect_list(F.struct("j", "s"))).alias("v"),
+    ).where(F.col("w") > 0)
+    return by_school.select(
+        "bandwidth_m", "boundary_school_name", "w", F.transform("v", lambda e: e["s"] / F.col("w")).alias("m")
+    )
+
+
+def rdd_interaction(df: DataFrame, bandwidths=BANDWIDTHS) -> DataFrame:
+    """Pooled fits per bandwidth: the jump at other schools and its difference at good schools.
+
+    School effects are taken out within each school's sums, so their number never
+    enters the size of the solve.
+    """
+    keys = ["bandwidth_m", "boundary_school_name"]
+    rows = materialize(local_rows(df, bandwidths))
+    sizes = chunk_sizes(rows, keys)
+    design = _design(rows, (*JUMP, *GOOD_JUMP))
+    p = len(design.terms)
+    jump = list(range(1 + len(JUMP) + len(GOOD_JUMP)))
+    parts = {"uncontrolled": jump, "controlled": list(range(p))}
+    picked = [1, 1 + len(JUMP)]
+    cells = materialize(gram(rows, design, TARGET, "kernel_weight", keys, sizes))
+
+    pooled = within_schools(cells, p)
+
     def solved(frame: pd.DataFrame) -> pd.DataFrame:
         extra = frame.loc[frame["i"] < -1].set_index("i")["s"]
         sums = Sums.from_cells(frame.loc[frame["i"] >= -1])
@@ -238,12 +275,7 @@ def rdd_interaction(df: DataFrame, bandwidths=BANDWIDTHS) -> DataFrame:
         "bandwidth_m double, specification string, n long, rank int, base double, diff double, r_squared double, "
         "beta array<double>, picked array<array<double>>",
     ))
-    # Weighted means of each school: the sums with the constant over the sum of weights.
-    by_school = cells.where(F.col("i") == 0).groupBy(*keys).agg(
-        F.max(F.when(F.col("j") == 0, F.col("s"))).alias("w"),
-        F.array_sort(F.collect_list(F.struct("j", "s"))).alias("v"),
-    ).where(F.col("w") > 0)
-    means = by_school.select(*keys, F.transform("v", lambda e: e["s"] / F.col("w")).alias("m"))
+    means = school_means(cells).drop("w")
     fitted = F.aggregate(
         F.arrays_zip(F.slice("m", 1, p).alias("a"), F.col("beta").alias("b")), F.lit(0.0),
         lambda acc, e: acc + e["a"] * e["b"],

@@ -3,11 +3,11 @@
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators import models as M, rdd as R, spatial as G
-from ..operators.filters import contains_ci
+from ..operators import coefficients as C, models as M, rdd as R, spatial as G
 from ..operators.gram import collect_sums, gram
 from ..scratch import materialize
 from .aggregate_queries import rounded
+from .equations import cross_products, dummy, term
 from .filter_queries import RESULTS, result_rows
 from .registry import query, r6
 from .spatial_queries import _AREA, edges, points
@@ -387,9 +387,89 @@ def premium_attribution(t):
     )
 
 
-@query("rdd_term_search")
+# All four terms of the uncontrolled fit: level and slope outside, and what inside differs from them.
+_TERMS = _LINES + """, g AS (SELECT school_name, h, inside, sum(pow(w * (y - fit), 2) * pow((s2 - s1 * km) / det, 2)) AS v0, sum(pow(w * (y - fit), 2) * pow((s0 * km - s1) / det, 2)) AS v1
+  FROM (SELECT e.*, l.s0, l.s1, l.s2, l.det FROM e JOIN l ON l.school_name = e.school_name AND l.h = e.h AND l.inside = e.inside) q GROUP BY 1, 2, 3),
+ f AS (SELECT k.school_name, k.good, k.h, CAST(k.n AS DOUBLE) / (k.n - 4) AS c, i.level AS li, j.level AS lj, i.slope AS si, j.slope AS sj, a.v0 AS a0, a.v1 AS a1, b.v0 AS b0, b.v1 AS b1
+  FROM k JOIN l i ON i.school_name = k.school_name AND i.h = k.h AND i.inside JOIN l j ON j.school_name = k.school_name AND j.h = k.h AND NOT j.inside
+  JOIN g a ON a.school_name = k.school_name AND a.h = k.h AND a.inside JOIN g b ON b.school_name = k.school_name AND b.h = k.h AND NOT b.inside WHERE """ + _FIT + """),
+ t AS (SELECT school_name, good, h, 'Intercept' AS term, lj AS coef, sqrt(c * b0) AS se FROM f UNION ALL SELECT school_name, good, h, 'treat', li - lj, sqrt(c * (a0 + b0)) FROM f
+  UNION ALL SELECT school_name, good, h, 'running_km', sj, sqrt(c * b1) FROM f UNION ALL SELECT school_name, good, h, 'treat:running_km', si - sj, sqrt(c * (a1 + b1)) FROM f)"""
+
+
+@query("rdd_coefficients", f"""WITH {_TERMS} SELECT school_name AS boundary_school_name, CASE WHEN good THEN 'good' ELSE 'non_good' END AS school_group, h AS bandwidth_m, term,
+ round(coef, 6) AS coef, round(se, 6) AS std_err, round(coef / se, 4) AS z, round(coef - 1.959963984540054 * se, 6) AS ci_low, round(coef + 1.959963984540054 * se, 6) AS ci_high FROM t""")
+def rdd_coefficients(t):
+    """Every term of the fits without controls, with robust errors."""
+    table = C.filter_coefficients(school_terms(t), specification="uncontrolled")
+    return table.select(
+        "boundary_school_name", "school_group", "bandwidth_m", "term", r6("coef", "coef"), r6("std_err", "std_err"), r6("z", "z", 4),
+        r6("ci_low", "ci_low"), r6("ci_high", "ci_high"),
+    )
+
+
+def school_terms(t):
+    return C.sweep_coefficients(boundary(t), min_total=LEAST_ROWS, min_side=LEAST_SIDE)
+
+
+@query("rdd_term_search", f"""WITH {_TERMS} SELECT school_name AS boundary_school_name, h AS bandwidth_m, term, round(coef, 6) AS coef, round(se, 6) AS std_err FROM t
+ WHERE good AND h = 300 AND contains(term, 'treat') AND contains(lower(school_name), 'an')""")
 def rdd_term_search(t):
-    """Terms of the pooled table whose name mentions a text."""
-    train, _ = split(t)
-    table = M.ols_table(train, ["floor_area_sqm"], ["town"])
-    return table.where(contains_ci("term", "nation_1"))
+    """Jump terms of some good schools at one bandwidth."""
+    found = C.filter_coefficients(school_terms(t), school_name="AN", group="GOOD", specification="Uncontrolled", bandwidth_m=300, term="TREAT")
+    return found.select("boundary_school_name", "bandwidth_m", "term", r6("coef", "coef"), r6("std_err", "std_err"))
+
+
+_STRUCTURE_ROWS = " UNION ALL ".join(f"SELECT '{c}'" for c in M.STRUCTURE)
+
+
+def _levels(groups):
+    """Dummies of the rows with weight, without the first level of each fit."""
+    fields = {"town": "town", "flat_type": "flat_type", "flat_model": "flat_model", "month_period": "month"}
+    return " UNION ALL ".join(f"""SELECT {groups}, 'C({name})[T.' || v || ']' AS term FROM (SELECT DISTINCT {groups}, {c} AS v, min({c}) OVER (PARTITION BY {groups}) AS first FROM w) q{i} WHERE v <> first"""
+                              for i, (name, c) in enumerate(fields.items()))
+
+
+_WIDE = """w AS (SELECT b.school_name, h.h, x.town, x.flat_type, x.flat_model, x.month FROM {f_txn} x JOIN b ON x.address_key = b.address_key
+  CROSS JOIN (SELECT unnest([100.0, 200.0, 300.0, 500.0])::DOUBLE AS h) h WHERE x.resale_price IS NOT NULL AND x.remaining_lease IS NOT NULL AND abs(b.d) < h.h)"""
+_JUMP_ROWS = "SELECT 'Intercept' AS term UNION ALL SELECT 'treat' UNION ALL SELECT 'running_km' UNION ALL SELECT 'treat:running_km'"
+
+
+def jump_terms():
+    return [term("Intercept", F.lit(1.0)), term("treat", F.col("treat")), term("running_km", F.col("running_km")), term("treat:running_km", F.col("treat_running"))]
+
+
+def control_terms():
+    return [*(term(c, F.col(c)) for c in M.STRUCTURE), *(dummy(c) for c in R.CONTROL_FIELDS)]
+
+
+@query("rdd_sweep_equations", f"""WITH {_LOCAL}, {_WIDE}, p AS (SELECT school_name, h, term FROM (SELECT DISTINCT school_name, h FROM w) z CROSS JOIN ({_JUMP_ROWS} UNION ALL {_STRUCTURE_ROWS}) v
+  UNION ALL {_levels("school_name, h")}) SELECT p.school_name AS boundary_school_name, p.h AS bandwidth_m, term, 0.0 AS cross_product FROM p JOIN k ON k.school_name = p.school_name AND k.h = p.h WHERE {_FIT}""")
+def rdd_sweep_equations(t):
+    """Weighted cross products of residuals and terms of every controlled fit; all are 0."""
+    near, keys = boundary(t), ["boundary_school_name", "bandwidth_m"]
+    table = C.filter_coefficients(C.sweep_coefficients(near, min_total=LEAST_ROWS, min_side=LEAST_SIDE), specification="controlled")
+    rows = R.local_rows(near).select(*keys, F.col(M.TARGET).alias("y"), F.col("kernel_weight").alias("w"), F.array(*jump_terms(), *control_terms()).alias("x"))
+    out = cross_products(rows, keys, table)
+    return out.select(*keys, "term", r6(F.abs("cross"), "cross_product", 5))
+
+
+@query("rdd_interaction_equations", f"""WITH {_LOCAL}, {_WIDE}, p AS (SELECT h, term FROM (SELECT DISTINCT h FROM w) z CROSS JOIN ({_JUMP_ROWS} UNION ALL SELECT 'treat:good_school'
+  UNION ALL SELECT 'running_km:good_school' UNION ALL SELECT 'treat:running_km:good_school' UNION ALL {_STRUCTURE_ROWS}) v UNION ALL {_levels("h")}
+  UNION ALL SELECT h, 'C(boundary_school_name)[T.' || v || ']' FROM (SELECT DISTINCT h, school_name AS v, min(school_name) OVER (PARTITION BY h) AS first FROM w) q WHERE v <> first)
+ SELECT h AS bandwidth_m, term, 0.0 AS cross_product FROM p""")
+def rdd_interaction_equations(t):
+    """The same for the pooled fits with controls, school effects included."""
+    near = boundary(t)
+    table = C.filter_coefficients(C.interaction_coefficients(near), specification="controlled")
+    good = [term("treat:good_school", F.col("treat_good")), term("running_km:good_school", F.col("running_good")), term("treat:running_km:good_school", F.col("treat_running_good"))]
+    rows = R.local_rows(near).select("bandwidth_m", F.col(M.TARGET).alias("y"), F.col("kernel_weight").alias("w"),
+                                     F.array(*jump_terms(), *good, *control_terms(), dummy("boundary_school_name")).alias("x"))
+    out = cross_products(rows, ["bandwidth_m"], table)
+    return out.select("bandwidth_m", "term", r6(F.abs("cross"), "cross_product", 5))
+
+
+@query("rdd_interaction_coefficients")
+def rdd_interaction_coefficients(t):
+    """Every term of the pooled fits with robust errors."""
+    return C.interaction_coefficients(boundary(t))

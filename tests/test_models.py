@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from estatelens.functions.tails import normal_two_sided, student_quantile_975, student_two_sided
-from estatelens.operators import gram as L, models as M, rdd as R
+from estatelens.operators import absorb as A, coefficients as C, gram as L, models as M, rdd as R
 
 
 def sales(seed=0, n=1500):
@@ -241,6 +241,127 @@ def test_rdd_interaction(spark):
                     r.good_school_diff_std_err, r.r_squared) == pytest.approx(want, rel=1e-6)
 
 
+def test_absorbed_ols_equals_a_dense_fit(spark):
+    f = sales(6, 700)
+    f["town"] = [f"t{k % 30}" for k in range(len(f))]
+    f["block"] = [f"b{k % 7}" for k in range(len(f))]
+    f.loc[f["town"] < "t3", "block"] = "apart"  # two parts that no row connects
+    numeric = ["floor_area_sqm", "storey_mid", "school_count_1km"]
+    y = f[M.TARGET].to_numpy()
+    for fields in (["town"], ["town", "block"]):
+        table, effects = A.ols_absorbed(to_spark(spark, f), numeric, fields, M.TARGET)
+        x = np.column_stack([f[numeric].to_numpy(), *[(f[c] == v).to_numpy(float) for c in fields for v in f[c].unique()]])
+        inverse = np.linalg.pinv(x.T @ x)
+        b = inverse @ x.T @ y
+        e = y - x @ b
+        free = len(y) - np.linalg.matrix_rank(x)
+        se = np.sqrt(np.diag(inverse) * (e @ e) / free)
+        for r, coef, err in zip(table.collect(), b, se):
+            assert (r.coef, r.std_err) == pytest.approx((coef, err), rel=1e-6)
+            assert r.p_value == pytest.approx(student_two_sided(coef / err, free), rel=1e-4)
+        found = {(r.field, r.level): r.effect for r in effects.collect()}
+        fitted = found[None, "Intercept"] + f[numeric].to_numpy() @ b[:3] + sum(f[c].map(lambda v, c=c: found[c, v]).to_numpy() for c in fields)
+        assert fitted == pytest.approx(x @ b, abs=1e-6)
+
+
+def test_absorbed_ridge_equals_the_dense_one(spark, monkeypatch):
+    f = sales(7, 900)
+    f["w"] = np.random.default_rng(1).uniform(0.5, 3, len(f))
+    df, numeric = to_spark(spark, f), list(M.REDUCED_NUMERIC)[:4]
+    dense_fit = M.fit_ridge(df, numeric, weight="w")
+    monkeypatch.setattr(M, "is_wide", lambda *_: True)
+    wide = M.fit_ridge(df, numeric, weight="w")
+    assert isinstance(wide, A.WideModel)
+    unseen = df.limit(1).withColumn("town", F.lit("nowhere")).withColumn("txn_id", F.lit(-1))
+    both = df.unionByName(unseen)
+    want = dense_fit.predict(both).orderBy("txn_id").toPandas()["predicted_log_price"].to_numpy()
+    assert wide.predict(both).orderBy("txn_id").toPandas()["predicted_log_price"].to_numpy() == pytest.approx(want, abs=1e-7)
+    a, b = ({r.feature: r.coefficient for r in m.importance(spark).collect()} for m in (dense_fit, wide))
+    assert sorted(a) == sorted(b) and [a[k] for k in sorted(a)] == pytest.approx([b[k] for k in sorted(b)], abs=1e-7)
+
+
+def test_a_hundred_thousand_levels(spark):
+    n, levels = 220_000, 100_000
+    k = F.col("id")
+    x = F.sin(k * 1.7) * 3 + F.pmod(k, F.lit(levels)) / 1e4
+    df = spark.range(n).select((F.pmod(k, F.lit(levels))).cast("string").alias("block"), x.alias("x"), F.cos(k * 0.9).alias("noise"))
+    df = df.withColumn("y", 2.5 * F.col("x") + F.sin(F.col("block").cast("double") * 3) * 5 + F.col("noise"))
+    assert L.is_wide(df, ["block"])
+    got = M.ols_table(df, ["x"], ["block"], "y").first()
+    f = df.toPandas()
+    own = f[["x", "y"]] - f.groupby("block")[["x", "y"]].transform("mean")
+    assert got.coef == pytest.approx((own.x @ own.y) / (own.x @ own.x), rel=1e-8)
+
+
+def test_effects_that_do_not_settle_raise(spark, monkeypatch):
+    monkeypatch.setattr(A, "MOST_ROUNDS", 1)
+    with pytest.raises(ArithmeticError):
+        A.ols_absorbed(to_spark(spark, sales(8, 200)), ["storey_mid"], ["town", "flat_type"], M.TARGET)
+
+
+def dummy_names(g, fields):
+    return [f"C({c})[T.{v}]" for c in fields for v in sorted(g[c].unique())[1:]]
+
+
+def check_table(rows, names, x, y, w):
+    """All terms with estimate, HC1 error, z, p and interval, against a dense fit."""
+    b, se, _ = wls_hc1(x, y, w)
+    got = {r.term: r for r in rows}
+    assert sorted(got) == sorted(names)
+    for name, coef, err in zip(names, b, se):
+        r = got[name]
+        assert (r.coef, r.std_err, r.z) == pytest.approx((coef, err, coef / err), rel=1e-5, abs=1e-9)
+        assert r.p_value == pytest.approx(math.erfc(abs(coef / err) / math.sqrt(2)), rel=1e-3, abs=1e-12)
+        assert (r.ci_low, r.ci_high) == pytest.approx((coef - 1.959963985 * err, coef + 1.959963985 * err), rel=1e-5, abs=1e-7)
+
+
+@pytest.mark.parametrize("chunk", [100, 250_000])
+def test_sweep_coefficients(spark, monkeypatch, chunk):
+    monkeypatch.setattr(L.as_chunks, "__defaults__", (chunk,))
+    f = boundary(2)
+    f.loc[f["boundary_school_name"] == "X", "town"] = "B"  # one level only: no dummy
+    table = C.sweep_coefficients(spark.createDataFrame(f).repartition(5), (100, 300), min_total=150, min_side=40)
+    got = {}
+    for r in table.collect():
+        got.setdefault((r.boundary_school_name, r.school_group, r.bandwidth_m, r.specification), []).append(r)
+    seen = 0
+    for school, s in f.groupby("boundary_school_name"):
+        for h in (100, 300):
+            g = s[(s["signed_distance_m"].abs() <= h)]
+            t, km, tk = jump_columns(g)
+            if len(g) < 150 or t.sum() < 40 or (1 - t).sum() < 40:
+                continue
+            w = np.clip(1 - g["signed_distance_m"].abs() / h, 0, None).to_numpy()
+            base, names = np.column_stack([np.ones(len(g)), t, km, tk]), ["Intercept", "treat", "running_km", "treat:running_km"]
+            more = np.column_stack([base, dense(g, M.STRUCTURE, R.CONTROL_FIELDS)[:, 1:]])
+            group = "good" if g["is_good_school"].iloc[0] else "non_good"
+            check_table(got[school, group, float(h), "uncontrolled"], names, base, g[M.TARGET].to_numpy(), w)
+            check_table(got[school, group, float(h), "controlled"], [*names, *M.STRUCTURE, *dummy_names(g, R.CONTROL_FIELDS)], more, g[M.TARGET].to_numpy(), w)
+            seen += 2
+    assert seen == len(got) > 4
+    some = C.filter_coefficients(table, school_name="ho", group="GOOD", specification="Controlled", bandwidth_m=300, term="TREAT").collect()
+    assert sorted(r.term for r in some) == ["treat", "treat:running_km"] and {r.boundary_school_name for r in some} == {"HOT"}
+
+
+def test_interaction_coefficients(spark, monkeypatch):
+    monkeypatch.setattr(L.chunk_sizes, "__defaults__", (150,))
+    f = boundary(3)
+    got = {}
+    for r in C.interaction_coefficients(spark.createDataFrame(f), (100, 300)).collect():
+        got.setdefault((r.bandwidth_m, r.specification), []).append(r)
+    for h in (100, 300):
+        g = f[f["signed_distance_m"].abs() <= h]
+        t, km, tk = jump_columns(g)
+        good = g["is_good_school"].to_numpy(float)
+        base = np.column_stack([np.ones(len(g)), t, km, tk, t * good, km * good, tk * good, dense(g, [], ["boundary_school_name"])[:, 1:]])
+        more = np.column_stack([base, dense(g, M.STRUCTURE, R.CONTROL_FIELDS)[:, 1:]])
+        w = np.clip(1 - g["signed_distance_m"].abs() / h, 0, None).to_numpy()
+        names = ["Intercept", "treat", "running_km", "treat:running_km", "treat:good_school", "running_km:good_school", "treat:running_km:good_school",
+                 *dummy_names(g, ["boundary_school_name"])]
+        check_table(got[float(h), "uncontrolled"], names, base, g[M.TARGET].to_numpy(), w)
+        check_table(got[float(h), "controlled"], [*names, *M.STRUCTURE, *dummy_names(g, R.CONTROL_FIELDS)], more, g[M.TARGET].to_numpy(), w)
+
+
 def test_tails():
     assert normal_two_sided(1.959963985) == pytest.approx(0.05, rel=1e-8)
     assert student_two_sided(2.0, 10) == pytest.approx(0.07338803477, rel=1e-8)
