@@ -8,6 +8,7 @@ a cut could treat differently are cut by the tokenizer's own rule, or encoded as
 from __future__ import annotations
 
 import re
+from struct import pack
 
 import public_tokenizers
 from tokenizers import Tokenizer
@@ -33,6 +34,10 @@ _rest = [b for b in range(256) if b not in set(_plain)]
 BYTE_CHARS = {b: chr(b) for b in _plain} | {b: chr(256 + k) for k, b in enumerate(_rest)}
 
 
+def packed(ids: list[int]) -> bytes:
+    return pack(f"<{len(ids)}H", *ids)
+
+
 class Chunks(dict):
     """chunk -> its ids as little-endian 16-bit numbers; `lead` is put before a chunk to encode it.
 
@@ -42,7 +47,8 @@ class Chunks(dict):
 
     def __init__(self, tokenizer: Tokenizer, lower: bool, lead: str = "", tails: Chunks | None = None):
         super().__init__()
-        self.tokenizer, self.model, self.lower, self.lead = tokenizer, tokenizer.model, lower, lead
+        self.model, self.lower, self.lead = tokenizer.model, lower, lead
+        self.normalizer, self.pre_tokenizer = tokenizer.normalizer, tokenizer.pre_tokenizer
         self.tails = self if tails is None else tails
         self.old: dict[str, bytes] = {}
 
@@ -51,12 +57,19 @@ class Chunks(dict):
         self.old = dict(self)
         self.clear()
 
-    def ids(self, chunk: str) -> list[int]:
-        """Ids from the library: for one plain word from its model, else from the whole tokenizer."""
-        if chunk.isalpha() and (not self.lower or max(chunk) < "\u0250" and "\u0130" not in chunk):
-            word = self.lead + (chunk.lower() if self.lower else chunk)
-            return [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(BYTE_CHARS))]
-        return self.tokenizer.encode(self.lead + chunk, add_special_tokens=False).ids
+    def ids(self, chunk: str) -> bytes:
+        """Ids by the library's own steps: normalise, cut, and look each part up in the model."""
+        if chunk.isalpha() and (chunk.isascii() or not self.lower or max(chunk) < "\u0250" and "\u0130" not in chunk):
+            word = chunk.lower() if self.lower else chunk
+            if not word.isascii():
+                word = word.encode().decode("latin-1").translate(BYTE_CHARS)
+            parts = [BYTE_CHARS[32] + word if self.lead else word]
+        else:
+            text = self.lead + chunk
+            if self.normalizer is not None:
+                text = self.normalizer.normalize_str(text)
+            parts = [part for part, _ in self.pre_tokenizer.pre_tokenize_str(text)]
+        return packed([t.id for part in parts for t in self.model.tokenize(part)])
 
     def __missing__(self, chunk: str) -> bytes:
         out = self.old.get(chunk)
@@ -67,7 +80,7 @@ class Chunks(dict):
             if 0 < end < len(chunk) and chunk[end - 1].isalpha() and chunk[end - 1].lower().isalpha():
                 out = self[chunk[:end]] + self.tails[chunk[end:]]
             else:
-                out = b"".join(i.to_bytes(2, "little") for i in self.ids(chunk))
+                out = self.ids(chunk)
         self[chunk] = out
         return out
 
@@ -77,8 +90,9 @@ class Encoder:
         tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         if tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError(f"{name}: ids do not fit in 16 bits")
-        # Strings of special tokens in a text are ordinary text.
-        tokenizer.encode_special_tokens = True
+        self.tokenizer = tokenizer
+        # Strings that stand for a token of their own wherever they are; texts with one are encoded as a whole.
+        self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         self.by_bytes = name == BYTES
         self.exact = Chunks(tokenizer, not self.by_bytes)
         self.spaced = Chunks(tokenizer, not self.by_bytes, " ", self.exact)
@@ -90,10 +104,11 @@ class Encoder:
             self.spaced.turn()
         if not text:
             return b""
+        if any(s in text for s in self.special):
+            return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
         if not self.by_bytes:
             if _odd.search(text):
-                ids = self.exact.tokenizer.encode(text, add_special_tokens=False).ids
-                return b"".join(i.to_bytes(2, "little") for i in ids)
+                return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
             return b"".join(map(self.exact.__getitem__, text.split()))
         if _runs.search(text):
             return b"".join(map(self.exact.__getitem__, _byte_chunks.findall(text)))

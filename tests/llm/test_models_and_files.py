@@ -17,13 +17,12 @@ from estatelens.llm import language, neighbours, packing, tokenfile, tokens, war
 from estatelens.scratch import scratch_dir
 from llm_fixtures import frame  # noqa: F401
 
-TEXTS = ["", " ", "a  b", "a \nb", "a\n \nb", " x\n\n  y \t z ", "foo\n bar", "\n\n", "a　 b", "A\x1cB  c", "don't  I'll", "<|endoftext|> x",
+TEXTS = ["", " ", "a  b", "a \nb", "a\n \nb", " x\n\n  y \t z ", "foo\n bar", "\n\n", "a　 b", "A\x1cB  c", "don't  I'll", "<|endoftext|> x", "a<|endoftext|>", " <|startoftext|>b <|ENDOFTEXT|> <|endoftext|", "x-ray 3,000 l'eau don't #1a", "n°5…", "İıſK Å",
          "é é ﬁ Σας ΟΔΟΣ", "x" * 3000, "​﻿ \x85y", "日本 語", "\U0001d4b3 \U0001d4b3"]
 
 
 def direct(name):
     tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
@@ -65,7 +64,10 @@ def test_token_file_round_trip(frame, spark, monkeypatch):
 
 def test_token_file_of_odd_rows(frame):
     got = tokenfile.round_trip(frame([(None, "a"), (2, "b"), (2, "b"), (2, None)])).collect()
-    assert sorted(r.start for r in got) == [0, 2, 3, 5] or sum(r.n_tokens for r in got) == 7
+    # Rows without id come first; of rows with one id, two texts of two tokens and one of one, in any order.
+    starts, sizes = sorted((r.start, r.n_tokens) for r in got if r.doc_id == 2), [r.n_tokens for r in got if r.doc_id is None]
+    assert sizes == [2] and [r.start for r in got if r.doc_id is None] == [0]
+    assert sorted(n for _, n in starts) == [1, 2, 2] and all(a[0] + a[1] == b[0] for a, b in zip([(0, 2), *starts], starts))
     assert tokenfile.round_trip(frame([])).count() == 0
 
 
@@ -100,7 +102,9 @@ def test_packing(frame):
 
 def test_packing_of_repeated_rows(frame):
     got = packing.pack(frame([(1, "a b"), (1, "a b"), (None, "a b"), (None, None)])).collect()
-    assert sorted(r.offset for r in got) == [0, *np.cumsum(sorted((r.length for r in got), reverse=True))[:-1].tolist()] or len(got) == 4
+    spans = sorted((r.sequence_id, r.offset, r.length) for r in got)
+    assert len(got) == 4 and sorted(r.length for r in got) == [1, 3, 3, 3] and len({s for s, _, _ in spans}) == 1
+    assert [o for _, o, _ in spans] == [0, *np.cumsum([n for _, _, n in spans])[:-1].tolist()]
     assert packing.pack(frame([])).count() == 0
 
 
