@@ -20,7 +20,8 @@ CACHE = 300_000
 
 _white = r"\t-\r \x85\xa0  -     　"
 # Runs of white space that more than one rule of the byte tokenizer touches.
-_runs = re.compile(r"\s {1}\s|  ")
+# It begins with a space of its own, so that the search goes from space to space.
+_runs = re.compile(r" (?: |(?<=\s )\s)")
 _byte_chunks = re.compile(rf" ?[^{_white}]+|[{_white}]+(?![^{_white}])|[{_white}]+")
 # Characters on which definitions of white space differ, or that change at composition across a cut.
 _odd = re.compile("[\x1c-\x1f\x85᠎​﻿]")
@@ -50,6 +51,7 @@ class Chunks(dict):
         self.model, self.lower, self.lead = tokenizer.model, lower, lead
         self.normalizer, self.pre_tokenizer = tokenizer.normalizer, tokenizer.pre_tokenizer
         self.tails = self if tails is None else tails
+        self.lines = not lower
         self.old: dict[str, bytes] = {}
 
     def turn(self) -> None:
@@ -77,7 +79,11 @@ class Chunks(dict):
             end = len(chunk)
             while end and chunk[end - 1] in _tail:
                 end -= 1
-            if 0 < end < len(chunk) and chunk[end - 1].isalpha() and chunk[end - 1].lower().isalpha():
+            line = chunk.find("\n")
+            if line > 0 and self.tails.lines:
+                # What stands on either side of a line feed is met again more often than the whole.
+                out = self[chunk[:line]] + b"".join(map(self.tails.__getitem__, _byte_chunks.findall(chunk, line)))
+            elif 0 < end < len(chunk) and chunk[end - 1].isalpha() and chunk[end - 1].lower().isalpha():
                 out = self[chunk[:end]] + self.tails[chunk[end:]]
             else:
                 out = self.ids(chunk)
