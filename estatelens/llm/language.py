@@ -155,13 +155,17 @@ class Model:
         for k, ch in enumerate(letters):
             self.code[ord(ch)] = k + 2
         self.symbols = len(letters) + 3
-        self.automata = []
+        self.automata, weights = [], []
         for lang in self.languages:
             # Pieces are kept apart by a symbol that no text has.
             codes = [np.append(self.codes(p)[0], self.symbols - 1) for p in clean[lang]]
             codes = np.concatenate(codes) if codes else np.zeros(0, np.int64)
+            # Longest matches in a sample of m symbols grow as log m, so phrases are counted in units of 1 / log m.
+            weights.append(np.log(2 + len(codes)))
             self.automata.append((Dense if self.symbols <= DENSE else Hashed)(codes, self.symbols))
 
+        self.weights = np.array(weights)
+
     def codes(self, *texts: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Symbols of all texts, with runs of non-letters as one space; the texts' bounds; whether each has a letter."""
         points = [np.frombuffer(t.lower().encode("utf-32-le", "surrogatepass"), "<u4") for t in texts]
@@ -224,7 +228,8 @@ def predict(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every whole text.
 
     Learns from text and lang of documents outside the held-out fold; a text's own lang, source and id are no input of
-    its prediction. Score is the runner-up's share of the phrases of the best two languages, 1 if there is one language.
+    its prediction. The language that needs the fewest phrases wins, each counted by the logarithm of the language's
+    sample, so that uneven samples compete alike. Score is the runner-up's share of these counts of the best two languages, 1 if there is one language.
     A text that is null or without a letter, or any text if nothing could be learned, is `und` with score 0. A null
     doc_id is not held out, and not learned from. Ties go to the first language by name. Repeated rows and other
     columns do no harm; an empty table gives no rows. Only the sample reaches the driver.
@@ -237,10 +242,11 @@ def predict(docs: DataFrame) -> DataFrame:
             counts, sizes, letter = model.phrases([t or "" for t in part.column("text").to_pylist()])
             pred, score = [UNKNOWN] * part.num_rows, np.zeros(part.num_rows)
             if model.languages:
-                best = counts.argmin(1)
-                low = counts[np.arange(len(best)), best]
-                rest = counts.copy()
-                rest[np.arange(len(best)), best] = np.iinfo(np.int64).max
+                needed = counts * model.weights
+                best = needed.argmin(1)
+                low = needed[np.arange(len(best)), best]
+                rest = needed.copy()
+                rest[np.arange(len(best)), best] = np.inf
                 second = rest.min(1)
                 score = np.where(letter, second / np.maximum(low + second, 1), 0.0) if len(model.languages) > 1 else letter * 1.0
                 pred = [model.languages[b] if has else UNKNOWN for b, has in zip(best.tolist(), letter.tolist(), strict=True)]

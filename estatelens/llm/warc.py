@@ -74,7 +74,10 @@ def parse(data: bytes) -> dict:
     if not found or not re.fullmatch(rb"WARC/1\.[01]", lines[0]):
         raise ValueError("not a WARC record")
     headers = {k.strip().lower().decode(): v.strip().decode() for k, _, v in (x.partition(b":") for x in lines[1:])}
-    if rest[-4:] != b"\r\n\r\n" or int(headers["content-length"]) != len(rest) - 4:
+    wanted = {"warc-type", "warc-record-id", "warc-target-uri", "warc-payload-digest", "content-length"}
+    if missing := wanted - headers.keys():
+        raise ValueError(f"headers missing: {sorted(missing)}")
+    if rest[-4:] != b"\r\n\r\n" or headers["content-length"] != str(len(rest) - 4):
         raise ValueError("Content-Length does not fit the record")
     http, found, payload = rest[:-4].partition(b"\r\n\r\n")
     length = re.search(rb"(?i)\r\ncontent-length: *(\d+)", http)
@@ -85,7 +88,10 @@ def parse(data: bytes) -> dict:
         raise ValueError("header missing or malformed")
     refers = None
     if kind == "revisit":
-        refers = int(re.fullmatch(r"<urn:x-page:(-?\d+)>", headers["warc-refers-to"])[1])
+        target = re.fullmatch(r"<urn:x-page:(-?\d+)>", headers.get("warc-refers-to", ""))
+        if not target or headers.get("warc-profile") != PROFILE:
+            raise ValueError("revisit record without profile or the record that it refers to")
+        refers = int(target[1])
         if payload:
             raise ValueError("revisit record with a payload")
     elif len(payload) != int(length[1]) or hashlib.sha256(payload).hexdigest() != digest[1]:

@@ -1,5 +1,6 @@
 """Operators that SQL cannot express, against brute force, exact round trips and held-out accuracy."""
 
+import hashlib
 import io
 import random
 import zlib
@@ -108,6 +109,46 @@ def test_packing_of_repeated_rows(frame):
     assert packing.pack(frame([])).count() == 0
 
 
+def test_languages_with_uneven_samples(frame):
+    # Three labelled texts of one language against sixty of the other; the held-out texts of both are recognised.
+    source = pq.read_table("/root/testdata/sf0.01/documents.parquet").to_pylist()
+    by_lang = {}
+    for r in source:
+        if r["lang"] and r["text"] and len(r["text"]) > 900:
+            by_lang.setdefault(r["lang"], []).append(r["text"])
+    (a, many), (b, few) = sorted(by_lang.items())[:2]
+    free = [k for k in range(4000) if zlib.crc32(b"%d" % k) % 4 != 2]
+    held = [k for k in range(4000) if zlib.crc32(b"%d" % k) % 4 == 2]
+    rows = [(free.pop(), t[:800], a) for t in many[:60]] + [(free.pop(), t[:800], b) for t in few[:3]]
+    asked = [(held.pop(), t[:800], lang) for lang, texts in ((a, many[60:100]), (b, few[60:100])) for t in texts]
+    got = {r.doc_id: r.lang_pred for r in language.predict(frame(rows + asked)).collect()}
+    for lang in (a, b):
+        own = [got[k] == lang for k, _, is_ in asked if is_ == lang]
+        assert len(own) > 20 and np.mean(own) >= 0.9
+
+
+def test_long_text_is_parsed_in_blocks(monkeypatch):
+    model = language.Model({"x": ["der hund lief schnell"], "y": ["the dog ran home"]})
+    text = "the dog ran home der hund " * 120
+    whole = model.phrases([text])[0]
+    monkeypatch.setattr(language, "BLOCK", 64)
+    cut = model.phrases([text])[0]
+    # Every cut may begin one phrase more.
+    assert (cut >= whole).all() and (cut - whole <= len(text) // 64 + 1).all()
+
+
+def test_records_without_headers(frame):
+    record = warc.record(1, "http://a", b"x" * 200, hashlib.sha256(b"x" * 200).hexdigest(), None)
+    revisit = warc.record(2, "http://b", b"x" * 200, hashlib.sha256(b"x" * 200).hexdigest(), 1)
+    assert warc.parse(record)["page_id"] == 1 and warc.parse(revisit)["refers_to"] == 1
+    for data, names in ((record, ["WARC-Type", "WARC-Record-ID", "WARC-Target-URI", "WARC-Payload-Digest", "Content-Length"]), (revisit, ["WARC-Refers-To", "WARC-Profile"])):
+        for name in names:
+            lines = data.split(b"\r\n")
+            lines.remove(next(x for x in lines if x.startswith(name.encode() + b":")))
+            with pytest.raises(ValueError):
+                warc.parse(b"\r\n".join(lines))
+
+
 def test_plan_is_near_the_least():
     rng = np.random.default_rng(2)
     lengths = np.clip(rng.lognormal(6.4, 1, 40_000).astype(int), 1, 2048)
