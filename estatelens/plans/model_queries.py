@@ -413,10 +413,10 @@ def school_terms(t):
 
 
 @query("rdd_term_search", f"""WITH {_TERMS} SELECT school_name AS boundary_school_name, h AS bandwidth_m, term, round(coef, 6) AS coef, round(se, 6) AS std_err FROM t
- WHERE good AND h = 300 AND contains(term, 'treat') AND contains(lower(school_name), 'an')""")
+ WHERE good AND h = 300 AND contains(term, 'treat') AND contains(lower(school_name), 'nation_1')""")
 def rdd_term_search(t):
     """Jump terms of some good schools at one bandwidth."""
-    found = C.filter_coefficients(school_terms(t), school_name="AN", group="GOOD", specification="Uncontrolled", bandwidth_m=300, term="TREAT")
+    found = C.filter_coefficients(school_terms(t), school_name="Nation_1", group="GOOD", specification="Uncontrolled", bandwidth_m=300, term="TREAT")
     return found.select("boundary_school_name", "bandwidth_m", "term", r6("coef", "coef"), r6("std_err", "std_err"))
 
 
