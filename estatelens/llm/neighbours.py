@@ -26,6 +26,13 @@ STOP_Z = 1.08
 WIDEN = 1.15
 BLOCK, QUERIES = 4096, 1024
 SAMPLE = 256
+# Squared norms beyond these are brought to about 1 for the search, so that nothing overflows; scores are not.
+TINY, HUGE = 1e-200, 1e200
+
+
+def unit(values: np.ndarray) -> np.ndarray:
+    """`values` times the power of two that brings the largest to at most 1."""
+    return np.ldexp(values, -int(np.frexp(np.abs(values).max())[1]))
 
 
 class Index:
@@ -33,9 +40,13 @@ class Index:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, largest: float):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors, self.largest = ids[order], vectors[order], largest
-        lift = np.sqrt(np.maximum(largest - (self.vectors ** 2).sum(1), 0))
-        self.lifted = np.column_stack([self.vectors, lift])
+        self.ids, self.vectors, self.largest, self.plain = ids[order], vectors[order], largest, TINY < largest < HUGE
+        self.near = self.vectors
+        if not self.plain:
+            self.near = unit(self.vectors)
+            self.largest = largest = float((self.near ** 2).sum(1).max())
+        lift = np.sqrt(np.maximum(largest - (self.near ** 2).sum(1), 0))
+        self.lifted = np.column_stack([self.near, lift])
         self.directions = directions(self.lifted.shape[1])
         places = self.lifted @ self.directions.T
         self.order = np.argsort(places, axis=0, kind="stable").T.copy()
@@ -47,6 +58,8 @@ class Index:
     def search(self, own: int, query: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
         """Up to k (vec_id, score), best first, ties to the smaller id; rows with the query's own id are left out."""
         n, d = len(self.ids), self.lifted.shape[1]
+        # The length of the query leaves the order as it is.
+        original, query = query, query if self.plain and TINY < float(query @ query) < HUGE else unit(query)
         lifted = np.append(query, 0.0)
         # Lifting the query to the candidates' sphere leaves the order as it is; distances need its own norm.
         centre = self.directions @ lifted + self.span * np.arange(PROJECTIONS)
@@ -55,7 +68,7 @@ class Index:
         def distance(score: float) -> float:
             return math.sqrt(max(norm + self.largest - 2 * score, 0))
 
-        sample = self.vectors[::max(1, n // SAMPLE)] @ query
+        sample = self.near[::max(1, n // SAMPLE)] @ query
         reach = math.sqrt(d) / STOP_Z
         width = max(0.8 * distance(float(sample.max())) / reach, 1e-9)
         widest = distance(-math.sqrt(norm * self.largest))
@@ -76,10 +89,13 @@ class Index:
             checked[ready] = True
             ready = ready[self.ids[ready] != own]
             # The sum over a row is taken in the same order wherever the row lies, so equal vectors tie exactly.
-            found_at, found = np.append(found_at, ready), np.append(found, (self.vectors[ready] * query).sum(1))
+            found_at, found = np.append(found_at, ready), np.append(found, (self.near[ready] * query).sum(1))
             best = np.lexsort((found_at, -found))[:k]
             if width >= widest or len(best) == k and distance(float(found[best[-1]])) <= width * reach:
-                return self.ids[found_at[best]], found[best]
+                if query is original and self.plain:
+                    return self.ids[found_at[best]], found[best]
+                with np.errstate(over="ignore", invalid="ignore"):
+                    return self.ids[found_at[best]], (self.vectors[found_at[best]] * original).sum(1)
             width *= WIDEN
 
 
@@ -96,7 +112,7 @@ def search(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY) -> DataFram
     Queries are the rows whose vec_id is divisible by `every`; candidates all rows with another vec_id. Rows without
     vec_id, and vectors that are null, zero or hold null or non-finite components take no part. Vectors meet those of
     their own dimension. Rows that repeat a vec_id are candidates each, and queries each with the same result
-    once. Other columns are not read; an empty table gives no rows. Candidates are dealt to blocks of about BLOCK rows
+    once. Scores that overflow are infinite or NaN, which ranks last. Other columns are not read; an empty table gives no rows. Candidates are dealt to blocks of about BLOCK rows
     and queries to blocks of about QUERIES; each pair of blocks is one task's work. Nothing reaches the driver.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
@@ -128,5 +144,5 @@ def search(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY) -> DataFram
 
     met = asked.groupBy("d", "block", "part").cogroup(held.groupBy("d", "block", "part")).applyInPandas(
         meet, "query_id long, vec_id long, score double")
-    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.isnan("score"), F.desc("score"), "vec_id"))
     return met.withColumn("rank", best).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

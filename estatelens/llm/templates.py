@@ -4,8 +4,9 @@ A line is parsed down the tree: its number of tokens, then its first DEPTH token
 variable field `<*>`. The tokens behind them form up to FIELDS fields. In a leaf a field whose content occurs in
 MIN_DOCS documents or more is constant, any other is variable; if enough fields are constant, the line's template
 is the leaf with its constant fields, else the line itself. A template found in MIN_DOCS documents or more recurs:
-its lines stay in the document with the smallest doc_id and are dropped everywhere else. A line without inner white
-space is judged as it is, without masking, if it is long; short ones always stay.
+its lines stay in the document with the smallest doc_id and are dropped everywhere else. A passage, that is a line
+of LONG_TOKENS or more, recurs as a whole from two documents on. A line without inner white space is judged as it
+is, without masking, if it is long; short ones always stay.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..scratch import discard, materialize
-from .common import NO_ID, fresh, slices
+from .common import fresh, slices
 
 DEPTH = 3
 FIELDS = 16
@@ -27,6 +28,8 @@ MIN_TOKENS = 2
 # Bytes from which a line of a single token is judged: a sentence in a script without spaces, a URL, encoded data.
 LONE_BYTES = 24
 MIN_DOCS = 10
+# A line of so many tokens, or of one token of so many bytes, is a passage.
+LONG_TOKENS, LONG_BYTES = 20, 100
 # Least share (in percent) of a line's fields that must be constant for it to be generalised.
 CONSTANT = 60
 VARIABLE = b"<*>"
@@ -45,12 +48,16 @@ def judged(tokens: list[bytes]) -> bool:
     return len(tokens) >= MIN_TOKENS or len(tokens) == 1 and len(tokens[0]) >= LONE_BYTES
 
 
+def passage(tokens: list[bytes]) -> bool:
+    return len(tokens) >= LONG_TOKENS or len(tokens) == 1 and len(tokens[0]) >= LONG_BYTES
+
+
 def line_code(tokens: list[bytes]) -> int:
     return xxhash.xxh64_intdigest(b" ".join(tokens), 1)
 
 
-def parse(text: str) -> dict[int, tuple[int, list[int]]]:
-    """line code -> (leaf code, field codes) of every different line that is judged."""
+def parse(text: str) -> dict[int, tuple[int, list[int], bool]]:
+    """line code -> (leaf code, field codes, whether it is a passage) of every different line that is judged."""
     out = {}
     for line in text.encode().split(b"\n"):
         tokens = tokens_of(line)
@@ -58,7 +65,7 @@ def parse(text: str) -> dict[int, tuple[int, list[int]]]:
             leaf = xxhash.xxh64_intdigest(b"%d %b" % (len(tokens), b" ".join(tokens[:DEPTH])))
             rest = tokens[DEPTH:]
             n, k = len(rest), min(FIELDS, len(rest))
-            out[code] = leaf, [xxhash.xxh32_intdigest(b" ".join(rest[f * n // k:(f + 1) * n // k])) for f in range(k)]
+            out[code] = leaf, [xxhash.xxh32_intdigest(b" ".join(rest[f * n // k:(f + 1) * n // k])) for f in range(k)], passage(tokens)
     return out
 
 
@@ -66,26 +73,40 @@ def signed(values: list[int], bits: int) -> np.ndarray:
     return np.array(values, f"uint{bits}").view(f"int{bits}")
 
 
+def keyed(docs: DataFrame, key: str, code: str) -> DataFrame:
+    """`docs` with the key of a row's document: its doc_id, or else a code of its text (code is null with a doc_id)."""
+    return docs.withColumns({
+        key: F.col("doc_id").cast("long"), code: F.when(F.col("doc_id").isNull(), F.xxhash64("text"))})
+
+
 def line_table(docs: DataFrame) -> DataFrame:
-    """doc_id, leaf, line and fields of every different line of every row."""
+    """doc_id, code (see `keyed`), leaf, line, fields and passage of every different line of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             found = [parse(t or "") for t in part.column("text").to_pylist()]
-            of = np.repeat(np.arange(len(found)), [len(f) for f in found])
+            of = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]), pa.int64())
             fields = [v[1] for f in found for v in f.values()]
             offsets = np.concatenate([[0], np.cumsum([len(f) for f in fields], dtype=np.int64)]).astype(np.int32)
             yield pa.RecordBatch.from_pydict({
-                "doc_id": part.column("doc_id").cast(pa.int64()).take(pa.array(of, pa.int64())),
+                "doc_id": part.column("doc_id").take(of), "code": part.column("code").take(of),
                 "leaf": pa.array(signed([v[0] for f in found for v in f.values()], 64)),
                 "line": pa.array(signed([c for f in found for c in f], 64)),
                 "fields": pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed([c for f in fields for c in f], 32))),
+                "passage": pa.array([v[2] for f in found for v in f.values()], pa.bool_()),
             })
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, leaf long, line long, fields array<int>")
+    rows = keyed(docs.select("doc_id", "text"), "doc_id", "code")
+    return rows.select("doc_id", "code", "text").mapInArrow(
+        run, "doc_id long, code long, leaf long, line long, fields array<int>, passage boolean")
+
+
+# Of the documents that share a template, the smallest doc_id keeps it; without any, the smallest code.
+KEEPERS = ("min(doc_id) as keeper", "min(code) as keeper_code")
+KEEPS = "coalesce(doc_id = keeper, keeper is null and code = keeper_code)"
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
-    """doc_id (NO_ID for null) and the codes of the lines that its document loses."""
+    """doc_id, code (see `keyed`) and the codes of the lines that this document loses."""
     seen = materialize(line_table(docs))
     leaves = materialize(seen.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_DOCS).select("leaf"))
     lines = materialize(seen.join(leaves, "leaf").groupBy("leaf", "line").agg(
@@ -98,13 +119,19 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     enough = 100 * F.coalesce(F.size("fixed"), F.lit(0)) >= CONSTANT * F.size("fields")
     templates = materialize(lines.join(fixed, ["leaf", "line"], "left").select(
         "line", F.when(enough, F.xxhash64("leaf", "fixed")).otherwise(F.col("line")).alias("template")))
-    found = seen.select("doc_id", "line").join(templates, "line")
-    docs_of = found.select("doc_id", "template").distinct().groupBy("template")
-    recurring = materialize(docs_of.agg(F.count("*").alias("n"), F.min("doc_id").alias("keeper")).filter(
-        F.col("n") >= MIN_DOCS).drop("n"))
-    lost = materialize(found.join(recurring, "template").filter(~F.col("doc_id").eqNullSafe(F.col("keeper"))).groupBy(
-        F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id")).agg(F.collect_set("line").alias("lost")))
-    discard(seen, leaves, lines, constant, templates, recurring)
+    found = seen.select("doc_id", "code", "line").join(templates, "line")
+    docs_of = found.select("doc_id", "code", "template").distinct().groupBy("template")
+    recurring = materialize(docs_of.agg(F.count("*").alias("n"), *map(F.expr, KEEPERS)).filter(F.col("n") >= MIN_DOCS).drop("n"))
+    # Two documents or more: counts of rows do not tell, as rows may repeat a document.
+    passages = seen.filter("passage").select("doc_id", "code", "line")
+    several = "keeper < last_id or keeper_code < last_code or keeper is not null and keeper_code is not null"
+    twice = materialize(passages.groupBy("line").agg(
+        *map(F.expr, KEEPERS), F.max("doc_id").alias("last_id"), F.max("code").alias("last_code")).filter(several).select(
+        "line", "keeper", "keeper_code"))
+    lost = found.join(recurring, "template").filter(f"not {KEEPS}").select("doc_id", "code", "line").unionByName(
+        passages.join(twice, "line").filter(f"not {KEEPS}").select("doc_id", "code", "line"))
+    lost = materialize(lost.groupBy("doc_id", "code").agg(F.collect_set("line").alias("lost")))
+    discard(seen, leaves, lines, constant, templates, recurring, twice)
     return lost
 
 
@@ -120,18 +147,21 @@ def dedup_lines(docs: DataFrame, counts: bool = False, emptied: bool = True) ->
 
     With `counts`, returns doc_id, n_lines, n_dropped (long) and text only. Without `emptied`, rows that lost lines
     and have no word left go. A null text stays null and an empty one empty. Rows that repeat a doc_id are one
-    document: they keep or lose the same lines. Rows without doc_id are one document that never keeps a recurring
-    line. Lines of a single token of less than LONE_BYTES always stay. An empty table gives no rows.
+    document: they keep or lose the same lines. Rows without doc_id are one document if their texts are equal; one
+    keeps a recurring line only where no document with an id has it. Lines of a single token of less than LONE_BYTES
+    always stay. An empty table gives no rows.
     """
-    lost, key = fresh("lost", docs.columns), fresh("key", docs.columns)
+    lost, key, code = (fresh(n, docs.columns) for n in ("lost", "key", "code"))
     if counts:
         docs = docs.select("doc_id", "text")
     schema = docs.schema
     if counts:
         schema = T.StructType([schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("n_lines", "n_dropped")), schema["text"]])
     # The lost lines grow with the documents, so they are merged and never broadcast.
-    drops = dropped_lines(docs).select(F.col("doc_id").alias(key), F.col("lost").alias(lost)).hint("merge")
-    joined = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).join(drops, key, "left").drop(key)
+    drops = dropped_lines(docs).select(F.col("doc_id").alias("of"), F.col("code").alias("of_code"), F.col("lost").alias(lost)).hint("merge")
+    rows = keyed(docs, key, code)
+    same = rows[key].eqNullSafe(drops["of"]) & rows[code].eqNullSafe(drops["of_code"])
+    joined = rows.join(drops, same, "left").select(*docs.columns, drops[lost])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
@@ -154,13 +184,13 @@ def dedup_lines(docs: DataFrame, counts: bool = False, emptied: bool = True) ->
 SQL = f"""
 WITH lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw,
    unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents),
- toks AS (SELECT doc_id, pos, raw, [CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END
-   FOR t IN regexp_extract_all(raw, '[^\\x20\\x09-\\x0D]+')] AS t FROM lines),
+ plain AS (SELECT doc_id, pos, raw, regexp_extract_all(raw, '[^\\x20\\x09-\\x0D]+') AS t FROM lines),
+ toks AS (SELECT doc_id, pos, raw, [CASE WHEN len(plain.t) > 1 AND regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END FOR x IN plain.t] AS t FROM plain),
  parsed AS (SELECT *, array_to_string(t, ' ') AS line, len(t) || ' ' || array_to_string(t[1:{DEPTH}], ' ') AS leaf,
    len(t) - {DEPTH} AS n, least({FIELDS}, len(t) - {DEPTH}) AS k FROM toks),
  cut AS (SELECT *, CASE WHEN n > 0 THEN [array_to_string(t[{DEPTH} + 1 + f * n // k:{DEPTH} + (f + 1) * n // k], ' ') FOR f IN range(k)] ELSE [] END AS fields
-   FROM parsed WHERE len(t) >= {MIN_TOKENS}),
- seen AS (SELECT DISTINCT doc_id, leaf, line, fields FROM cut),
+   FROM parsed WHERE len(t) >= {MIN_TOKENS} OR len(t) = 1 AND strlen(t[1]) >= {LONE_BYTES}),
+ seen AS (SELECT DISTINCT doc_id, leaf, line, fields, len(t) >= {LONG_TOKENS} OR len(t) = 1 AND strlen(t[1]) >= {LONG_BYTES} AS passage FROM cut),
  leaves AS (SELECT leaf FROM seen GROUP BY leaf HAVING count(*) >= {MIN_DOCS}),
  kinds AS (SELECT leaf, line, fields, count(*) AS n FROM seen SEMI JOIN leaves USING (leaf) GROUP BY leaf, line, fields),
  apart AS (SELECT leaf, line, n, unnest(range(len(fields))) AS place, unnest(fields) AS field FROM kinds),
@@ -171,9 +201,11 @@ WITH lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10)))
    FROM kinds LEFT JOIN fixed USING (leaf, line)),
  recurring AS (SELECT template, min(doc_id) AS keeper FROM (SELECT DISTINCT doc_id, template FROM seen JOIN templates USING (line))
    GROUP BY template HAVING count(*) >= {MIN_DOCS}),
- lost AS (SELECT DISTINCT doc_id, line FROM seen JOIN templates USING (line) JOIN recurring USING (template) WHERE doc_id <> keeper)
+ twice AS (SELECT line, min(doc_id) AS keeper FROM seen WHERE passage GROUP BY line HAVING count(DISTINCT doc_id) >= 2),
+ lost AS (SELECT doc_id, line FROM seen JOIN templates USING (line) JOIN recurring USING (template) WHERE doc_id <> keeper
+   UNION SELECT doc_id, line FROM seen JOIN twice USING (line) WHERE doc_id <> keeper)
 SELECT p.doc_id, CAST(CASE WHEN any_value(d.text) IS NULL THEN 0 ELSE count(*) END AS BIGINT) AS n_lines,
- CAST(count(*) FILTER (WHERE lost.line IS NOT NULL AND len(p.t) >= {MIN_TOKENS}) AS BIGINT) AS n_dropped,
- CASE WHEN any_value(d.text) IS NOT NULL THEN coalesce(string_agg(p.raw, chr(10) ORDER BY p.pos) FILTER (WHERE lost.line IS NULL OR len(p.t) < {MIN_TOKENS}), '') END AS text
+ CAST(count(lost.line) AS BIGINT) AS n_dropped,
+ CASE WHEN any_value(d.text) IS NOT NULL THEN coalesce(string_agg(p.raw, chr(10) ORDER BY p.pos) FILTER (WHERE lost.line IS NULL), '') END AS text
 FROM parsed p JOIN documents d ON d.doc_id = p.doc_id LEFT JOIN lost ON lost.doc_id = p.doc_id AND lost.line = p.line GROUP BY p.doc_id
 """

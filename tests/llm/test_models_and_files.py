@@ -190,6 +190,36 @@ def test_neighbours(spark):
     assert [v for v, _ in (got[100][k] for k in range(1, 21))] == list(range(101, 121))
 
 
+def test_neighbours_over_blocks(spark, monkeypatch):
+    """Several blocks of candidates and parts of queries: their results are merged, with a recall of 0.9 or more."""
+    monkeypatch.setattr(neighbours, "BLOCK", 500)
+    monkeypatch.setattr(neighbours, "QUERIES", 40)
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((4000, 24)) + 2 * rng.standard_normal((40, 24))[rng.integers(0, 40, 4000)]
+    got = {}
+    for r in neighbours.search(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    assert set(got) == set(range(0, 4000, 20)) and all(sorted(k for k, _ in v) == list(range(1, 21)) for v in got.values())
+    found = 0
+    for q, near in got.items():
+        score = x @ x[q]
+        score[q] = -np.inf
+        found += len({v for _, v in near} & set(np.argsort(-score)[:20].tolist()))
+    assert found >= 0.9 * 20 * len(got)
+
+
+@pytest.mark.parametrize("size", [1e200, 1e-200, 1.0])
+def test_neighbours_at_the_ends_of_doubles(spark, size):
+    """Squared norms that overflow or vanish: the search ends, and finite scores are right."""
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((300, 8)) * size
+    x[0] /= size
+    got = neighbours.search(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")).collect()
+    want = np.argsort(-(x[1:] @ x[0]))[:20] + 1
+    assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == 0] == want.tolist()
+    assert len(got) == 15 * 20
+
+
 def test_few_neighbours(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0], 1), (0, [1.0, 0.0], 1), (3, [0.5, 0.5], 2)], "vec_id long, embedding array<double>, rank int")
     assert [tuple(r) for r in neighbours.search(df).collect()] == [(0, 1, 3, 0.5)]

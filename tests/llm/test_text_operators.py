@@ -115,6 +115,33 @@ def test_line_dedup_of_single_tokens(frame):
     assert got[0] == rows[0][1] and all(got[k] == f"short7\nhttps://example.org/a/long/path?id={k}" for k in range(1, 12))
 
 
+def test_line_dedup_of_passages(agrees, frame):
+    """A line of 20 words goes from the second document on; one of 19 stays until ten have it."""
+    long, short, lone = prose(20, 700), prose(19, 701), "长" * 34
+    rows = [(k, f"{prose(9, 710 + k)}\n{long}\n{short}\n{lone}\n{long}") for k in (3, 4)] + [(5, long), (6, f"a {long}"), (7, "长" * 33)]
+    agrees(lambda d: templates.dedup_lines(d, counts=True), rows, templates.SQL)
+    got = {r.doc_id: r.text for r in templates.dedup_lines(frame([*rows, (3, rows[0][1])])).collect()}
+    assert got[3] == rows[0][1] and got[4] == f"{prose(9, 714)}\n{short}" and got[5] == "" and got[6] == f"a {long}"
+
+
+def test_line_dedup_of_lone_tokens_equals_sql(agrees):
+    rows = [(k, f"https://example.org/a/long/path?id=12345\nshort7\nhttps://example.org/a/long/path?id={k}\nsee id {k}") for k in range(12)]
+    agrees(lambda d: templates.dedup_lines(d, counts=True), rows, templates.SQL)
+
+
+def test_line_dedup_without_ids(frame):
+    """Rows without doc_id are documents by their text; one with an id keeps the line, else exactly one of them."""
+    long = prose(25, 720)
+    texts = [f"{prose(8, 730 + k)}\n{long}" for k in range(5)]
+    got = [r.text for r in templates.dedup_lines(frame([(None, t) for t in texts] + [(None, texts[0])])).collect()]
+    keepers = {t for t in got if long in t}
+    assert len(keepers) == 1 and len(got) == 6 and sorted({t.split("\n")[0] for t in got}) == sorted(t.split("\n")[0] for t in texts)
+    got = templates.dedup_lines(frame([(None, t) for t in texts] + [(9, texts[4])])).collect()
+    assert [r.doc_id for r in got if long in r.text] == [9]
+    got = templates.dedup_lines(frame([(None, texts[0]), (None, texts[0]), (None, None), (8, None)])).collect()
+    assert sorted((r.text or "") for r in got) == ["", "", texts[0], texts[0]]
+
+
 def test_line_dedup_odd_columns(spark):
     df = spark.createDataFrame([(None, "a line here", 1), (2, "a line here", 2)] * 12, "doc_id long, text string, lost int")
     got = templates.dedup_lines(df, emptied=False)
@@ -126,7 +153,7 @@ def test_mixing(agrees):
     agrees(mixing.mix, rows, mixing.SQL)
 
 
-@pytest.mark.parametrize("weights", [None, {"s0": 5, "s1": 0.5, "s2": 3}])
+@pytest.mark.parametrize("weights", [None, {"s0": 5, "s1": 0.5, "s2": 3}, {"s0": 0.12345, "s1": 7.5, "s2": 1e6}])
 def test_mix_stays_near_its_weights(frame, weights):
     sizes = {"s0": 900, "s1": 300, "s2": 500}
     docs = frame([(k * 10 + int(s[1]), None, None, s) for s, n in sizes.items() for k in range(n)])
@@ -153,6 +180,44 @@ def test_small_sources_fill_their_slots(frame):
     assert len(slots["small"] | slots["large"]) == 1 + max(r.slot for r in placed) and abs(len(slots["small"]) - len(slots["large"])) <= 1
 
 
+def test_weights_in_whole_ratios_are_exact(frame):
+    docs = frame([(k, None, None, f"s{k % 3}") for k in range(300)])
+    plan = {r.key: (r.share, r.period) for r in mixing.plan(docs, {"s0": 5, "s1": 0.5}).collect()}
+    assert plan == {"=s0": (10, 13), "=s1": (1, 13), "=s2": (2, 13)}
+
+
+def test_tiny_source_is_repeated_to_the_end(spark, frame):
+    """One document with half of the weight: epochs in several short arrays, no slot left empty."""
+    docs = frame([(k, None, None, "one" if k == 0 else "rest") for k in range(40_001)])
+    placed = mixing.mix(docs, {"one": 1, "rest": 1})
+    slots = [r.slot for r in placed.filter("source = 'one'").collect()]
+    assert len(slots) == len(set(slots)) == 5000 and placed.count() == 45_000
+
+
+def test_default_weights_leave_no_slot_empty(frame):
+    docs = frame([(k, None, None, "tiny" if k < 8 else "large") for k in range(40_000)])
+    placed = mixing.mix(docs).select("source", "slot", "block", "epoch").distinct().collect()
+    assert sorted(r.slot for r in placed) == list(range(len(placed))) and max(r.epoch for r in placed) > 3
+
+
+def test_odd_weights(frame):
+    docs = frame([(k, None, None, f"s{k % 2}") for k in range(200)])
+    got = mixing.mix(docs, {"s0": 0, "s1": 1}).collect()
+    assert sorted(r.doc_id for r in got) == list(range(1, 200, 2))
+    with pytest.raises(ValueError):
+        mixing.mix(docs, {"s0": -1})
+    for weights, message in (({"s0": 0, "s1": 0}, "weight 0"), ({"s2": 1}, "no such sources")):
+        with pytest.raises(Exception, match=message):
+            mixing.mix(docs, weights).collect()
+    assert mixing.mix(frame([]), {"s2": 1}).count() == 0
+
+
+def test_too_many_sources(frame, monkeypatch):
+    monkeypatch.setattr(mixing, "SLOTS", 4)
+    with pytest.raises(Exception, match="more than 4 sources"):
+        mixing.mix(frame([(k, None, None, f"s{k}") for k in range(5)])).collect()
+
+
 @pytest.mark.parametrize("operator", [
     secret_spans.scan, repetition.repetition, repetition.good_documents, minhash.near_duplicates, templates.dedup_lines, mixing.mix])
 def test_empty_table(frame, operator):
