@@ -195,7 +195,7 @@ def test_tiny_source_is_repeated_to_the_end(spark, frame):
 
 
 def test_default_weights_leave_no_slot_empty(frame):
-    docs = frame([(k, None, None, "tiny" if k < 8 else "large") for k in range(40_000)])
+    docs = frame([(k, None, None, "tiny" if k < 8 else "large") for k in range(48_000)])
     placed = mixing.mix(docs).select("source", "slot", "block", "epoch").distinct().collect()
     assert sorted(r.slot for r in placed) == list(range(len(placed))) and max(r.epoch for r in placed) > 3
 
