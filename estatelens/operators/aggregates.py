@@ -10,7 +10,6 @@ from ..functions.scalar import to_number
 from .quantiles import join_null_safe, modes_of, median_of, summarize, unpivot_numeric
 
 PRICE = "resale_price"
-SUMMARY_GROUPS = ("town", "flat_type", "flat_model", "street_name", "block", "storey_range")
 
 
 def sale_summary(df: DataFrame, by: str | None = None) -> DataFrame:
