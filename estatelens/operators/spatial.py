@@ -438,22 +438,53 @@ def split_matched(joined: DataFrame, column: str = "poly_id") -> tuple[DataFrame
     return joined.where(F.col(column).isNotNull()), joined.where(F.col(column).isNull())
 
 
-def edges_near_points(points: DataFrame, edges: DataFrame, reach: float) -> DataFrame:
-    """(point_id, poly_id, distance): least distance to the outline, where at most `reach`."""
-    size = float(reach) or 1.0
+# An edge longer than this many reaches is cut by cells of this part of its own extent.
+EDGE_CUTS = 16
 
-    def run(a, b):
-        return F.sequence(F.floor((F.least(a, b) - reach) / size), F.floor((F.greatest(a, b) + reach) / size))
 
-    e = edges.select("poly_id", *EDGE).withColumn("cx", F.explode(run("x1", "x2"))).withColumn(
-        "cy", F.explode(run("y1", "y2"))
-    )
-    p = points.select("point_id", "x", "y").withColumn("cx", F.floor(F.col("x") / size)).withColumn(
-        "cy", F.floor(F.col("y") / size)
-    )
+def _slack(reach: Column, size: Column) -> Column:
+    """The reach and a hair for rounding at cell borders."""
+    return reach * (1 + 1e-9) + size * 1e-9
+
+
+def _edge_cells(edges: DataFrame, size: Column, pad: Column, window: tuple[Column, ...] | None = None) -> DataFrame:
+    """Each edge once per cell (cx, cy) that lies within `pad` of it, row by row, so that a slanting edge does not fill its box.
+
+    `window` (x low, x high, y low, y high) leaves out cells beyond it.
+    """
+    low_y, high_y = F.least("y1", "y2") - pad, F.greatest("y1", "y2") + pad
+    if window:
+        low_y, high_y = F.greatest(low_y, window[2]), F.least(high_y, window[3])
+    rows = edges.where(low_y <= high_y).withColumn("cy", F.explode(F.sequence(F.floor(low_y / size), F.floor(high_y / size))))
+    dy = F.col("y2") - F.col("y1")
+
+    def at(y: Column) -> Column:
+        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (y - F.col("y1")) / F.when(dy != 0, dy)))
+
+    # The piece of the edge that can be within `pad` of this row.
+    ends = [at(F.col("cy") * size - pad), at((F.col("cy") + 1) * size + pad)]
+    x = [F.col("x1") + F.when(dy != 0, t).otherwise(F.lit(float(k))) * (F.col("x2") - F.col("x1")) for k, t in enumerate(ends)]
+    low_x, high_x = F.least(*x) - pad, F.greatest(*x) + pad
+    if window:
+        low_x, high_x = F.greatest(low_x, window[0]), F.least(high_x, window[1])
+    return rows.where(low_x <= high_x).withColumn("cx", F.explode(F.sequence(F.floor(low_x / size), F.floor(high_x / size))))
+
+
+def edges_near_points(points: DataFrame, edges: DataFrame, reach: float) -> DataFrame:
+    """(point_id, poly_id, distance): least distance to the outline, where at most `reach`.
+
+    Cells are as wide as the reach; those of an edge over EDGE_CUTS times as long, and of any edge where the reach
+    is 0, are powers of two of their own, so an edge never has more than some dozens of cells.
+    """
+    extent = F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1")))
+    least = F.greatest(F.lit(float(reach)), extent / EDGE_CUTS, F.lit(1e-9))
+    e = edges.select("poly_id", *EDGE).withColumn("level", F.ceil(F.log2(least)).cast("int"))
+    size = F.pow(F.lit(2.0), F.col("level"))
+    p = _point_cells(points.select("point_id", "x", "y"), e.where(F.col("level").isNotNull()))
     d = geo.point_segment_distance(F.col("x"), F.col("y"), *[F.col(k) for k in EDGE])
     return (
-        p.join(e, ["cx", "cy"]).withColumn("distance", d).where(F.col("distance") <= reach)
+        p.join(_edge_cells(e, size, _slack(F.lit(float(reach)), size)), ["level", "cx", "cy"])
+        .withColumn("distance", d).where(F.col("distance") <= reach)
         .groupBy("point_id", "poly_id").agg(F.min("distance").alias("distance"), F.first("x").alias("x"), F.first("y").alias("y"))
     )
 
@@ -501,44 +532,130 @@ def boundary_distance(points: DataFrame, edges: DataFrame, pairs: DataFrame) ->
     )
 
 
-def polygons_within(left: DataFrame, right: DataFrame, reach: float) -> DataFrame:
-    """(left_id, right_id) of polygons at most `reach` apart, containment included.
+def _outlines(edges: DataFrame, tag: str) -> DataFrame:
+    """Box, edge count, mean edge length and the four outermost vertices of each polygon, column names led by `tag`."""
+    box = _boxes(edges)
+    v, length = F.struct("x1", "y1"), geo.plane_distance(*[F.col(c) for c in EDGE])
+    outer = [F.min_by(v, "x1"), F.max_by(v, "x1"), F.min_by(v, "y1"), F.max_by(v, "y1")]
+    more = edges.groupBy("poly_id").agg(F.avg(length).alias("mean_edge"), F.array(*outer).alias("outer"))
+    both = box.join(more, "poly_id")
+    return both.withColumnsRenamed({c: f"{tag}_{c}" for c in both.columns}).withColumnRenamed(f"{tag}_poly_id", f"{tag}_id")
+
 
-    Stands for the intersection of `left` with `right` buffered by `reach`.
+def box_pairs(left: DataFrame, right: DataFrame, reach: float) -> DataFrame:
+    """Pairs of `_outlines` (tags left and right) whose boxes are at most `reach` apart, each once.
+
+    Two boxes meet at the level of the wider one, where both cover 2 x 2 cells at most, and are emitted in the cell
+    that holds the lower corner of what they share.
     """
-    left, right = (
-        materialize(df.select("poly_id", *[c for c in ("part", "ring") if c in df.columns], *EDGE)) for df in (left, right)
+    pad = float(reach) * (1 + 1e-9)
+
+    def level_of(tag, by):
+        span = F.greatest(F.col(f"{tag}_bx2") - F.col(f"{tag}_bx1"), F.col(f"{tag}_by2") - F.col(f"{tag}_by1")) + 2 * by
+        return F.ceil(F.log2(F.greatest(span, F.lit(1e-9)))).cast("int")
+
+    sides = {"left": left.withColumn("own", level_of("left", pad)), "right": right.withColumn("own", level_of("right", 0.0))}
+    used = {tag: sorted(r.own for r in df.where("own IS NOT NULL").select("own").distinct().collect()) for tag, df in sides.items()}
+    size = F.pow(F.lit(2.0), F.col("level"))
+
+    def cells(tag, levels):
+        by = pad if tag == "left" else 0.0
+        at = sides[tag].withColumn("level", F.explode(levels))
+        for axis in "xy":
+            run = F.sequence(F.floor((F.col(f"{tag}_b{axis}1") - by) / size), F.floor((F.col(f"{tag}_b{axis}2") + by) / size))
+            at = at.withColumn(f"c{axis}", F.explode(run))
+        return at.drop("own")
+
+    def wider(levels, test):
+        known = F.array(*[F.lit(v) for v in levels]) if levels else F.array().cast("array<int>")
+        return F.filter(known, test)
+
+    own = F.array("own")
+    key = ["level", "cx", "cy"]
+    at_left = cells("left", own).join(cells("right", wider(used["left"], lambda v: v >= F.col("own"))), key)
+    at_right = cells("left", wider(used["right"], lambda v: v > F.col("own"))).join(cells("right", own), key)
+    met = at_left.unionByName(at_right)
+    shared = {axis: F.greatest(F.col(f"left_b{axis}1") - pad, F.col(f"right_b{axis}1")) for axis in "xy"}
+    gap = [
+        F.greatest(F.lit(0.0), F.col(f"left_b{a}1") - F.col(f"right_b{a}2"), F.col(f"right_b{a}1") - F.col(f"left_b{a}2"))
+        for a in "xy"
+    ]
+    first = (F.col("cx") == F.floor(shared["x"] / size)) & (F.col("cy") == F.floor(shared["y"] / size))
+    return met.where(first & (F.sqrt(gap[0] * gap[0] + gap[1] * gap[1]) <= pad)).drop(*key)
+
+
+def _sure(reach: float) -> Column:
+    """Whether two of the outermost vertices of a pair are within `reach`: no edge has to be looked at then."""
+    def to(v, w):
+        return geo.plane_distance(v["x1"], v["y1"], w["x1"], w["y1"])
+
+    return F.least(*[to(F.col("left_outer")[i], F.col("right_outer")[j]) for i in range(4) for j in range(4)]) <= reach
+
+
+def edge_pairs(undecided: DataFrame, left: DataFrame, right: DataFrame, reach: float) -> DataFrame:
+    """Edges that have to be compared: (left_id, right_id, a.., b..) for pairs of polygons still undecided.
+
+    The polygon with more edges lies in cells of its own, as wide as its mean edge or the reach, written once however
+    many pairs it is in; the edges of the other one visit only those cells that lie within its box.
+    """
+    swap = F.col("left_n_edges") < F.col("right_n_edges")
+
+    def pick(name, big):
+        a, b = F.col(f"left_{name}"), F.col(f"right_{name}")
+        return F.when(swap, b if big else a).otherwise(a if big else b)
+
+    boxes = ["bx1", "bx2", "by1", "by2"]
+    width = F.greatest(F.lit(float(reach)), pick("mean_edge", True))
+    pairs = undecided.select(
+        "left_id", "right_id", F.when(swap, "right").otherwise("left").alias("big_side"), pick("id", True).alias("big"),
+        F.when(swap, "left").otherwise("right").alias("side"), pick("id", False).alias("poly_id"),
+        *[pick(c, True).alias(c) for c in boxes], F.when(width > 0, width).otherwise(1.0).alias("size"),
+    )
+    both = left.select(F.lit("left").alias("side"), "poly_id", *EDGE).unionByName(right.select(F.lit("right").alias("side"), "poly_id", *EDGE))
+    size = F.col("size")
+    pad = _slack(F.lit(float(reach)), size)
+    grids = pairs.select(F.col("big_side").alias("side"), F.col("big").alias("poly_id"), "size").distinct()
+    held = _edge_cells(both.join(grids, ["side", "poly_id"]), size, pad).select(
+        F.col("side").alias("big_side"), F.col("poly_id").alias("big"), "cx", "cy", *[F.col(c).alias(f"b{c}") for c in EDGE]
+    )
+    window = (F.col("bx1") - pad, F.col("bx2") + pad, F.col("by1") - pad, F.col("by2") + pad)
+    visits = _edge_cells(both.join(pairs, ["side", "poly_id"]), size, size * 1e-9, window).select(
+        "left_id", "right_id", "big_side", "big", "cx", "cy", *[F.col(c).alias(f"a{c}") for c in EDGE]
     )
-    size = float(reach) or 1.0
+    return visits.join(held, ["big_side", "big", "cx", "cy"]).drop("big_side", "big", "cx", "cy")
 
-    def cells(df, tag, pad):
-        def run(a, b):
-            return F.sequence(F.floor((F.least(a, b) - pad) / size), F.floor((F.greatest(a, b) + pad) / size))
 
-        return df.select(F.col("poly_id").alias(f"{tag}_id"), *[F.col(k).alias(f"{tag}{k}") for k in EDGE]).withColumn(
-            "cx", F.explode(run(f"{tag}x1", f"{tag}x2"))
-        ).withColumn("cy", F.explode(run(f"{tag}y1", f"{tag}y2")))
+def polygons_within(left: DataFrame, right: DataFrame, reach: float) -> DataFrame:
+    """(left_id, right_id) of polygons at most `reach` apart, containment included.
 
-    near_boxes = cells(left, "l", 0.0).join(cells(right, "r", reach), ["cx", "cy"])
-    seg = [tuple(F.col(f"{tag}{k}") for k in EDGE) for tag in ("l", "r")]
-    close = near_boxes.where(geo.segments_distance(*seg) <= reach).select(
-        F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id")
+    Stands for the intersection of `left` with `right` buffered by `reach`. Pairs of boxes that are farther apart are
+    dropped and pairs with two outermost vertices within reach are taken; only edges of the others are compared.
+    """
+    left, right = (
+        materialize(df.select("poly_id", *[c for c in ("part", "ring") if c in df.columns], *EDGE)) for df in (left, right)
     )
+    outlines = [materialize(_outlines(df, tag)) for df, tag in ((left, "left"), (right, "right"))]
+    pairs = materialize(box_pairs(*outlines, reach).withColumn("sure", _sure(reach)))
+    taken, undecided = pairs.where("sure").select("left_id", "right_id"), pairs.where("NOT sure")
+    seg = [tuple(F.col(f"{tag}{k}") for k in EDGE) for tag in ("a", "b")]
+    close = edge_pairs(undecided, left, right, reach).where(geo.segments_distance(*seg) <= reach).select("left_id", "right_id")
 
-    def corner(df):
+    def corner(df, tag):
         # One vertex of every ring of every part: a part inside the other polygon meets none of its edges.
         rings = [c for c in ("part", "ring") if c in df.columns]
-        return df.groupBy("poly_id", *rings).agg(F.min(F.struct("x1", "y1")).alias("v")).select(
+        open_ids = undecided.select(F.col(f"{tag}_id").alias("poly_id")).distinct()
+        return df.join(open_ids, "poly_id", "left_semi").groupBy("poly_id", *rings).agg(F.min(F.struct("x1", "y1")).alias("v")).select(
             F.struct("poly_id", *rings).alias("point_id"), F.col("v.x1").alias("x"), F.col("v.y1").alias("y")
         )
 
-    left_in = point_in_polygon(corner(left), right, "intersects").select(
+    left_in = point_in_polygon(corner(left, "left"), right, "intersects").select(
         F.col("point_id.poly_id").alias("left_id"), F.col("poly_id").alias("right_id")
     )
-    right_in = point_in_polygon(corner(right), left, "intersects").select(
+    right_in = point_in_polygon(corner(right, "right"), left, "intersects").select(
         F.col("poly_id").alias("left_id"), F.col("point_id.poly_id").alias("right_id")
     )
-    return close.unionByName(left_in).unionByName(right_in).distinct()
+    found = close.unionByName(left_in).unionByName(right_in).unionByName(taken)
+    return found.distinct()
 
 
 def school_counts(buildings: DataFrame, schools: DataFrame, good: DataFrame, reach: float) -> DataFrame:

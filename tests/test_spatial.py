@@ -132,3 +132,84 @@ def test_nearest_does_not_cross_join(spark):
     o, t = layers(2)
     plan = G.nearest_k(spark.createDataFrame(o), spark.createDataFrame(t), 1)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+EDGES = "poly_id int, seq int, x1 double, y1 double, x2 double, y2 double"
+
+
+def stars(seed, n, spread, size, first=0):
+    """Ragged polygons around random centres; a third sit in one dense spot, one is wider than all others."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for k in range(n):
+        cx, cy = (rng.uniform(0, spread / 50, 2) if k % 3 == 0 else rng.uniform(0, spread, 2))
+        corners = int(rng.integers(3, 9)) if k else 80
+        turn = np.sort(rng.uniform(0, 2 * math.pi, corners))
+        r = rng.uniform(0.3, 1, corners) * (size if k else spread / 2)
+        ring = list(zip(cx + r * np.cos(turn), cy + r * np.sin(turn)))
+        rows += ring_edges(first + k, [tuple(map(float, v)) for v in [*ring, ring[0]]])
+    return rows
+
+
+def gap(a, b):
+    """Least distance of two sets of segments, and whether one holds a vertex of the other."""
+    def to(px, py, s):
+        dx, dy = s[2] - s[0], s[3] - s[1]
+        t = max(0, min(1, ((px - s[0]) * dx + (py - s[1]) * dy) / (dx * dx + dy * dy)))
+        return math.hypot(px - s[0] - t * dx, py - s[1] - t * dy)
+
+    def side(s, x, y):
+        return (s[2] - s[0]) * (y - s[1]) - (s[3] - s[1]) * (x - s[0])
+
+    best = math.inf
+    for s in a:
+        for t in b:
+            if side(s, t[0], t[1]) * side(s, t[2], t[3]) < 0 and side(t, s[0], s[1]) * side(t, s[2], s[3]) < 0:
+                return 0.0
+            best = min(best, to(s[0], s[1], t), to(s[2], s[3], t), to(t[0], t[1], s), to(t[2], t[3], s))
+    held = [(1, 0, *s) for s in a], [(1, 0, *t) for t in b]
+    return 0.0 if inside(held[1], 1, a[0][0], a[0][1]) or inside(held[0], 1, b[0][0], b[0][1]) else best
+
+
+@pytest.mark.parametrize("reach", [0.0, 0.05, 40.0])
+def test_polygons_within_brute_force(spark, reach):
+    a, b = stars(1, 30, 500.0, 12.0), stars(2, 24, 500.0, 20.0, 100)
+    got = {tuple(r) for r in G.polygons_within(spark.createDataFrame(a, EDGES), spark.createDataFrame(b, EDGES), reach).collect()}
+    held = [{p: [r[2:] for r in rows if r[0] == p] for p in {r[0] for r in rows}} for rows in (a, b)]
+    assert got == {(p, q) for p, s in held[0].items() for q, t in held[1].items() if gap(s, t) <= reach}
+
+
+def test_polygon_joins_compare_few_edges(spark):
+    """A crowd of small squares around one ragged outline: its pairs are decided by boxes and outermost vertices."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for k, (x, y) in enumerate(rng.uniform(0, 100, (300, 2)).tolist()):
+        rows += ring_edges(k, [(x, y), (x + 1, y), (x + 1, y + 1), (x, y + 1), (x, y)])
+    crowd = spark.createDataFrame([(p, i, *map(float, c)) for p, i, *c in rows], EDGES)
+    turn = np.linspace(0, 2 * math.pi, 2001)
+    r = 1000 + 20 * np.cos(40 * turn)
+    big = spark.createDataFrame(ring_edges(900, list(zip((r * np.cos(turn)).tolist(), (r * np.sin(turn)).tolist()))), EDGES)
+
+    def compared(left, right, reach):
+        pairs = G.box_pairs(G._outlines(left, "left"), G._outlines(right, "right"), reach).withColumn("sure", G._sure(reach))
+        assert pairs.count() == pairs.select("left_id", "right_id").distinct().count()
+        return G.edge_pairs(pairs.where("NOT sure"), left, right, reach).count()
+
+    # Every pair of squares is in reach: nothing is compared, of 4 x 4 edges of 90,000 pairs.
+    assert compared(crowd, crowd, 200.0) == 0 and G.polygons_within(crowd, crowd, 200.0).count() == 300 * 300
+    # The crowd lies in the box of the outline, but far from its edges: none of 2,000 x 1,200 pairs of edges is compared.
+    assert compared(crowd, big, 5.0) == 0 and compared(big, crowd, 5.0) == 0
+    assert G.polygons_within(crowd, big, 5.0).count() == 300
+    # A band along the outline meets the edges nearby only.
+    shifted = crowd.withColumns({c: F.col(c) + 930 for c in ("x1", "x2")})
+    assert 0 < compared(shifted, big, 5.0) < 20 * 1200
+
+
+def test_long_edges_are_cut(spark):
+    """A slanting edge has cells along it, not all of its box; distances at reach 0 are those on the edge."""
+    e = spark.createDataFrame([(1, 0, 0.0, 0.0, 100000.0, 99000.0)], EDGES)
+    cells = G._edge_cells(e, F.lit(10.0), F.lit(10.0)).select("cx", "cy")
+    assert cells.count() == cells.distinct().count() < 100000
+    p = spark.createDataFrame([(1, 50000.0, 49500.0), (2, 50000.0, 49507.0), (3, 50000.0, 49520.0)], "point_id int, x double, y double")
+    assert {r.point_id for r in G.edges_near_points(p, e, 10.0).collect()} == {1, 2}
+    assert {r.point_id for r in G.edges_near_points(p, e, 0.0).collect()} == {1}
