@@ -1,9 +1,9 @@
 """Containment, nearest, radius and boundary-distance joins as equi-joins on grid cells.
 
 Nearest and radius searches descend a shared quadtree of cells on both sides at
-once. Only cell pairs that can still matter are kept, so dense spots are never
-paired point by point with everything around them, and no search radius or
-candidate number is capped.
+once. Only cell pairs that can still matter are kept and only full cells are opened,
+so dense spots are never paired point by point with everything around them and make
+nothing else deeper, and no search radius or candidate number is capped.
 """
 
 from __future__ import annotations
@@ -16,10 +16,12 @@ from ..functions import geo
 from ..scratch import materialize
 from .ordering import first_per_key
 
-# Points a leaf cell may hold before the tree is made deeper, and the deepest tree.
+# Places a cell may hold before it is opened, halvings from one level to the next, and levels whose cells are counted
+# in one go. After 48 halvings of the extent doubles tell hardly any places apart.
 LEAF_POINTS = 32
-MAX_DEPTH = 24
 _STEP = 2
+_BLOCK = 12
+_FINEST = 48
 
 
 @dataclass(frozen=True)
@@ -58,8 +60,12 @@ class Grid:
 
     def cell(self, v: Column, origin: float, level: int) -> Column:
         n = 2**level
-        at = F.floor((v - origin) / (self.size / n)).cast("int")
-        return F.greatest(F.lit(0), F.least(F.lit(n - 1), at))
+        at = F.floor((v - origin) / (self.size / n)).cast("long")
+        return F.greatest(F.lit(0).cast("long"), F.least(F.lit(n - 1).cast("long"), at))
+
+    def placed(self, points: DataFrame, level: int, cx: str, cy: str) -> DataFrame:
+        """The points with their cell at a level."""
+        return points.withColumns({cx: self.cell(F.col("x"), self.x0, level), cy: self.cell(F.col("y"), self.y0, level)})
 
     def gaps(self, level: int, metric: Metric) -> tuple[Column, Column]:
         """Least and largest distance between points of cells (ox, oy) and (tx, ty)."""
@@ -85,69 +91,72 @@ def _grid_over(origins: DataFrame, targets: DataFrame) -> Grid | None:
     return Grid(b[0], b[1], size * (1 + 1e-9))
 
 
-def _tree_depth(targets: DataFrame, grid: Grid) -> int:
-    """Smallest even depth at which no cell of any kind holds more than LEAF_POINTS places."""
-    spots = materialize(targets.select("kind", "x", "y").distinct())
-    depth = _STEP
-    while depth < MAX_DEPTH:
-        fullest = (
-            spots.groupBy("kind", grid.cell(F.col("x"), grid.x0, depth), grid.cell(F.col("y"), grid.y0, depth))
-            .agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-        )
-        if fullest is None or fullest <= LEAF_POINTS:
-            break
-        depth += _STEP
-    return depth
-
-
-def _levels(points: DataFrame, grid: Grid, depth: int, kinds: list[str], weight: Column) -> DataFrame:
-    """Occupied cells of every second level with their weights, written once."""
-    leaf = points.select(
-        *kinds, grid.cell(F.col("x"), grid.x0, depth).alias("lx"), grid.cell(F.col("y"), grid.y0, depth).alias("ly"),
-        weight.alias("w"),
-    ).groupBy(*kinds, "lx", "ly").agg(F.sum("w").alias("w"))
-    steps = F.array(*[F.lit(level) for level in range(0, depth + 1, _STEP)])
-    up = leaf.withColumn("level", F.explode(steps))
-    drop = F.lit(depth) - F.col("level")
-    cells = up.select(
-        *kinds, "level",
-        F.floor(F.col("lx") / F.pow(F.lit(2.0), drop)).cast("int").alias("cx"),
-        F.floor(F.col("ly") / F.pow(F.lit(2.0), drop)).cast("int").alias("cy"),
-        "w",
-    ).groupBy(*kinds, "level", "cx", "cy").agg(F.sum("w").alias("w"))
-    return materialize(cells)
-
-
-def _descend(origins, targets, grid, depth, metric, weight, prune):
-    """Cell pairs at leaf level after applying `prune` at every level on the way down.
-
-    `prune(pairs, level)` sees columns ox, oy, kind, tx, ty, w, near, far.
+def _cells_below(points: DataFrame, grid: Grid, start: int, kinds: list[str]) -> DataFrame:
+    """Occupied cells of the levels of one block with their sums of `n` and `w`, written once."""
+    end = start + _BLOCK
+    finest = grid.placed(points, end, "lx", "ly").groupBy(*kinds, "lx", "ly").agg(F.sum("n").alias("n"), F.sum("w").alias("w"))
+    up = finest.withColumn("level", F.explode(F.array(*[F.lit(level) for level in range(start + _STEP, end + 1, _STEP)])))
+    width = F.pow(F.lit(2.0), F.lit(end) - F.col("level"))
+    return materialize(up.select(
+        *kinds, "level", F.floor(F.col("lx") / width).alias("cx"), F.floor(F.col("ly") / width).alias("cy"), "n", "w",
+    ).groupBy(*kinds, "level", "cx", "cy").agg(F.sum("n").alias("n"), F.sum("w").alias("w")))
+
+
+def _descend(origins: DataFrame, targets: DataFrame, grid: Grid, metric: Metric, prune) -> list[tuple[int, DataFrame]]:
+    """Cell pairs that matter, as (level, table of kind, ox, oy, tx, ty, w, whole).
+
+    A target cell is opened only while it holds more than LEAF_POINTS places, and only for the origin cells that it
+    still matters to: a dense spot makes nothing deeper but itself. Cells are counted a block of levels at a time, below
+    those still open. `origins` has (x, y), `targets` (kind, x, y, n, w): n counts places, w is what pairs add up.
+    `prune(pairs, level)` sees these columns with near, far and the bound of the pair above; it drops pairs, and sets
+    the bound and whether a pair is `whole`, not to be opened or compared.
     """
-    o_cells = _levels(origins, grid, depth, [], F.lit(1))
-    t_cells = _levels(targets, grid, depth, ["kind"], weight)
-    kinds = t_cells.where(F.col("level") == 0).select("kind", F.col("cx").alias("tx"), F.col("cy").alias("ty"), "w")
-    # One root cell on the origin side: attach its coordinates to the root of each kind.
-    pairs = kinds.withColumns({"ox": F.lit(0), "oy": F.lit(0)})
-    for level in range(_STEP, depth + 1, _STEP):
+    spots = origins.select("x", "y", F.lit(1).alias("n"), F.lit(1).alias("w"))
+    root = F.lit(0).cast("long")
+    pairs = targets.groupBy("kind").agg(F.sum("n").alias("n"), F.sum("w").alias("w")).withColumns(
+        {"ox": root, "oy": root, "tx": root, "ty": root, "bound": F.lit(float("inf"))}
+    )
+    found, level, cells = [], 0, None
+    while True:
+        near, far = grid.gaps(level, metric)
+        done = F.col("whole") | (F.col("n") <= LEAF_POINTS) | F.lit(level >= _FINEST)
+        pairs = prune(pairs.withColumn("near", near).withColumn("far", far), level).withColumn("done", done)
+        pairs = materialize(pairs.select("kind", "ox", "oy", "tx", "ty", "n", "w", "bound", "whole", "done"))
+        kept = {r.done for r in pairs.select("done").distinct().collect()}
+        if True in kept or level == 0:
+            found.append((level, pairs.where("done").select("kind", "ox", "oy", "tx", "ty", "w", "whole")))
+        if False not in kept:
+            return found
+        pairs = pairs.where("NOT done").drop("n", "w", "whole", "done")
+        if level % _BLOCK == 0:
+            o, t = spots, targets
+            if level:
+                o = grid.placed(o, level, "ox", "oy").join(pairs.select("ox", "oy").distinct(), ["ox", "oy"], "left_semi")
+                t = grid.placed(t, level, "tx", "ty").join(pairs.select("kind", "tx", "ty").distinct(), ["kind", "tx", "ty"], "left_semi")
+            cells = _cells_below(o, grid, level, []), _cells_below(t, grid, level, ["kind"])
+        level += _STEP
         span = 2**_STEP
-        oc = o_cells.where(F.col("level") == level).select(
-            F.col("cx").alias("ox2"), F.col("cy").alias("oy2"),
-            F.floor(F.col("cx") / span).cast("int").alias("ox"), F.floor(F.col("cy") / span).cast("int").alias("oy"),
-        )
-        tc = t_cells.where(F.col("level") == level).select(
-            "kind", F.col("cx").alias("tx2"), F.col("cy").alias("ty2"), F.col("w").alias("w2"),
-            F.floor(F.col("cx") / span).cast("int").alias("tx"), F.floor(F.col("cy") / span).cast("int").alias("ty"),
-        )
-        pairs = (
-            pairs.join(oc, ["ox", "oy"]).join(tc, ["kind", "tx", "ty"])
-            .select("kind", F.col("ox2").alias("ox"), F.col("oy2").alias("oy"),
-                    F.col("tx2").alias("tx"), F.col("ty2").alias("ty"), F.col("w2").alias("w"))
+        below = [
+            c.where(F.col("level") == level).select(
+                *[k for k in ("kind",) if k in c.columns], F.col("cx").alias(f"{tag}x2"), F.col("cy").alias(f"{tag}y2"),
+                F.floor(F.col("cx") / span).alias(f"{tag}x"), F.floor(F.col("cy") / span).alias(f"{tag}y"),
+                *(["n", "w"] if tag == "t" else []),
+            ) for tag, c in zip("ot", cells)
+        ]
+        pairs = pairs.join(below[0], ["ox", "oy"]).join(below[1], ["kind", "tx", "ty"]).select(
+            "kind", F.col("ox2").alias("ox"), F.col("oy2").alias("oy"), F.col("tx2").alias("tx"), F.col("ty2").alias("ty"), "n", "w", "bound"
         )
-        near, far = grid.gaps(level, metric)
-        pairs = prune(pairs.withColumn("near", near).withColumn("far", far), level)
-        if level % (3 * _STEP) == 0 and level < depth:
-            pairs = materialize(pairs)
-    return pairs
+
+
+def _candidates(origins: DataFrame, targets: DataFrame, grid: Grid, pairs: list[tuple[int, DataFrame]]) -> DataFrame:
+    """Origins (as __x, __y) beside the targets of the cells they are paired with; each target once per origin."""
+    parts = None
+    for level, met in pairs:
+        t = grid.placed(targets, level, "tx", "ty").join(met.select("kind", "ox", "oy", "tx", "ty"), ["kind", "tx", "ty"]).drop("tx", "ty")
+        o = grid.placed(origins, level, "ox", "oy").withColumnsRenamed({"x": "__x", "y": "__y"})
+        part = o.join(t, ["ox", "oy"]).drop("ox", "oy")
+        parts = part if parts is None else parts.unionByName(part)
+    return parts
 
 
 def nearest_k(
@@ -163,19 +172,16 @@ def nearest_k(
     """
     columns = list(target_columns)
     targets = targets.select("target_id", "kind", "x", "y", *columns)
-    # Of targets at one place only the k lowest ids can be among the k nearest.
+    # Of targets at one place only the k lowest ids can be among the k nearest; `n` counts the place once.
     if k == 1:
-        places = first_per_key(targets, ["kind", "x", "y"], [F.col("target_id")])
+        places = first_per_key(targets, ["kind", "x", "y"], [F.col("target_id")]).withColumn("n", F.lit(1))
     else:
         place = Window.partitionBy("kind", "x", "y").orderBy("target_id")
-        places = targets.withColumn("__r", F.row_number().over(place)).where(F.col("__r") <= k).drop("__r")
-    places = materialize(places)
+        places = targets.withColumn("__r", F.row_number().over(place)).where(F.col("__r") <= k)
+        places = places.withColumn("n", (F.col("__r") == 1).cast("int")).drop("__r")
+    places = materialize(places.withColumn("w", F.lit(1)))
     tagged = materialize(origins.select("origin_id", "x", "y"))
-    spots = tagged.select("x", "y")
-    grid = _grid_over(spots, places)
-    if grid is None:
-        grid = Grid(0.0, 0.0, 1.0)
-    depth = _tree_depth(places, grid)
+    grid = _grid_over(tagged, places) or Grid(0.0, 0.0, 1.0)
 
     def prune(pairs: DataFrame, level: int) -> DataFrame:
         group = Window.partitionBy("ox", "oy", "kind")
@@ -185,19 +191,13 @@ def nearest_k(
             upto = group.orderBy("far").rangeBetween(Window.unboundedPreceding, Window.currentRow)
             pairs = pairs.withColumn("seen", F.sum("w").over(upto))
             bound = F.coalesce(F.min(F.when(F.col("seen") >= k, F.col("far"))).over(group), F.lit(float("inf")))
-        kept = pairs.withColumn("bound", bound).where(F.col("near") <= F.col("bound"))
-        return kept.select("kind", "ox", "oy", "tx", "ty", "w")
+        # What bounded the cell above bounds this one too.
+        pairs = pairs.withColumn("bound", F.least("bound", bound)).where(F.col("near") <= F.col("bound"))
+        return pairs.withColumn("whole", F.lit(False))
 
-    pairs = _descend(spots, places, grid, depth, metric, F.lit(1), prune)
-    o = tagged.select(
-        "origin_id", F.col("x").alias("__x"), F.col("y").alias("__y"),
-        grid.cell(F.col("x"), grid.x0, depth).alias("ox"), grid.cell(F.col("y"), grid.y0, depth).alias("oy"),
-    )
-    t = places.select(
-        *places.columns, grid.cell(F.col("x"), grid.x0, depth).alias("tx"), grid.cell(F.col("y"), grid.y0, depth).alias("ty"),
-    )
+    pairs = _descend(tagged, places, grid, metric, prune)
     near = (
-        o.join(pairs.select("kind", "ox", "oy", "tx", "ty"), ["ox", "oy"]).join(t, ["kind", "tx", "ty"])
+        _candidates(tagged, places.drop("n", "w"), grid, pairs)
         .withColumn("distance", metric.distance(F.col("__x"), F.col("__y"), F.col("x"), F.col("y")))
         .select("origin_id", "kind", "target_id", "distance", *columns)
     )
@@ -215,38 +215,23 @@ def count_within(origins: DataFrame, targets: DataFrame, radius: float, metric:
     are compared point by point. Targets at one place are counted together.
     """
     places = materialize(
-        targets.groupBy("kind", "x", "y").agg(F.count("*").alias("w"))
+        targets.groupBy("kind", "x", "y").agg(F.lit(1).alias("n"), F.count("*").alias("w"))
     )
     origins = materialize(origins.select("origin_id", "x", "y"))
     grid = _grid_over(origins, places) or Grid(0.0, 0.0, 1.0)
-    depth = _tree_depth(places, grid)
-    whole: list[tuple[int, DataFrame]] = []
 
     def prune(pairs: DataFrame, level: int) -> DataFrame:
-        pairs = materialize(pairs.where(F.col("near") <= radius))
-        inside = F.col("far") <= radius
-        whole.append((level, pairs.where(inside).groupBy("ox", "oy", "kind").agg(F.sum("w").alias("n"))))
-        return pairs.where(~inside).select("kind", "ox", "oy", "tx", "ty", "w")
+        return pairs.where(F.col("near") <= radius).withColumn("whole", F.col("far") <= radius)
 
-    cut = _descend(origins, places, grid, depth, metric, F.col("w"), prune)
-
-    def placed(level: int) -> DataFrame:
-        return origins.select(
-            "origin_id", F.col("x").alias("__x"), F.col("y").alias("__y"),
-            grid.cell(F.col("x"), grid.x0, level).alias("ox"), grid.cell(F.col("y"), grid.y0, level).alias("oy"),
-        )
-
-    t = places.select(
-        "kind", "x", "y", F.col("w").alias("n"),
-        grid.cell(F.col("x"), grid.x0, depth).alias("tx"), grid.cell(F.col("y"), grid.y0, depth).alias("ty"),
-    )
+    pairs = _descend(origins, places, grid, metric, prune)
     parts = (
-        placed(depth).join(cut.select("kind", "ox", "oy", "tx", "ty"), ["ox", "oy"]).join(t, ["kind", "tx", "ty"])
+        _candidates(origins, places.drop("n"), grid, [(level, met.where("NOT whole")) for level, met in pairs])
         .where(metric.distance(F.col("__x"), F.col("__y"), F.col("x"), F.col("y")) <= radius)
-        .select("origin_id", "kind", "n")
+        .select("origin_id", "kind", F.col("w").alias("n"))
     )
-    for level, cells in whole:
-        parts = parts.unionByName(placed(level).join(cells, ["ox", "oy"]).select("origin_id", "kind", "n"))
+    for level, met in pairs:
+        cells = met.where("whole").groupBy("ox", "oy", "kind").agg(F.sum("w").alias("n"))
+        parts = parts.unionByName(grid.placed(origins, level, "ox", "oy").join(cells, ["ox", "oy"]).select("origin_id", "kind", "n"))
     return parts.groupBy("origin_id", "kind").agg(F.sum("n").alias("n"))
 
 

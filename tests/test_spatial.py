@@ -213,3 +213,28 @@ def test_long_edges_are_cut(spark):
     p = spark.createDataFrame([(1, 50000.0, 49500.0), (2, 50000.0, 49507.0), (3, 50000.0, 49520.0)], "point_id int, x double, y double")
     assert {r.point_id for r in G.edges_near_points(p, e, 10.0).collect()} == {1, 2}
     assert {r.point_id for r in G.edges_near_points(p, e, 0.0).collect()} == {1}
+
+
+def test_dense_spot_opens_only_its_own_cells(spark):
+    """300 places within a billionth of the extent, and 400 spread ones: the spread ones stay in shallow cells."""
+    rng = np.random.default_rng(8)
+    x, y = rng.uniform(0, 1e6, 700), rng.uniform(0, 1e6, 700)
+    x[:300], y[:300] = 250000 + rng.uniform(0, 1e-3, 300), 250000 + rng.uniform(0, 1e-3, 300)
+    t = pd.DataFrame({"target_id": range(700), "kind": 0, "x": x, "y": y})
+    ox, oy = rng.uniform(0, 1e6, 60), rng.uniform(0, 1e6, 60)
+    ox[:20], oy[:20] = 250000 + rng.uniform(0, 1e-3, 20), 250000 + rng.uniform(0, 1e-3, 20)
+    o = pd.DataFrame({"origin_id": range(60), "x": ox, "y": oy})
+    left, right = spark.createDataFrame(o), spark.createDataFrame(t)
+    seen = {}
+
+    def prune(pairs, level):
+        seen[level] = pairs.select("kind", "tx", "ty").distinct().count()
+        return pairs.withColumn("whole", F.lit(False))
+
+    found = G._descend(left, right.withColumns({"n": F.lit(1), "w": F.lit(1)}), G._grid_over(left, right), G.PLANE, prune)
+    # Below the level of the spread places only cells of the spot are opened, far beyond 24 halvings.
+    assert max(seen) > 24 and seen[max(seen)] <= 300 and all(seen[level] <= 32 for level in range(10, 30, 2))
+    assert {level for level, met in found if met.count()} & {2, 4, 6}
+    got = G.nearest_k(left, right, 2).toPandas()
+    want = brute(o, t).sort_values(["origin_id", "d", "target_id"]).groupby("origin_id").head(2)
+    assert set(zip(got.origin_id, got.target_id)) == set(zip(want.origin_id, want.target_id))
