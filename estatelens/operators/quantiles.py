@@ -18,11 +18,15 @@ from ..scratch import materialize
 BUCKETS_PER_OCTAVE = 1024
 _SHIFT = 2_000_000
 
+# Rows up to which the values of a bucket are ranked by one task, and the parts a fuller bucket is split into.
+RANKED_ROWS = 200_000
+PARTS = 1024
+
 
 def value_bucket(x: Column) -> Column:
     """A bucket number that never decreases as x grows."""
     def magnitude(v):
-        return F.floor(F.log2(v) * BUCKETS_PER_OCTAVE) + _SHIFT
+        return F.floor(F.least(F.log2(v), F.lit(2000.0)) * BUCKETS_PER_OCTAVE) + _SHIFT
 
     return F.when(x > 0, magnitude(x)).when(x < 0, -magnitude(-x)).otherwise(F.lit(0)).cast("long")
 
@@ -43,7 +47,8 @@ def summarize(df: DataFrame, by: list[str], value: str, quantiles: dict[str, flo
 
     `quantiles` maps output names to probabilities. Null and NaN values are left out;
     a null group key is a group of its own. Without group columns an empty input has
-    one row of count 0. Two scans of the input.
+    one row of count 0. Two scans of the input, and one more for each time that buckets of different values hold
+    more than RANKED_ROWS rows and are split; a single value is never split, however many rows have it.
     """
     by = list(by)
     rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(
@@ -81,9 +86,10 @@ def summarize(df: DataFrame, by: list[str], value: str, quantiles: dict[str, flo
     inside = F.exists(
         ranks, lambda r: (r >= F.col("__before")) & (r < F.col("__before") + F.col("__n"))
     ) if quantiles else (F.col("__before") == 0)
+    facts = ["__total", "mean", "__m2", "min", "max"]
     wanted = materialize(
         placed.where(inside).select(
-            *by, "__b", "__before", "__total", "mean", "__m2", "min", "max"
+            *by, "__b", "__n", F.col("__min").alias("__lo"), F.col("__max").alias("__hi"), "__before", *facts
         )
     )
     std = F.when(F.col("count") > 1, F.sqrt(F.col("__m2") / (F.col("count") - 1)))
@@ -95,14 +101,25 @@ def summarize(df: DataFrame, by: list[str], value: str, quantiles: dict[str, flo
             )
         return totals.select(*by, "count", "mean", std.alias("std"), "min", "max")
 
-    # Second scan: rank the distinct values of the wanted buckets only.
-    counted = (
-        join_null_safe(rows, wanted.select(*by, "__b"), [*by, "__b"])
-        .groupBy(*by, "__b", "__x")
-        .agg(F.count("*").alias("__n"))
-    )
-    counted = join_null_safe(counted, wanted, [*by, "__b"])
-    order = Window.partitionBy(*by, "__b").orderBy("__x").rowsBetween(
+    # Further scans: split what is still too full to be ranked by one task.
+    at = [*by, "__b"]
+    full = (F.col("__n") > RANKED_ROWS) & (F.col("__lo") < F.col("__hi"))
+    while not wanted.where(full).isEmpty():
+        share = (F.col("__x") - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))
+        part = F.when(full, F.least(F.floor(share * PARTS), F.lit(PARTS - 1))).otherwise(0).cast("long")
+        finer = f"__b{len(at)}"
+        rows = join_null_safe(rows, wanted.select(*at, "__n", "__lo", "__hi"), at).withColumn(finer, part).drop("__n", "__lo", "__hi")
+        counted = rows.groupBy(*at, finer).agg(F.count("*").alias("__n"), F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
+        counted = join_null_safe(counted, wanted.drop("__n", "__lo", "__hi"), at)
+        upto = Window.partitionBy(*at).orderBy(finer).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        counted = counted.withColumn("__before", F.col("__before") + F.sum("__n").over(upto) - F.col("__n"))
+        at = [*at, finer]
+        wanted = materialize(counted.where(inside).select(*at, "__n", "__lo", "__hi", "__before", *facts))
+
+    # Last scan: rank the distinct values of the wanted buckets only.
+    counted = join_null_safe(rows, wanted.select(*at), at).groupBy(*at, "__x").agg(F.count("*").alias("__n"))
+    counted = join_null_safe(counted, wanted.drop("__n", "__lo", "__hi"), at)
+    order = Window.partitionBy(*at).orderBy("__x").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     ranked = counted.withColumn("__before", F.col("__before") + F.sum("__n").over(order) - F.col("__n"))

@@ -68,3 +68,30 @@ def test_first_per_key(spark):
     df = spark.createDataFrame([("a", 2, "x"), ("a", 1, None), (None, 5, "z"), (None, 4, "y")], "k string, o int, v string")
     got = {(r.k, r.o, r.v) for r in first_per_key(df, ["k"], [F.col("o")]).collect()}
     assert got == {("a", 1, None), (None, 4, "y")}
+
+
+def test_narrow_ranges_are_split_before_they_are_ranked(spark, monkeypatch):
+    """Longitudes, seconds since 1970 and mostly equal values: no ranked bucket of different values is over the limit."""
+    from estatelens.operators import quantiles
+
+    rng = np.random.default_rng(4)
+    n = 6000
+    values = {
+        "longitude": rng.uniform(103.6, 104.0, n), "seconds": 1.7e9 + rng.integers(0, 10**6, n).astype(float),
+        "west": -rng.uniform(103.6, 103.60001, n), "copies": np.where(rng.random(n) < 0.97, 5.0, 5.0 + rng.random(n) * 1e-9),
+    }
+    pdf = pd.concat([pd.DataFrame({"g": g if g != "west" else None, "x": x}) for g, x in values.items()])
+    written = []
+    keep = quantiles.materialize
+    monkeypatch.setattr(quantiles, "RANKED_ROWS", 40)
+    monkeypatch.setattr(quantiles, "PARTS", 64)
+    monkeypatch.setattr(quantiles, "materialize", lambda df: written.append(keep(df)) or written[-1])
+    probs = {"p0": 0.0, "p25": 0.25, "median": 0.5, "p99": 0.99, "p100": 1.0}
+    got = {r.g: r for r in summarize(spark.createDataFrame(pdf).repartition(5), ["g"], "x", probs).collect()}
+    for key, x in values.items():
+        row = got[None if key == "west" else key]
+        assert row["count"] == n and (row["min"], row["max"]) == (x.min(), x.max())
+        for name, p in probs.items():
+            assert row[name] == pytest.approx(np.quantile(x, p), rel=1e-15)
+    assert len(written) > 2
+    assert written[0].where("__n > 40 AND __lo < __hi").count() and not written[-1].where("__n > 40 AND __lo < __hi").count()
