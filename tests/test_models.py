@@ -367,3 +367,28 @@ def test_tails():
     assert student_two_sided(2.0, 10) == pytest.approx(0.07338803477, rel=1e-8)
     assert student_two_sided(1.0, 1) == pytest.approx(0.5)
     assert student_quantile_975(10) == pytest.approx(2.228138852, rel=1e-8)
+
+
+def test_penalised_fits_prove_themselves():
+    """Nearly equal columns and a constant one: every fit meets the optimality conditions of its penalty."""
+    from estatelens.operators.gram import Sums
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(400, 8))
+    x[:, 4] = x[:, 3] + 0.05 * rng.normal(size=400)
+    x[:, 5] = 0.0
+    y = x @ np.array([2.0, 0, -1, 1, 1, 0, 0, 0.01]) + rng.normal(size=400)
+    x, y = x - x.mean(axis=0), y - y.mean()
+    sums = [Sums(len(rows), x[rows].T @ x[rows], x[rows].T @ y[rows], float(y[rows] @ y[rows])) for rows in (range(400), range(150))]
+    penalties = [(a, r) for a in (1e-3, 0.1, 10.0) for r in (0.1, 1.0)]
+    beta = M.elastic_nets(sums, penalties, tol=1e-13)
+    for f, s in enumerate(sums):
+        for m, (a, r) in enumerate(penalties):
+            b = beta[f, :, m]
+            slope = s.xy - s.xx @ b - s.n * a * (1 - r) * b
+            limit = s.n * a * r
+            assert (np.abs(slope) <= limit + 1e-3).all() and np.allclose(slope[b != 0], np.sign(b[b != 0]) * limit, atol=1e-3)
+    gaps = M.duality_gaps(sums, penalties, beta)
+    assert (gaps <= 1e-13 * np.array([[s.yy] for s in sums])).all() and (M.duality_gaps(sums, penalties, beta * 1.1 + 0.1) > 1e-3).all()
+    with pytest.raises(ValueError):
+        M.elastic_nets(sums, [(0.1, 0.0)])
