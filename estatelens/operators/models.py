@@ -258,14 +258,32 @@ class LinearModel:
             "predicted_resale_price", F.exp("predicted_log_price")
         )
 
-    def importance(self, spark, top: int = 100) -> DataFrame:
+    def coefficients(self, spark) -> DataFrame:
+        """(feature, coefficient) of every term but the constant."""
         rows = [(f"num__{c}", float(b)) for c, b in self.numeric.items()]
         rows += [(f"cat__{c}_{k}", float(b)) for c, m in self.effects.items() for k, b in m.items()]
-        df = spark.createDataFrame(rows, "feature string, coefficient double")
-        return df.withColumn("abs_coefficient", F.abs("coefficient")).orderBy(
+        return spark.createDataFrame(rows, "feature string, coefficient double")
+
+    def importance(self, spark, top: int = 100) -> DataFrame:
+        return self.coefficients(spark).withColumn("abs_coefficient", F.abs("coefficient")).orderBy(
             F.desc("abs_coefficient"), "feature"
         ).limit(top)
 
+    def slopes(self, df: DataFrame) -> DataFrame:
+        """(feature, coefficient, slope): cross product of each term with the residuals over `df`, 0 for unseen levels.
+
+        On the rows of the fit it is alpha times the coefficient for a ridge; sums combine before they are shuffled.
+        """
+        terms = [F.struct(F.lit(f"num__{c}").alias("feature"), self.prep.scaled(c).alias("value")) for c in self.numeric]
+        for c in self.effects:
+            level = F.coalesce(F.col(c), F.lit(self.prep.modes.get(c)))
+            terms.append(F.struct(F.concat(F.lit(f"cat__{c}_"), level).alias("feature"), F.lit(1.0).alias("value")))
+        entries = df.select((F.col(TARGET) - self.log_price()).alias("residual"), F.inline(F.array(*terms)))
+        sums = entries.groupBy("feature").agg(F.sum(F.col("residual") * F.col("value")).alias("slope"))
+        return self.coefficients(df.sparkSession).join(sums, "feature", "left").select(
+            "feature", "coefficient", F.coalesce("slope", F.lit(0.0)).alias("slope")
+        )
+
 
 def model_from(prep: Preparation, design: Design, index: list[int], beta: np.ndarray, sums: Sums) -> LinearModel:
     """Coefficients of the terms `index` (without the constant) to a model."""

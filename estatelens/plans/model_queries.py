@@ -147,6 +147,20 @@ def feature_importance(t):
     return out.select("feature", r6("coefficient", "coefficient"), r6("abs_coefficient", "abs_coefficient"))
 
 
+_TRAIN = f"(SELECT *, strftime(m, '%Y-%m') AS month_period FROM {_F} q WHERE NOT is_test)"
+_FEATURES = " UNION ALL ".join([f"SELECT 'num__{c}' AS feature" for c in M.REDUCED_NUMERIC] + [
+    f"SELECT DISTINCT 'cat__{c}_' || {c} FROM {_TRAIN} t{i} WHERE {c} IS NOT NULL" for i, c in enumerate(M.CATEGORIES)
+])
+
+
+@query("ridge_equations", f"SELECT feature, 0.0 AS gap FROM ({_FEATURES}) f")
+def ridge_equations(t):
+    """Every equation of the full ridge: cross product with the residuals less alpha times the coefficient; all are 0."""
+    train, _ = split(t)
+    out = M.fit_ridge(train, list(M.REDUCED_NUMERIC), alpha=1.0).slopes(train)
+    return out.select("feature", r6(F.abs(F.col("slope") - F.col("coefficient")), "gap", 5))
+
+
 @query("ridge_weighted")
 def ridge_weighted(t):
     """Ridge with floor-area weights: train and test metrics."""
@@ -182,6 +196,25 @@ def ols_full(t):
     return M.ols_table(train, numeric, ["town", "flat_type", "flat_model", "month_period"])
 
 
+_OLS_NUMERIC = [c for c in M.FULL_NUMERIC if c not in ("sale_year", "sale_month", "months_since_start")]
+_OLS_FIELDS = ["town", "flat_type", "flat_model", "month_period"]
+_COMPLETE = f"(SELECT * FROM {_TRAIN} u WHERE ln_pcn IS NOT NULL AND ln_mall IS NOT NULL AND lease_age_years IS NOT NULL AND storey_mid IS NOT NULL)"
+
+
+@query("ols_equations", "SELECT 'Intercept' AS term, 0.0 AS gap" + "".join(f" UNION ALL SELECT '{c}', 0.0" for c in _OLS_NUMERIC) + "".join(
+    f" UNION ALL SELECT 'C({c})[T.' || v || ']', 0.0 FROM (SELECT DISTINCT {c} AS v, min({c}) OVER () AS first FROM {_COMPLETE} c{i}) d{i} WHERE v <> first"
+    for i, c in enumerate(_OLS_FIELDS)
+))
+def ols_equations(t):
+    """Mean cross products of residuals and terms of `ols_full`; all are 0."""
+    train, _ = split(t)
+    rows = train.dropna(subset=[*_OLS_NUMERIC, *_OLS_FIELDS])
+    terms = [term("Intercept", F.lit(1.0)), *(term(c, F.col(c)) for c in _OLS_NUMERIC), *(dummy(c) for c in _OLS_FIELDS)]
+    entries = rows.select(F.col(M.TARGET).alias("y"), F.lit(1.0).alias("w"), F.array(*terms).alias("x"))
+    out = cross_products(entries, [], M.ols_table(train, _OLS_NUMERIC, _OLS_FIELDS))
+    return out.select("term", r6(F.abs("cross") / rows.select(F.count("*")).scalar(), "gap", 5))
+
+
 @query("nested_spec_trace")
 def nested_spec_trace(t):
     return M.nested_trace(features(t))
@@ -249,6 +282,25 @@ def elastic_net_cv(t):
     return _penalised(t, list(M.RATIOS))
 
 
+def _conditions(t, ratios):
+    """Per term, whether the chosen fit meets its condition: a slope at the penalty, or below it where the coefficient is 0."""
+    train, _ = split(t)
+    model, alpha, ratio = M.fit_penalised(train, list(M.REDUCED_NUMERIC), KEY, ratios)
+    slope = F.col("slope") / train.select(F.count("*")).scalar() - alpha * (1 - ratio) * F.col("coefficient")
+    off = F.when(F.col("coefficient") == 0, F.abs(slope) - alpha * ratio).otherwise(F.abs(slope - F.signum("coefficient") * alpha * ratio))
+    return model.slopes(train).select("feature", (off <= 0.002).alias("holds"))
+
+
+@query("lasso_conditions", f"SELECT feature, TRUE AS holds FROM ({_FEATURES}) f")
+def lasso_conditions(t):
+    return _conditions(t, [1.0])
+
+
+@query("elastic_net_conditions", f"SELECT feature, TRUE AS holds FROM ({_FEATURES}) f")
+def elastic_net_conditions(t):
+    return _conditions(t, list(M.RATIOS))
+
+
 @query("variant_benchmark")
 def variant_benchmark(t):
     train, test = split(t)
