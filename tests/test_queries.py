@@ -8,12 +8,10 @@ from tools.check import sorted_rows
 
 CHECKS = entry.oracle_sql()
 QUERIES = entry.queries()
-# These share one boundary sweep with `local_linear_rdd` or are covered by tests of their own.
-SLOW = {"rdd_summary", "rdd_skipped", "rdd_metrics", "hc1_cov", "town_premium_skipped"}
 ROWS_ONLY = ["score_with_defaults", "vif_prune", "nested_spec_trace"]
 
 
-@pytest.mark.parametrize("name", [n for n in CHECKS if n not in SLOW])
+@pytest.mark.parametrize("name", list(CHECKS))
 def test_agrees_with_sql(spark, duck, name):
     df = QUERIES[name](spark, SF)
     cursor = duck.execute(CHECKS[name])
