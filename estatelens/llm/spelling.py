@@ -39,11 +39,14 @@ def words_of(text: str | None, start: int, deletions: bool) -> Counter:
     # bytes.lower() touches ASCII letters only.
     found = Counter(LETTERS.findall((text or "").encode().lower().decode()))
     if deletions:
+        # Deletions are taken out of the runs as found: what a run turns into may be a run of the text that loses a letter itself.
+        lost = Counter()
         for run in list(found):
             h = zlib.crc32(run.encode(), start)
             if h % DELETE_EVERY == 0:
                 at = h % len(run)
-                found[run[:at] + run[at + 1:]] += found.pop(run)
+                lost[run[:at] + run[at + 1:]] += found.pop(run)
+        found.update(lost)
     return found
 
 

@@ -197,6 +197,15 @@ def test_spelling_variants_equal_brute_force(frame, deletions):
     assert rows_of(got) == plain_spelling(rows, deletions)
 
 
+def test_spelling_variants_delete_once(frame, agrees):
+    # Both runs lose a letter, and the longer one turns into the shorter.
+    rows = [(1, "tgktbyg tgktbg " * 3 + "other " * 7), (2, "tgktbyg")]
+    got = spelling.spelling_variants(frame(rows), deletions=True).select("word", "form", "root", "n", "n_near", "form_n")
+    assert [r[0] for r in rows_of(got)] == ["other", "tgktbg", "tgtbg"]
+    assert rows_of(got) == plain_spelling(rows, True)
+    agrees(lambda d: spelling.spelling_variants(d, deletions=True), rows, spelling.SQL)
+
+
 def test_spelling_variants_in_blocks(frame, monkeypatch):
     for name in ("BLOCK", "TOGETHER", "HELD"):
         monkeypatch.setattr(spelling, name, 7)
