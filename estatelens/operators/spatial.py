@@ -149,10 +149,16 @@ def _descend(origins: DataFrame, targets: DataFrame, grid: Grid, metric: Metric,
 
 
 def _candidates(origins: DataFrame, targets: DataFrame, grid: Grid, pairs: list[tuple[int, DataFrame]]) -> DataFrame:
-    """Origins (as __x, __y) beside the targets of the cells they are paired with; each target once per origin."""
+    """Origins (as __x, __y) beside the targets of the cells they are paired with; each target once per origin.
+
+    A few cells make many rows, so all sides are dealt over the shuffle partitions, whichever of them a join reads through.
+    """
+    n = int(origins.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    origins, targets = origins.repartition(n, "x", "y"), targets.repartition(n, "kind", "x", "y")
     parts = None
     for level, met in pairs:
-        t = grid.placed(targets, level, "tx", "ty").join(met.select("kind", "ox", "oy", "tx", "ty"), ["kind", "tx", "ty"]).drop("tx", "ty")
+        met = met.select("kind", "ox", "oy", "tx", "ty").repartition(n, "kind", "ox", "oy", "tx", "ty")
+        t = grid.placed(targets, level, "tx", "ty").join(met, ["kind", "tx", "ty"]).drop("tx", "ty")
         o = grid.placed(origins, level, "ox", "oy").withColumnsRenamed({"x": "__x", "y": "__y"})
         part = o.join(t, ["ox", "oy"]).drop("ox", "oy")
         parts = part if parts is None else parts.unionByName(part)

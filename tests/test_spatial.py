@@ -134,6 +134,13 @@ def test_nearest_does_not_cross_join(spark):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+def test_nearest_deals_candidates_over_tasks(spark):
+    o, t = layers(2)
+    for k in (1, 3):
+        plan = G.nearest_k(spark.createDataFrame(o), spark.createDataFrame(t), k)._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_NUM" in plan
+
+
 EDGES = "poly_id int, seq int, x1 double, y1 double, x2 double, y2 double"
 
 
