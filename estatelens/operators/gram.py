@@ -18,8 +18,8 @@ from ..scratch import materialize
 
 # Rows of one group handled by one task at a time, numbers in one dense slice of them, and the widest design that is
 # solved with an indicator for every level; `absorb` takes wider categories out.
-ROWS_PER_CHUNK = 250_000
-SLICE_NUMBERS = 4_000_000
+ROWS_PER_CHUNK = 50_000
+SLICE_NUMBERS = 1_000_000
 MAX_TERMS = 4_000
 
 

@@ -102,3 +102,8 @@ def test_discard_deletes_only_scratch(spark, tmp_path):
     assert spark.read.parquet(own).count() == 10
     with pytest.raises(Exception):
         df.count()
+
+
+def test_large_groups_are_dealt_in_small_chunks(spark):
+    sizes = L.chunk_sizes(spark.range(120_000).select(F.lit(1).alias("g")), ["g"])
+    assert sizes.first()["__chunks"] >= 3
