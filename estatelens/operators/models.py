@@ -274,12 +274,19 @@ class LinearModel:
 
         On the rows of the fit it is alpha times the coefficient for a ridge; sums combine before they are shuffled.
         """
-        terms = [F.struct(F.lit(f"num__{c}").alias("feature"), self.prep.scaled(c).alias("value")) for c in self.numeric]
-        for c in self.effects:
-            level = F.coalesce(F.col(c), F.lit(self.prep.modes.get(c)))
-            terms.append(F.struct(F.concat(F.lit(f"cat__{c}_"), level).alias("feature"), F.lit(1.0).alias("value")))
-        entries = df.select((F.col(TARGET) - self.log_price()).alias("residual"), F.inline(F.array(*terms)))
-        sums = entries.groupBy("feature").agg(F.sum(F.col("residual") * F.col("value")).alias("slope"))
+        levels = [F.concat(F.lit(f"cat__{c}_"), F.coalesce(F.col(c), F.lit(self.prep.modes.get(c)))) for c in self.effects]
+        residual = (F.col(TARGET) - self.log_price()).alias("residual")
+        # One array, as the optimizer follows every column that is part of another one.
+        one = df.select(residual, F.array(*[self.prep.scaled(c) for c in self.numeric]).alias("x")).agg(
+            F.array(*[F.sum(F.col("residual") * F.get("x", F.lit(i))) for i in range(len(self.numeric))]).alias("slope")
+        )
+        names = F.array(*[F.lit(f"num__{c}") for c in self.numeric])
+        sums = one.select(names.alias("feature"), "slope").select(F.inline(F.arrays_zip("feature", "slope"))) if self.numeric else None
+        if levels:
+            # The residual is worked out before the levels are taken apart, not once for each of them.
+            entries = df.select(residual, F.array(*levels).alias("level")).select("residual", F.explode("level").alias("feature"))
+            by_level = entries.groupBy("feature").agg(F.sum("residual").alias("slope"))
+            sums = by_level if sums is None else sums.unionByName(by_level)
         return self.coefficients(df.sparkSession).join(sums, "feature", "left").select(
             "feature", "coefficient", F.coalesce("slope", F.lit(0.0)).alias("slope")
         )

@@ -107,3 +107,16 @@ def test_discard_deletes_only_scratch(spark, tmp_path):
 def test_large_groups_are_dealt_in_small_chunks(spark):
     sizes = L.chunk_sizes(spark.range(120_000).select(F.lit(1).alias("g")), ["g"])
     assert sizes.first()["__chunks"] >= 3
+
+
+def test_cross_products_shuffle_sums_only(spark):
+    from estatelens.plans.equations import cross_products, dummy, term
+
+    rows = spark.createDataFrame([(1, 2.0, 3.0, "a"), (1, 5.0, -1.0, "b"), (1, 4.0, 2.0, None), (2, 1.0, 1.0, "a"), (3, 1.0, 1.0, "a")], "g int, y double, v double, c string")
+    rows = rows.select("g", "y", F.lit(2.0).alias("w"), F.array(term("Intercept", F.lit(1.0)), term("v", F.col("v")), dummy("c")).alias("x"))
+    coefs = spark.createDataFrame([(1, "Intercept", 1.0), (1, "v", 0.5), (1, "C(c)[T.b]", 2.0), (2, "v", 1.0), (2, "none", 1.0)], "g int, term string, coef double")
+    out = cross_products(rows, ["g"], coefs)
+    # Residuals of group 1: -0.5, 2.5 and 2; of group 2: 0.
+    assert {(r.g, r.term): r.cross for r in out.collect()} == {(1, "Intercept"): 8.0, (1, "v"): 0.0, (1, "C(c)[T.b]"): 5.0, (2, "v"): 0.0}
+    plan = cross_products(rows, ["g"], coefs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") > plan.rindex("HashAggregate") and "Join" not in plan[:plan.index("Generate")]
