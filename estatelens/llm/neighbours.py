@@ -24,7 +24,8 @@ PROJECTIONS = 64
 THRESHOLD = 42
 STOP_Z = 1.08
 WIDEN = 1.15
-BLOCK, QUERIES = 4096, 1024
+# Most rows of a block, which is smaller for long vectors (down to LONG_BLOCK rows, beyond BLOCK_NUMBERS numbers).
+BLOCK, LONG_BLOCK, BLOCK_NUMBERS, QUERIES = 16384, 4096, 1 << 20, 1024
 SAMPLE = 256
 # Squared norms beyond these are brought to about 1 for the search, so that nothing overflows; scores are not.
 TINY, HUGE = 1e-200, 1e200
@@ -54,6 +55,8 @@ class Index:
         self.span = 4 * math.sqrt(largest) + 1
         self.flat = (np.take_along_axis(places.T, self.order, 1) + self.span * np.arange(PROJECTIONS)[:, None]).ravel()
         self.flat_order = self.order.ravel()
+        # Used by every search again, as fresh memory of this size costs more than what is done in it.
+        self.entries, self.rows = np.empty(self.flat_order.shape, self.flat_order.dtype), np.empty_like(self.near)
 
     def search(self, own: int, query: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
         """Up to k (vec_id, score), best first, ties to the smaller id; rows with the query's own id are left out."""
@@ -69,35 +72,61 @@ class Index:
             return math.sqrt(max(norm + self.largest - 2 * score, 0))
 
         sample = self.near[::max(1, n // SAMPLE)] @ query
+        # Steps begin below the best of the sample; those below its share of the k best are skipped, as a single near
+        # copy says nothing of how far the k-th is.
+        at = max(len(sample) - 1 - k * len(sample) // n, 0)
         reach = math.sqrt(d) / STOP_Z
-        width = max(0.8 * distance(float(sample.max())) / reach, 1e-9)
+        width, first = (max(0.8 * distance(float(s)) / reach, 1e-9) for s in (sample.max(), np.partition(sample, at)[at]))
+        width *= WIDEN ** math.floor(math.log(first / width) / math.log(WIDEN))
         widest = distance(-math.sqrt(norm * self.largest))
-        low = high = np.searchsorted(self.flat, centre)
-        counts, checked = np.zeros(n, np.int64), np.zeros(n, bool)
-        found_at, found = np.zeros(0, np.int64), np.zeros(0)
         bounds = np.arange(PROJECTIONS + 1) * n
+        low = high = None
+        checked = np.zeros(n, bool)
+        found_at, found = [np.zeros(0, np.int64)], [np.zeros(0)]
+        # Products of matrices may differ by so much from the sums that rank in the end.
+        slack = 4 * d * np.finfo(float).eps * math.sqrt(norm * self.largest)
         while True:
             a = np.maximum(np.searchsorted(self.flat, centre - width, "left"), bounds[:-1])
             b = np.minimum(np.searchsorted(self.flat, centre + width, "right"), bounds[1:])
-            low, high = np.clip(low, bounds[:-1], bounds[1:]), np.clip(high, bounds[:-1], bounds[1:])
-            a, b = np.minimum(a, low), np.maximum(b, high)
-            new = [self.flat_order[x:y] for x, y in zip(a.tolist(), low.tolist(), strict=True)]
-            new += [self.flat_order[x:y] for x, y in zip(high.tolist(), b.tolist(), strict=True)]
-            counts += np.bincount(np.concatenate(new), minlength=n)
+            if low is None:
+                # Where the first windows hold most of the block, what lies outside is counted and taken off.
+                a, b = np.minimum(a, bounds[1:]), np.maximum(b, bounds[:-1])
+                if 2 * int((b - a).sum()) > len(self.flat):
+                    counts = PROJECTIONS - self.met(zip(bounds[:-1].tolist(), a.tolist())) - self.met(zip(b.tolist(), bounds[1:].tolist()))
+                else:
+                    counts = self.met(zip(a.tolist(), b.tolist()))
+            else:
+                a, b = np.minimum(a, low), np.maximum(b, high)
+                counts += self.met([*zip(a.tolist(), low.tolist()), *zip(high.tolist(), b.tolist())])
             low, high = a, b
             ready = np.flatnonzero((counts >= THRESHOLD) & ~checked)
             checked[ready] = True
             ready = ready[self.ids[ready] != own]
-            # The sum over a row is taken in the same order wherever the row lies, so equal vectors tie exactly.
-            found_at, found = np.append(found_at, ready), np.append(found, (self.near[ready] * query).sum(1))
-            best = np.lexsort((found_at, -found))[:k]
-            if width >= widest or len(best) == k and distance(float(found[best[-1]])) <= width * reach:
-                if query is original and self.plain:
-                    return self.ids[found_at[best]], found[best]
-                with np.errstate(over="ignore", invalid="ignore"):
-                    return self.ids[found_at[best]], (self.vectors[found_at[best]] * original).sum(1)
+            found_at.append(ready)
+            found.append(np.take(self.near, ready, axis=0, out=self.rows[:len(ready)], mode="clip") @ query)
+            scores = np.concatenate(found)
+            last = float(np.partition(scores, len(scores) - k)[len(scores) - k]) if len(scores) >= k else -math.inf
+            if width >= widest or distance(last) <= width * reach:
+                return self.ranked(np.concatenate(found_at)[scores >= last - slack], original, query, k)
             width *= WIDEN
 
+    def met(self, stretches) -> np.ndarray:
+        """How often each row lies in the given stretches of the sorted arrays."""
+        parts = [self.flat_order[x:y] for x, y in stretches]
+        size = sum(map(len, parts))
+        return np.bincount(np.concatenate(parts, out=self.entries[:size]), minlength=len(self.ids))
+
+    def ranked(self, rows: np.ndarray, original: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best of `rows` with their scores."""
+        rows = np.sort(rows)
+        # The sum over a row is taken in the same order wherever the row lies, so equal vectors tie exactly.
+        scores = (self.near[rows] * query).sum(1)
+        best = np.lexsort((rows, -scores))[:k]
+        if query is original and self.plain:
+            return self.ids[rows[best]], scores[best]
+        with np.errstate(over="ignore", invalid="ignore"):
+            return self.ids[rows[best]], (self.vectors[rows[best]] * original).sum(1)
+
 
 def directions(d: int) -> np.ndarray:
     """PROJECTIONS directions: orthonormal bases, as many as it takes."""
@@ -121,7 +150,8 @@ def search(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY) -> DataFram
         " and exists(vector, x -> x <> 0)")
     facts = rows.groupBy(F.size("vector").alias("d")).agg(
         F.count("*").alias("n"), F.max(F.expr("aggregate(vector, 0D, (s, x) -> s + x * x)")).alias("largest"))
-    facts = facts.select("d", "largest", F.ceil(F.col("n") / BLOCK).alias("blocks"), F.ceil(F.col("n") / (every * QUERIES)).alias("parts"))
+    size = F.least(F.lit(BLOCK), F.greatest(F.lit(LONG_BLOCK), F.floor(BLOCK_NUMBERS / F.col("d"))))
+    facts = facts.select("d", "largest", F.ceil(F.col("n") / size).alias("blocks"), F.ceil(F.col("n") / (every * QUERIES)).alias("parts"))
     # One row a dimension.
     rows = rows.withColumn("d", F.size("vector")).join(F.broadcast(facts), "d")
     own = F.xxhash64("vec_id")

@@ -208,6 +208,18 @@ def test_neighbours_over_blocks(spark, monkeypatch):
     assert found >= 0.9 * 20 * len(got)
 
 
+def test_one_near_copy_costs_no_rounds(monkeypatch):
+    """A copy among the sample says nothing of the 20th best, so the windows do not begin at its distance."""
+    rng = np.random.default_rng(10)
+    x = rng.standard_normal((4000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    index, searches, plain = neighbours.Index(np.arange(4000), x, 1.0), [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda *a: searches.append(1) or plain(*a))
+    ids, scores = index.search(-1, x[0] + 1e-3 * x[1])
+    assert ids[0] == 0 and len(ids) == 20 and (np.diff(scores) <= 0).all()
+    assert len(searches) <= 12
+
+
 @pytest.mark.parametrize("size", [1e200, 1e-200, 1.0])
 def test_neighbours_at_the_ends_of_doubles(spark, size):
     """Squared norms that overflow or vanish: the search ends, and finite scores are right."""
