@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..scratch import materialize
@@ -33,6 +34,8 @@ class Design:
     shift: dict[str, float] = field(default_factory=dict)
     scale: dict[str, float] = field(default_factory=dict)
     y_shift: float = 0.0
+    # Values in place of nulls.
+    fills: dict[str, float | str] = field(default_factory=dict)
 
     @property
     def terms(self) -> list[tuple[str, str | None]]:
@@ -160,17 +163,9 @@ def gram(
     rows = df.select(*needed)
 
     if not by:
-        def over_batches(batches):
-            total, n = None, 0
-            for frame in batches:
-                part = _partial(design, y, weight, frame)
-                total = part if total is None else total + part
-                n += len(frame)
-            if total is not None:
-                yield _packed(total, n)
-
-        packed = rows.mapInPandas(over_batches, "i int, values array<double>")
+        packed = _packed_by_task(rows, design, y, weight, None)
     else:
+        rows = rows.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in design.fills.items() if c in rows.columns})
         schema = T.StructType([f for f in rows.schema if f.name in by])
         schema = schema.add("i", T.IntegerType()).add("values", T.ArrayType(T.DoubleType()))
 
@@ -182,6 +177,42 @@ def gram(
 
         packed = chunked(rows, by, sizes or chunk_sizes(rows, by)).groupBy(*by, "__chunk").applyInPandas(per_chunk, schema)
 
+    return _cells(packed, by)
+
+
+def few_grams(df: DataFrame, design: Design, y: str, by: str, weight: str | None = None) -> DataFrame:
+    """The same for a handful of groups: each task adds up all of them, and no row is shuffled."""
+    if len(design.terms) > MAX_TERMS:
+        raise ValueError(f"{len(design.terms)} terms exceed {MAX_TERMS}")
+    rows = df.select(*dict.fromkeys([by, *design.columns, y, *([weight] if weight else [])]))
+    return _cells(_packed_by_task(rows, design, y, weight, by), [by])
+
+
+def _packed_by_task(rows: DataFrame, design: Design, y: str, weight: str | None, by: str | None) -> DataFrame:
+    """Sums of each task, by the values of `by` if given; rows go to numpy in Arrow batches.
+
+    Nulls are filled there, as a projection of so many columns is too long for the JVM to compile.
+    """
+    def over_batches(batches):
+        totals, kind = {}, None
+        for batch in batches:
+            columns = [x.fill_null(design.fills[c]) if c in design.fills else x for c, x in zip(batch.schema.names, batch.columns)]
+            frame = pa.RecordBatch.from_arrays(columns, batch.schema.names).to_pandas(use_threads=False)
+            kind = batch.schema.field(by).type if by else None
+            for key, part in frame.groupby(by) if by else ((None, frame),):
+                total, n = totals.get(key, (0.0, 0))
+                totals[key] = total + _partial(design, y, weight, part), n + len(part)
+        for key, (total, n) in totals.items():
+            out = pa.RecordBatch.from_pandas(_packed(total, n).astype({"i": "int32"}), preserve_index=False)
+            keys = [pa.array([key] * len(out), kind)] if by else []
+            yield pa.RecordBatch.from_arrays([*keys, *out.columns], [*([by] if by else []), "i", "values"])
+
+    schema = T.StructType([f for f in rows.schema if f.name == by])
+    rows = rows.select(*[F.col(c).cast("double").alias(c) if c in design.numeric and c != by else c for c in rows.columns])
+    return rows.mapInArrow(over_batches, schema.add("i", T.IntegerType()).add("values", T.ArrayType(T.DoubleType())))
+
+
+def _cells(packed: DataFrame, by: list[str]) -> DataFrame:
     cells = packed.select(*by, "i", F.posexplode("values").alias("k", "v"))
     j = F.when(F.col("i") >= 0, F.col("i") + F.col("k")).otherwise(0)
     return cells.select(*by, "i", j.cast("int").alias("j"), "v").groupBy(*by, "i", "j").agg(F.sum("v").alias("s"))

@@ -16,10 +16,10 @@ from .absorb import WideModel, ols_absorbed, ridge_absorbed
 from .aggregates import treated_share
 from .filters import route_by_threshold
 from .gram import (
-    Design, Sums, collect_sums, gram, is_wide, levels_of, make_design, residual_sum, solve, total_sum,
+    Design, Sums, collect_sums, few_grams, gram, is_wide, levels_of, make_design, residual_sum, solve, total_sum,
 )
 from .ordering import dense_index
-from .quantiles import median_of, modes_of, summarize
+from .quantiles import median_of, medians, modes_of, moments, summarize
 
 # The model columns of the study.
 DISTANCES = (
@@ -205,24 +205,19 @@ class Preparation:
     def design(self, y_shift: float = 0.0) -> Design:
         return Design(
             numeric=tuple(self.numeric), categories=self.levels, shift=self.means, scale=self.scales,
-            y_shift=y_shift,
+            y_shift=y_shift, fills=self.medians | {c: m for c, m in self.modes.items() if m is not None},
         )
 
 
 def prepare(train: DataFrame, numeric: list[str], fields: list[str], levels: bool = True) -> Preparation:
     """Fit the preparation on the training rows only; without `levels` the categories are only filled."""
-    medians = {r["column"]: r["median"] for r in median_of(train, numeric).collect()}
-    medians = {c: float(medians.get(c) or 0.0) for c in numeric}
+    middles = medians(train, numeric)
+    fills = {c: float(middles.get(c) or 0.0) for c in numeric}
     modes = {r["column"]: r["mode"] for r in modes_of(train, fields).collect()} if fields else {}
-    filled = [F.coalesce(F.col(c), F.lit(medians[c])).alias(c) for c in numeric]
-    narrow = train.select(*filled)
-    stats = narrow.agg(
-        *[F.avg(c).alias(f"m{i}") for i, c in enumerate(numeric)],
-        *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(numeric)],
-    ).first()
-    means = {c: float(stats[f"m{i}"]) for i, c in enumerate(numeric)}
-    scales = {c: float(stats[f"s{i}"]) or 1.0 for i, c in enumerate(numeric)}
-    return Preparation(list(numeric), medians, means, scales, modes, levels_of(train, list(fields)) if levels else {})
+    stats = moments(train, numeric, fills)
+    means = {c: float(stats[c][0]) for c in numeric}
+    scales = {c: float(stats[c][1]) or 1.0 for c in numeric}
+    return Preparation(list(numeric), fills, means, scales, modes, levels_of(train, list(fields)) if levels else {})
 
 
 def one_hot(df: DataFrame, prep: Preparation) -> DataFrame:
@@ -324,7 +319,7 @@ def fit_ridge(
         return ridge_absorbed(train, prepare(train, list(numeric), list(fields), levels=False), list(fields), TARGET, alpha, weight)
     prep = prepare(train, list(numeric), list(fields))
     design = prep.design(float(train.agg(F.avg(TARGET)).first()[0]))
-    sums = collect_sums(gram(prep.filled(train), design, TARGET, weight))
+    sums = collect_sums(gram(train, design, TARGET, weight))
     index = list(range(1, len(design.terms)))
     return model_from(prep, design, index, ridge_beta(sums.centred(), alpha), sums)
 
@@ -438,7 +433,7 @@ def nested_trace(df: DataFrame) -> DataFrame:
     rows = df.withColumn("depth", depth).where(F.col("depth") > 0)
     design = make_design(rows, numeric, fields, TARGET)
     zero = {c: F.coalesce(F.col(c), F.lit(0.0)) for c in numeric}
-    by_depth = collect_sums(gram(rows.withColumns(zero), design, TARGET, by=["depth"]), "depth")
+    by_depth = collect_sums(few_grams(rows.withColumns(zero), design, TARGET, "depth"), "depth")
     out, columns = [], set()
     for k, (name, cols, more) in enumerate(NESTED, start=1):
         columns |= {*cols, *more}
@@ -637,13 +632,28 @@ def cross_validate(folds: dict[int, Sums], index: list[int], alphas: list[float]
 
 def fold_of(df: DataFrame, key: list[str], folds: int) -> DataFrame:
     """Contiguous folds of near-equal size in the order of the key; the first ones take the rest."""
+    numbered = materialize(dense_index(df.select(*key), key))
+    n = numbered.count()
+    size, extra = divmod(n, folds)
+    # Row numbers of the last row before and the first row of each fold but the first.
+    firsts = [f * size + min(f, extra) + 1 for f in range(1, folds)]
+    edge = {r.row_index: tuple(r[c] for c in key) for r in numbered.where(F.col("row_index").isin([*firsts, *(i - 1 for i in firsts)])).collect()}
+    cuts = [(edge.get(i - 1), edge[i]) for i in firsts if i in edge]
+    if all(None not in first and last != first for last, first in cuts):
+        # Only keys are sorted; the rows are compared with the first key of each fold.
+        return df.withColumn("fold", sum((_at_least(key, first).cast("int") for _, first in cuts), F.lit(0)))
     numbered = dense_index(df, key)
-    n = numbered.select(F.count("*")).scalar()
-    size, extra = F.floor(n / folds), n % folds
     at = F.col("row_index") - 1
-    early = F.floor(at / (size + 1))
-    late = F.floor((at - extra) / F.greatest(size, F.lit(1)))
-    return numbered.withColumn("fold", F.when(at < extra * (size + 1), early).otherwise(late).cast("int"))
+    late = F.floor((at - extra) / max(size, 1))
+    return numbered.withColumn("fold", F.when(at < extra * (size + 1), F.floor(at / (size + 1))).otherwise(late).cast("int"))
+
+
+def _at_least(key: list[str], first: tuple) -> Column:
+    """Whether a row's key comes at or after `first`; nulls come before."""
+    column, value = F.col(key[0]), F.lit(first[0])
+    if len(key) == 1:
+        return F.coalesce(column >= value, F.lit(False))
+    return F.coalesce(column > value, F.lit(False)) | (F.coalesce(column == value, F.lit(False)) & _at_least(key[1:], first[1:]))
 
 
 ALPHAS = tuple(float(a) for a in np.logspace(-4, 0, 20))
@@ -654,8 +664,8 @@ def fit_penalised(train: DataFrame, numeric: list[str], key: list[str], ratios:
     """Cross-validated lasso (ratios [1.0]) or elastic net; returns model, alpha, ratio."""
     prep = prepare(train, list(numeric), list(CATEGORIES))
     design = prep.design(float(train.agg(F.avg(TARGET)).first()[0]))
-    folded = fold_of(prep.filled(train), key, 5)
-    folds = collect_sums(gram(folded, design, TARGET, by=["fold"]), "fold")
+    folded = fold_of(train, key, 5)
+    folds = collect_sums(few_grams(folded, design, TARGET, "fold"), "fold")
     return _penalised(folds, prep, design, list(range(1, len(design.terms))), ratios)
 
 
@@ -675,8 +685,8 @@ def variant_benchmark(
     """
     prep = prepare(train, list(FULL_NUMERIC), list(CATEGORIES))
     design = prep.design(float(train.agg(F.avg(TARGET)).first()[0]))
-    folded = fold_of(prep.filled(train), key, 5)
-    folds = collect_sums(gram(folded, design, TARGET, by=["fold"]), "fold")
+    folded = fold_of(train, key, 5)
+    folds = collect_sums(few_grams(folded, design, TARGET, "fold"), "fold")
     sums = None
     for s in folds.values():
         sums = s if sums is None else sums + s

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..scratch import materialize
@@ -22,6 +24,10 @@ _SHIFT = 2_000_000
 RANKED_ROWS = 200_000
 PARTS = 1024
 
+# Bits of a double that each scan of `medians` leaves undecided, and rows that a task counts at a time.
+UNDECIDED = (40, 20, 0)
+ROWS_AT_ONCE = 100_000
+
 
 def value_bucket(x: Column) -> Column:
     """A bucket number that never decreases as x grows."""
@@ -149,9 +155,96 @@ def summarize(df: DataFrame, by: list[str], value: str, quantiles: dict[str, flo
 
 def median_of(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row per column name with its exact median over the non-null values."""
-    return summarize(unpivot_numeric(df, columns), ["column"], "value", {"median": 0.5}).select(
-        "column", "median"
+    return df.sparkSession.createDataFrame(list(medians(df, list(columns)).items()), "column string, median double")
+
+
+def place(x: np.ndarray) -> np.ndarray:
+    """Whole numbers in the order of the doubles `x`, equal where these are equal; the same step leads back."""
+    bits = (x + 0.0).view(np.int64)
+    return bits ^ ((bits >> 63) & np.int64(2**63 - 1))
+
+
+def _tables(batches):
+    """Arrow batches put together to about ROWS_AT_ONCE rows."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= ROWS_AT_ONCE:
+            yield pa.Table.from_batches(held)
+            held, rows = [], 0
+    if rows:
+        yield pa.Table.from_batches(held)
+
+
+def _doubles(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+
+
+def medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
+    """Exact median of each column over its values; columns without one are left out. Nulls and NaN count as none.
+
+    Three scans: each counts the values by further bits of their place in the order, inside the one or two parts that
+    still hold the middle. Tasks count in numpy, Spark adds the counts up; a few numbers a column reach the driver.
+    """
+    rows, spark = _doubles(df, columns), df.sparkSession
+    wanted: dict[tuple[int, int], tuple] = {}
+    for step, left in enumerate(UNDECIDED):
+        heads = {k: np.array(sorted(h for c, h in wanted if c == k), np.int64) for k in range(len(columns))}
+        more = UNDECIDED[step - 1] - left if step else 64
+
+        def count(batches, left=left, heads=heads, more=more, first=not step):
+            for table in _tables(batches):
+                for k in range(table.num_columns):
+                    x = table.column(k).drop_null().to_numpy()
+                    code = place(x[~np.isnan(x)]) >> left
+                    if not first:
+                        code = code[np.isin(code >> more, heads[k])]
+                    code, n = np.unique(code, return_counts=True)
+                    yield pa.RecordBatch.from_pydict({"k": np.full(len(code), k, np.int32), "code": code, "n": n.astype(np.int64)})
+
+        counts = rows.mapInArrow(count, "k int, code long, n long").groupBy("k", "code").agg(F.sum("n").alias("n"))
+        if step:
+            known = [(k, h, before, total) for (k, h), (before, total) in wanted.items()]
+            known = spark.createDataFrame(known, "k int, head long, before long, total long")
+            counts = counts.withColumn("head", F.shiftright("code", more)).join(known, ["k", "head"])
+        else:
+            counts = counts.withColumns({"head": F.lit(0).cast("long"), "before": F.lit(0).cast("long"), "total": F.sum("n").over(Window.partitionBy("k"))})
+        upto = Window.partitionBy("k", "head").orderBy("code").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        placed = counts.withColumn("end", F.col("before") + F.sum("n").over(upto)).withColumn("start", F.col("end") - F.col("n"))
+        low, high = F.floor((F.col("total") - 1) / 2), F.ceil((F.col("total") - 1) / 2)
+        found = placed.where(((low >= F.col("start")) & (low < F.col("end"))) | ((high >= F.col("start")) & (high < F.col("end"))))
+        wanted = {(r.k, r.code): (r.start, r.total) for r in found.select("k", "code", "start", "total").collect()}
+        if not wanted:
+            return {}
+    ends: dict[int, list] = {}
+    for k, code in sorted(wanted):
+        bits = np.array([code], np.int64)
+        ends.setdefault(k, []).append(float((bits ^ ((bits >> 63) & np.int64(2**63 - 1))).view(np.float64)[0]))
+    return {columns[k]: v[0] if len(v) == 1 else v[0] + (v[1] - v[0]) * 0.5 for k, v in ends.items()}
+
+
+def moments(df: DataFrame, columns: list[str], fills: dict[str, float]) -> dict[str, tuple[float, float]]:
+    """Mean and population deviation of each column in one scan, with `fills` in place of nulls."""
+    def merge(batches):
+        n, mean, m2 = (np.zeros(len(columns)) for _ in range(3))
+        for table in _tables(batches):
+            for k in range(len(columns)):
+                x = table.column(k).fill_null(fills[columns[k]]).to_numpy()
+                own = x.mean()
+                off, both = own - mean[k], n[k] + len(x)
+                m2[k] += ((x - own) ** 2).sum() + off * off * n[k] * len(x) / both
+                mean[k] += off * len(x) / both
+                n[k] = both
+        yield pa.RecordBatch.from_pydict({"k": np.arange(len(columns), dtype=np.int32), "n": n, "mean": mean, "m2": m2})
+
+    parts = materialize(_doubles(df, columns).mapInArrow(merge, "k int, n double, mean double, m2 double").where("n > 0"))
+    whole = parts.groupBy("k").agg(F.sum("n").alias("total"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("middle"))
+    off = F.col("mean") - F.col("middle")
+    found = parts.join(whole, "k").groupBy("k").agg(
+        F.first("middle").alias("mean"), F.sqrt(F.sum(F.col("m2") + F.col("n") * off * off) / F.first("total")).alias("std")
     )
+    return {columns[r.k]: (r["mean"], r["std"]) for r in found.collect()}
 
 
 def unpivot_numeric(df: DataFrame, columns: list[str], keep: list[str] = ()) -> DataFrame:

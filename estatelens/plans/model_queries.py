@@ -238,7 +238,7 @@ def _train_sums(t, numeric):
     train, _ = split(t)
     prep = M.prepare(train, list(numeric), [])
     design = prep.design(float(train.agg(F.avg(M.TARGET)).first()[0]))
-    return collect_sums(gram(prep.filled(train), design, M.TARGET)), prep
+    return collect_sums(gram(train, design, M.TARGET)), prep
 
 
 @query("vif_prune")

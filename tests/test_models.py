@@ -392,3 +392,29 @@ def test_penalised_fits_prove_themselves():
     assert (gaps <= 1e-13 * np.array([[s.yy] for s in sums])).all() and (M.duality_gaps(sums, penalties, beta * 1.1 + 0.1) > 1e-3).all()
     with pytest.raises(ValueError):
         M.elastic_nets(sums, [(0.1, 0.0)])
+
+
+def test_folds_shuffle_no_rows(spark):
+    """Only keys are sorted for the folds, and the sums of a fold need no shuffle of its rows; ties fall back to numbers."""
+    df = spark.range(1003).selectExpr("(id * 7919) % 1003 as k", "cast(id as double) as x").repartition(4)
+    folded = M.fold_of(df, ["k"], 5)
+    assert "Exchange rangepartitioning" not in folded._jdf.queryExecution().toString() and "row_index" not in folded.columns
+    assert [r.n for r in folded.groupBy("fold").agg(F.count("*").alias("n"), F.min("k").alias("k")).orderBy("fold").collect()] == [201, 201, 201, 200, 200]
+    tied = M.fold_of(df.withColumn("k", F.lit(1)), ["k"], 5).groupBy("fold").count().collect()
+    assert sorted(r["count"] for r in tied) == [200, 200, 201, 201, 201]
+    few = M.fold_of(spark.range(3).withColumn("k", -F.col("id")), ["k"], 5)
+    assert sorted(r.fold for r in few.collect()) == [0, 1, 2]
+    nulls = M.fold_of(df.withColumn("k", F.when(F.col("k") > 100, F.col("k"))), ["k"], 5)
+    assert nulls.where("k is null").agg(F.max("fold")).first()[0] == 0
+
+
+def test_sums_of_few_groups_equal_sums_by_chunks(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(k % 3), None if k % 7 == 0 else float(v), "ab"[k % 2] if k % 5 else None, float(v * 2 + k % 2)) for k, v in enumerate(rng.standard_normal(600))]
+    df = spark.createDataFrame(rows, "g int, x double, c string, y double").repartition(5)
+    design = L.Design(("x",), {"c": ("a", "b")}, fills={"x": 0.25, "c": "b"})
+    few, chunks = (
+        {(r.g, r.i, r.j): r.s for r in cells.collect()}
+        for cells in (L.few_grams(df, design, "y", "g"), L.gram(df, design, "y", by=["g"]))
+    )
+    assert few.keys() == chunks.keys() and all(abs(few[k] - chunks[k]) < 1e-9 for k in few)
