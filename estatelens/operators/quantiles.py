@@ -189,6 +189,8 @@ def medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
     """
     rows, spark = _doubles(df, columns), df.sparkSession
     wanted: dict[tuple[int, int], tuple] = {}
+    if not columns:
+        return {}
     for step, left in enumerate(UNDECIDED):
         heads = {k: np.array(sorted(h for c, h in wanted if c == k), np.int64) for k in range(len(columns))}
         more = UNDECIDED[step - 1] - left if step else 64
