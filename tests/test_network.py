@@ -128,3 +128,36 @@ def test_counts_within_cutoff(spark):
             if i in shortest(adjacent, [(n, 0) for n in nodes], 500.0):
                 near |= names
         assert lines[i] == len(near)
+
+
+def test_distances_without_a_source_are_hashed(spark, monkeypatch):
+    rows, adjacent = graph(8)
+    e = spark.createDataFrame(rows, "src long, dst long, length double")
+    seeds = [(1, 5), (1, 17), (2, 63), (2, 400)]
+    plans, write = [], N.materialize
+    monkeypatch.setattr(N, "materialize", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    got = {(r.label, r.node): r.dist for r in N.spread(e, spark.createDataFrame(seeds, "label long, node long"), 900.0).collect()}
+    want = {}
+    for label in (1, 2):
+        reached = shortest(adjacent, [(n, 0) for k, n in seeds if k == label], 900.0)
+        want |= {(label, node): d for node, (d, _) in reached.items()}
+    assert got == want
+    # Sorting (label, node) for each aggregation of each round was most of the time.
+    assert not any("SortAggregate" in p for p in plans)
+
+
+def test_improvements_kept_apart_stay_smaller_than_the_state(spark, monkeypatch):
+    sizes, relax = [], N._relax
+    monkeypatch.setattr(N, "_relax", lambda *a: sizes.append((a[1].count(), sum(c.count() for c in a[2]))) or relax(*a))
+    rows, _ = graph(9)
+    e = spark.createDataFrame(rows, "src long, dst long, length double")
+    N.nearest_source(e, spark.createDataFrame([(5, 1)], "node long, source_id long"))
+    assert len(sizes) > 3 and all(apart < held for held, apart in sizes)
+
+
+def test_buckets_have_one_file(spark):
+    from estatelens.scratch import bucketed, discard_table
+
+    table = bucketed(spark.range(5000).withColumn("k", F.col("id") % 700).repartition(5), ["k"])
+    assert len(table.inputFiles()) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    discard_table(table)
