@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..scratch import discard, materialize
 from .common import slices
 from .ranking import ranked
-from .tokens import BYTES, encoder
+from .tokens import BYTES, TOKEN_SLICE, encoder
 
 SEQUENCE = 2048
 BIN = 16
@@ -35,10 +35,10 @@ def pieces(docs: DataFrame, tokenizer: str = BYTES) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of the pieces of every whole text, with END behind its ids."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", TOKEN_SLICE):
             at, piece, start, length, crc = [], [], [], [], []
-            for k, text in enumerate(part.column("text").to_pylist()):
-                ids = np.frombuffer(encode(text or "") + END.to_bytes(2, "little"), "<u2").astype("<u4")
+            for k, found in enumerate(encode.batch(part.column("text"))):
+                ids = np.frombuffer(found + END.to_bytes(2, "little"), "<u2").astype("<u4")
                 bounds = piece_bounds(len(ids))
                 for p, (low, high) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
                     at.append(k), piece.append(p), start.append(low), length.append(high - low)

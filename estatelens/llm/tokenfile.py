@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..scratch import discard, materialize, scratch_dir
 from .common import slices
-from .tokens import WORDS, encoder
+from .tokens import TOKEN_SLICE, WORDS, encoder
 
 END = 1
 # Tokens after which a chunk is closed.
@@ -66,8 +66,8 @@ def id_table(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id and ids (16-bit, little-endian, END behind them) of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, end = encoder(tokenizer), END.to_bytes(2, "little")
-        for part in slices(batches, "text"):
-            ids = [code(t or "") + end for t in part.column("text").to_pylist()]
+        for part in slices(batches, "text", TOKEN_SLICE):
+            ids = [t + end for t in code.batch(part.column("text"))]
             yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id").cast(pa.int64()), "ids": pa.array(ids, pa.binary())})
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")

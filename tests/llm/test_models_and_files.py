@@ -8,6 +8,7 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import zstandard
@@ -38,6 +39,31 @@ def test_cached_ids_equal_the_library(name):
         assert np.frombuffer(encode(text), "<u2").tolist() == plain(text)
 
 
+@pytest.mark.parametrize("name", [tokens.BYTES, tokens.WORDS])
+def test_ids_of_a_slice_equal_the_library_and_each_chunk_is_looked_up_once(name):
+    encode, plain = tokens.Encoder(name), direct(name)
+    spaces = [c for c in map(chr, range(0x10000)) if c.isspace() or c in "\u180e\u200b\u2060\ufeff"]
+    rng = random.Random(5)
+    pieces = [*spaces, *"  \n", "Word", "naïve.", "it's", "12,5", "<|endoftext|>", "", "e\u0301", "İ", "ÀB"]
+    mixed = ["".join(rng.choice(pieces) for _ in range(rng.randrange(9))) for _ in range(1500)]
+    texts = [None, "", " ", *TEXTS, *(f"a{c}b{d}c {c}" for c in spaces for d in ("", " ", c)), *mixed, *sample_texts()[:60]]
+    for part in ([], [None], texts, texts[::-1]):
+        for kind in (pa.string(), pa.large_string()):
+            got = encode.batch(pa.array([*part, "x"], kind).slice(0, len(part)))
+            assert [np.frombuffer(x, "<u2").tolist() for x in got] == [plain(t) for t in part]
+
+    class Counted(dict):
+        asked = 0
+
+        def __getitem__(self, key):
+            Counted.asked += 1
+            return super().__getitem__(key)
+
+    encode.exact, encode.spaced = Counted({"one": b"1", "two": b"3"}), Counted({"one": b"2", "two": b"3"})
+    assert set(encode.batch(pa.array(["one two one two two"] * 50))) == {b"13133" if name == tokens.WORDS else b"13233"}
+    assert Counted.asked <= 5
+
+
 def test_variable_length_code():
     rng = np.random.default_rng(1)
     for n in (0, 1, 3, 4, 5, 1000):
