@@ -3,6 +3,7 @@
 import hashlib
 import io
 import random
+import tracemalloc
 import zlib
 
 import duckdb
@@ -15,7 +16,8 @@ import zstandard
 from tokenizers import Tokenizer
 
 from conftest import SF
-from estatelens.llm import language, neighbours, packing, tokenfile, tokens, warc
+from estatelens.llm import language, neighbours, packing, repetition, tokenfile, tokens, warc
+from estatelens.llm.common import slices, text_bytes
 from estatelens.scratch import scratch_dir
 from llm_fixtures import frame  # noqa: F401
 
@@ -383,3 +385,14 @@ def test_hashed_transitions_equal_dense_ones():
     dense, hashed = language.Dense(codes, 8), language.Hashed(codes, 8)
     state, c = (x.ravel() for x in np.indices((len(dense.flat) // 8, 8)))
     assert (dense.after(state, c) == hashed.after(state, c)).all() and (dense.root == hashed.root).all()
+
+
+def test_quality_rules_hold_little_more_than_a_slice_at_once():
+    rng = random.Random(3)
+    texts = pa.array([" ".join(f"w{rng.randrange(9999)}" for _ in range(300)) for _ in range(4000)])
+    tracemalloc.start()
+    for part in slices(iter([pa.RecordBatch.from_arrays([texts], ["text"])]), "text"):
+        repetition.measure(*text_bytes(part.column("text")))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
