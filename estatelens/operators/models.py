@@ -10,14 +10,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import scalar as S
-from ..functions.tails import student_quantile_975, student_two_sided
+from ..functions.tails import student_two_sided
 from ..scratch import materialize
-from .absorb import WideModel, ols_absorbed, ridge_absorbed
+from .absorb import WideModel, ridge_absorbed
 from .aggregates import treated_share
 from .filters import route_by_threshold
 from .gram import (
     Design, Sums, collect_sums, few_grams, gram, is_wide, levels_of, make_design, residual_sum, solve, total_sum,
 )
+from .leastsquares import least_squares
 from .ordering import dense_index
 from .quantiles import median_of, medians, modes_of, moments, summarize
 
@@ -354,38 +355,8 @@ def term_name(name: str, level: str | None) -> str:
 
 
 def ols_table(df: DataFrame, numeric: list[str], fields: list[str], y: str = TARGET) -> DataFrame:
-    """Coefficient table of a least-squares fit: coef, std_err, t, p_value, 95 % interval.
-
-    Categories with too many levels for a dense design are absorbed; the table then has the numeric columns only.
-    """
-    if is_wide(df, list(fields)):
-        return ols_absorbed(df, list(numeric), list(fields), y)[0]
-    rows = df.dropna(subset=[*numeric, *fields, y])
-    design = make_design(rows, list(numeric), list(fields), y, drop_first=True)
-    sums = collect_sums(gram(rows, design, y))
-    beta, inverse, rank = solve(sums)
-    # Back to the units of the columns.
-    p = len(design.terms)
-    back = np.eye(p)
-    for k, c in enumerate(design.numeric, start=1):
-        back[k, k] = 1.0 / design.scale[c]
-        back[0, k] = -design.shift[c] / design.scale[c]
-    free = sums.n - rank
-    variance = residual_sum(sums, beta) / free if free > 0 else float("nan")
-    beta = back @ beta
-    beta[0] += design.y_shift
-    se = np.sqrt(np.diag(back @ inverse @ back.T) * variance)
-    reach = student_quantile_975(free)
-    out = []
-    for (name, level), b, s in zip(design.terms, beta, se):
-        t = b / s if s > 0 else float("nan")
-        out.append((
-            term_name(name, level), float(b), float(s), float(t), float(student_two_sided(t, free)),
-            float(b - reach * s), float(b + reach * s),
-        ))
-    return df.sparkSession.createDataFrame(
-        out, "term string, coef double, std_err double, t double, p_value double, ci_low double, ci_high double"
-    )
+    """Coefficient table of a least-squares fit: coef, std_err, t, p_value, 95 % interval of every term at any number of levels."""
+    return least_squares(df, list(numeric), list(fields), y)
 
 
 def effect_row(sums: Sums, k: int, scale: float) -> dict:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from estatelens.functions.tails import normal_two_sided, student_quantile_975, student_two_sided
-from estatelens.operators import absorb as A, coefficients as C, gram as L, models as M, rdd as R
+from estatelens.operators import absorb as A, blocks as B, coefficients as C, gram as L, leastsquares as Q, models as M, rdd as R
 
 
 def sales(seed=0, n=1500):
@@ -293,6 +293,92 @@ def test_a_hundred_thousand_levels(spark):
     assert got.coef == pytest.approx((own.x @ own.y) / (own.x @ own.x), rel=1e-8)
 
 
+def least_length(f, numeric, fields):
+    """Terms, coefficients and errors by a pseudo-inverse of the whole design with columns of unit length."""
+    x, names = dense(f, numeric, fields), ["Intercept", *numeric, *dummy_names(f, fields)]
+    shift, scale, p = f[numeric].mean().to_numpy(), f[numeric].std(ddof=0).to_numpy(), len(numeric)
+    x[:, 1:p + 1] = (x[:, 1:p + 1] - shift) / scale
+    y = f[M.TARGET].to_numpy() - f[M.TARGET].mean()
+    norms = np.sqrt((x * x).sum(axis=0))
+    values, vectors = np.linalg.eigh(x.T @ x / np.outer(norms, norms))
+    on = values > 1e-10
+    inverse = (vectors[:, on] / values[on]) @ vectors[:, on].T / np.outer(norms, norms)
+    b, back = inverse @ x.T @ y, np.eye(len(names))
+    e = y - x @ b
+    back[1:p + 1, 1:p + 1] = np.diag(1 / scale)
+    back[0, 1:p + 1] = -shift / scale
+    b = back @ b
+    b[0] += f[M.TARGET].mean()
+    return names, b, np.sqrt(np.diag(back @ inverse @ back.T) * (e @ e) / (len(y) - on.sum())), len(y) - on.sum()
+
+
+def check_least_squares(table, f, numeric, fields):
+    names, b, se, free = least_length(f, numeric, fields)
+    got = {r.term: r for r in table.collect()}
+    assert sorted(got) == sorted(names)
+    for name, coef, err in zip(names, b, se):
+        r = got[name]
+        assert (r.coef, r.std_err, r.t) == pytest.approx((coef, err, coef / err), rel=1e-6, abs=1e-8)
+        assert r.p_value == pytest.approx(student_two_sided(coef / err, free), rel=1e-4, abs=1e-9)
+        reach = student_quantile_975(free) * err
+        assert (r.ci_low, r.ci_high) == pytest.approx((coef - reach, coef + reach), rel=1e-6, abs=1e-7)
+
+
+def crowded(seed, n):
+    f = sales(seed, n)
+    f["parks_within_5min_walk"] = f["parks_within_5min_walk"].fillna(0.0)
+    f["town"] = [f"t{k * k % 23:02d}" for k in range(n)]
+    f["flat_model"] = [f"m{k * 7 % 19:02d}" for k in range(n)]
+    return f
+
+
+def test_least_squares_has_every_term_at_any_number_of_levels(spark, monkeypatch):
+    """The limit of dense designs neither leaves terms out nor is an error."""
+    f, numeric, fields = crowded(11, 600), ["floor_area_sqm", "storey_mid", "school_count_1km"], ["flat_type", "town", "flat_model"]
+    want = M.ols_table(to_spark(spark, f), numeric, fields).collect()
+    monkeypatch.setattr(L, "MAX_TERMS", 10)
+    got = M.ols_table(to_spark(spark, f).repartition(5), numeric, fields)
+    assert [r.term for r in got.collect()] == [r.term for r in want]
+    check_least_squares(got, f, numeric, fields)
+
+
+def test_least_squares_of_more_levels_than_a_dense_design_holds(spark):
+    n, levels = 9_000, 4_500
+    rng = np.random.default_rng(12)
+    f = pd.DataFrame({"block": [f"{k % levels:04d}" for k in range(n)], "x": rng.normal(size=n)})
+    f["y"] = 2 * f["x"] + 0.001 * f["block"].astype(int) + rng.normal(size=n)
+    assert L.is_wide(to_spark(spark, f), ["block"])
+    got = {r.term: r for r in M.ols_table(to_spark(spark, f), ["x"], ["block"], "y").collect()}
+    assert len(got) == levels + 1
+    by = f.groupby("block")[["x", "y"]]
+    own, mean = f[["x", "y"]] - by.transform("mean"), by.mean()
+    sxx = own.x @ own.x
+    slope = own.x @ own.y / sxx
+    variance = ((own.y - slope * own.x) ** 2).sum() / (n - levels - 1)
+    effect = mean.y - slope * mean.x
+    assert (got["x"].coef, got["x"].std_err) == pytest.approx((slope, math.sqrt(variance / sxx)), rel=1e-9)
+    assert (got["Intercept"].coef, got["Intercept"].std_err) == pytest.approx((effect.iloc[0], math.sqrt(variance * (1 / 2 + mean.x.iloc[0] ** 2 / sxx))), rel=1e-8)
+    for name in ("0001", "2500", "4499"):
+        r = got[f"C(block)[T.{name}]"]
+        err = math.sqrt(variance * (1 + (mean.x[name] - mean.x.iloc[0]) ** 2 / sxx))
+        assert (r.coef, r.std_err) == pytest.approx((effect[name] - effect.iloc[0], err), rel=1e-8)
+
+
+@pytest.mark.parametrize("block", [512, 18])
+def test_least_squares_in_blocks(spark, monkeypatch, block):
+    """Blocks give what one matrix gives: full rank, and with columns and categories that depend on each other."""
+    monkeypatch.setattr(B, "BLOCK", block)
+    if block < 512:
+        monkeypatch.setattr(Q, "LEVELS_AT_ONCE", 5)
+        monkeypatch.setattr(Q, "CELLS_AT_ONCE", 8)
+    f = crowded(13, 500)
+    check_least_squares(M.ols_table(to_spark(spark, f), ["storey_mid", "floor_area_sqm"], ["town", "flat_model"]), f, ["storey_mid", "floor_area_sqm"], ["town", "flat_model"])
+    f["lease_age_years"] = f["storey_mid"] * 2 + 1
+    f["flat_type"] = f["town"].str[:2] + (f["town"].str[-1].astype(int) // 4).astype(str)
+    numeric, fields = ["storey_mid", "floor_area_sqm", "lease_age_years"], ["flat_type", "flat_model", "town"]
+    check_least_squares(M.ols_table(to_spark(spark, f).repartition(3), numeric, fields), f, numeric, fields)
+
+
 def test_effects_that_do_not_settle_raise(spark, monkeypatch):
     monkeypatch.setattr(A, "MOST_ROUNDS", 1)
     with pytest.raises(ArithmeticError):
